@@ -59,39 +59,41 @@ def _starts_with(c: Column, prefixes) -> Column:
     return c.rlike("^(?:" + alternation(prefixes) + ")")
 
 
-def is_likely_title(c: Column) -> Column:
-    s = candidate(c)
+def _likely(s: Column) -> Column:
     return (
         F.length(s).between(2, 24)
-        & ~_starts_with(s, fixed.TITLE_FORBIDDEN_PREFIXES)
-        & ~s.rlike("[。；;！!？?]")
-        & ~F.lower(s).contains("http")
-        & ~s.contains("@")
-        & ~s.rlike(fixed.TITLE_NEGATIVE_PATTERN)
         & (s.rlike(fixed.TITLE_HINT_PATTERN) | s.rlike(fixed.TITLE_ROLE_PATTERN)
            | s.rlike(fixed.TITLE_SUFFIX_PATTERN))
+        & ~s.rlike("[。；;！!？?@]")
+        & ~s.rlike(fixed.TITLE_NEGATIVE_PATTERN)
+        & ~_starts_with(s, fixed.TITLE_FORBIDDEN_PREFIXES)
+        & ~F.lower(s).contains("http")
     )
 
 
+def is_likely_title(c: Column) -> Column:
+    return let(candidate(c), _likely)
+
+
 def is_strict_title(c: Column) -> Column:
-    s = strict_candidate(c)
-    return (
-        F.length(s).between(2, 30)
-        & ~s.rlike("[。；;!?！？]")
-        & ~s.rlike(fixed.STRICT_TITLE_NEGATIVE_PATTERN)
-        & ~_starts_with(s, fixed.STRICT_TITLE_PREFIXES)
-        & (s.rlike(fixed.STRICT_TITLE_HINT_PATTERN) | s.rlike(fixed.STRICT_TITLE_ENDINGS))
-    )
+    def rule(s: Column) -> Column:
+        return (
+            F.length(s).between(2, 30)
+            & (s.rlike(fixed.STRICT_TITLE_HINT_PATTERN) | s.rlike(fixed.STRICT_TITLE_ENDINGS))
+            & ~s.rlike("[。；;!?！？]")
+            & ~s.rlike(fixed.STRICT_TITLE_NEGATIVE_PATTERN)
+            & ~_starts_with(s, fixed.STRICT_TITLE_PREFIXES)
+        )
+
+    return let(strict_candidate(c), rule)
 
 
 def is_strong_enumerated_title(c: Column) -> Column:
-    s = candidate(c)
-    return (
-        is_likely_title(s)
-        & (F.length(s) <= 18)
+    return let(candidate(c), lambda s: (
+        (F.length(s) <= 18)
+        & _likely(s)
         & ~s.rlike(fixed.ENUM_VERB_PATTERN)
-        & ~s.rlike("[，,；;。:：]")
-    )
+        & ~s.rlike("[，,；;。:：]")))
 
 
 def unique_ignoring_case(items: Column) -> Column:
@@ -102,25 +104,29 @@ def unique_ignoring_case(items: Column) -> Column:
 
 def split_outside_brackets(c: Column) -> Column:
     """Split at separators that stand outside brackets; A/B between latin signs stays."""
+    latin = "^[A-Za-z0-9+#]$"
 
-    def at(i: Column) -> Column:
-        return F.when(i >= 1, c.substr(i, F.lit(1))).otherwise("")
+    def mark(chars: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            def rule(ch: Column) -> Column:
+                depth = state["depth"]
+                joined = (
+                    (ch == "/") & F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(latin)
+                    & F.coalesce(F.get(chars, i + 1), F.lit("")).rlike(latin))
+                cut = (depth == 0) & ch.isin(*fixed.TITLE_SEPARATORS) & ~joined
+                return F.struct(
+                    (depth + F.when(ch.isin("（", "("), 1)
+                     .when(ch.isin("）", ")") & (depth > 0), -1).otherwise(0)).alias("depth"),
+                    F.concat(state["out"], F.when(cut, _MARK).otherwise(ch)).alias("out"))
 
-    def step(state: Column, i: Column) -> Column:
-        ch, depth = at(i), state["depth"]
-        latin = "^[A-Za-z0-9+#]$"
-        joined = (ch == "/") & at(i - 1).rlike(latin) & at(i + 1).rlike(latin)
-        cut = (depth == 0) & ch.isin(*fixed.TITLE_SEPARATORS) & ~joined
-        return F.struct(
-            (depth + F.when(ch.isin("（", "("), 1)
-             .when(ch.isin("）", ")") & (depth > 0), -1).otherwise(0)).alias("depth"),
-            F.concat(state["out"], F.when(cut, _MARK).otherwise(ch)).alias("out"))
+            return let(F.get(chars, i), rule)
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
-    positions = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c)))
-    marked = F.aggregate(positions, start, step, lambda s: s["out"])
-    parts = F.filter(F.transform(F.split(marked, _MARK), candidate), lambda p: p != "")
-    return F.coalesce(parts, F.array().cast("array<string>"))
+        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["out"])
+
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    marked = F.when(c.rlike(f"[{fixed.TITLE_SEPARATORS}]"), let(chars, mark)).otherwise(c)
+    return F.filter(F.transform(F.split(marked, _MARK), candidate), lambda p: p != "")
 
 
 def split_titles(c: Column) -> Column:
@@ -128,6 +134,10 @@ def split_titles(c: Column) -> Column:
     return unique_ignoring_case(F.filter(split_outside_brackets(candidate(c)), is_likely_title))
 
 
+def _at_least(items: Column, n: int) -> Column:
+    return let(items, lambda x: F.when(F.size(x) >= n, x).otherwise(F.array().cast("array<string>")))
+
+
 def split_titles_protected(c: Column) -> Column:
     """Strict variant: protected tokens survive, fewer than two titles give an empty array."""
     s = strict_candidate(c)
@@ -136,28 +146,29 @@ def split_titles_protected(c: Column) -> Column:
     parts = F.transform(
         F.split(s, f"[{fixed.TITLE_SEPARATORS}]"),
         lambda p: strict_candidate(F.replace(p, F.lit(_MARK), F.lit("/"))))
-    titles = unique_ignoring_case(F.filter(parts, is_strict_title))
-    return F.when(F.size(titles) >= 2, titles).otherwise(F.array().cast("array<string>"))
+    return _at_least(unique_ignoring_case(F.filter(parts, is_strict_title)), 2)
+
 
+def title_parts(c: Column) -> Column:
+    return F.transform(split_outside_brackets(strict_candidate(c)), strict_candidate)
 
-def single_title(c: Column) -> Column:
-    """The one real title of a field whose other parts are noise, else null.
+
+def single_title(parts: Column) -> Column:
+    """The one real title among the parts of a field whose others are noise, else null.
 
     A leading grade such as 高级 is joined to the title it modifies.
     """
-    parts = F.transform(split_outside_brackets(strict_candidate(c)), strict_candidate)
-    titles = F.filter(parts, is_strict_title)
     first = F.get(parts, F.lit(0))
     merged = strict_candidate(F.concat(first, F.get(parts, F.lit(1))))
     graded = (F.size(parts) == 2) & first.isin(*fixed.TITLE_MODIFIERS)
-    return F.when(
-        (F.size(titles) == 1) & (F.size(parts) >= 2),
-        F.when(graded, merged).otherwise(F.get(titles, F.lit(0))))
+    return F.when(F.size(parts) >= 2, let(
+        F.filter(parts, is_strict_title),
+        lambda real: F.when(F.size(real) == 1, F.when(graded, merged).otherwise(F.get(real, F.lit(0))))))
 
 
-def _lines(c: Column) -> Column:
-    cleaned = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), candidate)
-    return F.filter(cleaned, lambda x: x != "")
+def _lines(c: Column, clean) -> Column:
+    return F.filter(
+        F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), clean), lambda x: x != "")
 
 
 def _description_line(lines: Column) -> Column:
@@ -166,18 +177,16 @@ def _description_line(lines: Column) -> Column:
     return F.array_position(flags, F.lit(True)).cast("int")
 
 
+def _numbered(block: Column, clean, accept) -> Column:
+    mark = r"^\s*\d{1,2}[.、]\s*"
+    return F.filter(
+        F.transform(F.filter(block, lambda x: x.rlike(mark + ".+$")),
+                    lambda x: clean(F.regexp_replace(x, mark, ""))), accept)
+
+
 def titles_from_description(c: Column, field: Column | None = None) -> Column:
     """Titles found in the title field, in numbered lines (two or more) or after a label."""
-    lines = _lines(c)
-    at = _description_line(lines)
-    block = F.when(at > 0, F.slice(lines, at + 1, 9)).otherwise(lines)
-    numbered = F.filter(
-        F.transform(
-            F.filter(block, lambda x: x.rlike(r"^\s*\d{1,2}[.、]\s*.+$")),
-            lambda x: candidate(F.regexp_replace(x, r"^\s*\d{1,2}[.、]\s*", ""))),
-        is_strong_enumerated_title)
     empty = F.array().cast("array<string>")
-    numbered = F.when(F.size(numbered) >= 2, numbered).otherwise(empty)
     labelled = F.filter(
         F.transform(
             F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?i)" + fixed.TITLE_LABEL_PATTERN), 1),
@@ -185,30 +194,31 @@ def titles_from_description(c: Column, field: Column | None = None) -> Column:
         is_likely_title)
     own = empty
     if field is not None:
-        value = candidate(F.coalesce(field, F.lit("")))
-        parts = split_titles(value)
-        own = (F.when(F.size(parts) > 0, parts)
-               .when(is_likely_title(value), F.array(value)).otherwise(empty))
-    found = F.concat(own, numbered, labelled)
-    following = candidate(F.regexp_replace(F.get(lines, at), r"^\d{1,2}[.、]\s*", ""))
-    fallback = F.when((at > 0) & is_likely_title(following), F.array(following)).otherwise(empty)
-    return unique_ignoring_case(F.when(F.size(found) > 0, found).otherwise(fallback))
+        own = let(candidate(F.coalesce(field, F.lit(""))), lambda value: let(
+            split_titles(value), lambda parts: F.when(F.size(parts) > 0, parts)
+            .when(_likely(value), F.array(value)).otherwise(empty)))
+
+    def search(lines: Column, at: Column) -> Column:
+        block = F.when(at > 0, F.slice(lines, at + 1, 9)).otherwise(lines)
+        found = F.concat(
+            own, _at_least(_numbered(block, candidate, is_strong_enumerated_title), 2), labelled)
+        following = candidate(F.regexp_replace(F.get(lines, at), r"^\d{1,2}[.、]\s*", ""))
+        fallback = let(following, lambda x: F.when((at > 0) & _likely(x), F.array(x)).otherwise(empty))
+        return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(fallback))
+
+    return unique_ignoring_case(let(_lines(c, candidate), lambda lines: let(
+        _description_line(lines), lambda at: search(lines, at))))
 
 
 def strict_titles_from_description(c: Column) -> Column:
     """Numbered titles near the top of a description; at least two or none."""
-    lines = F.filter(
-        F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), strict_candidate),
-        lambda x: x != "")
-    at = _description_line(F.slice(lines, 1, 12))
-    block = F.slice(lines, at + 1, 12)
-    found = F.filter(
-        F.transform(
-            F.filter(block, lambda x: x.rlike(r"^\d{1,2}[.、]\s*.+$")),
-            lambda x: strict_candidate(F.regexp_replace(x, r"^\d{1,2}[.、]\s*", ""))),
-        is_strict_title)
-    found = unique_ignoring_case(found)
-    return F.when(F.size(found) >= 2, found).otherwise(F.array().cast("array<string>"))
+
+    def search(lines: Column) -> Column:
+        at = _description_line(F.slice(lines, 1, 12))
+        block = F.slice(lines, at + 1, 12)
+        return unique_ignoring_case(_numbered(block, strict_candidate, is_strict_title))
+
+    return _at_least(let(_lines(c, strict_candidate), search), 2)
 
 
 def _extract(c: Column, pattern: str) -> Column:
@@ -217,13 +227,14 @@ def _extract(c: Column, pattern: str) -> Column:
 
 def extract_company(c: Column) -> Column:
     """First labelled value that looks like a company name, else ''."""
-    out = F.lit("")
-    for pattern in reversed(fixed.COMPANY_LABEL_PATTERNS):
-        value = candidate(_extract(c, pattern))
+
+    def accepted(value: Column) -> Column:
         spaces = F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit("")))
         good = value.rlike(fixed.COMPANY_HINT_PATTERN) & (F.length(value) <= 40) & (spaces <= 3)
-        out = F.when(good, value).otherwise(out)
-    return out
+        return F.when(good, value)
+
+    options = [let(candidate(_extract(c, p)), accepted) for p in fixed.COMPANY_LABEL_PATTERNS]
+    return F.coalesce(*options, F.lit(""))
 
 
 def extract_location(c: Column) -> Column:
@@ -243,5 +254,6 @@ def extract_region(location: Column, text: Column, city: Column) -> Column:
     source = F.concat_ws("\n", F.nullif(location, F.lit("")), text)
     in_location = F.nullif(candidate(F.regexp_extract(location, "(?U)" + area, 1)), F.lit(""))
     pattern = F.concat(F.lit("(?U)"), city, F.lit(area))
-    after_city = F.when(city != "", candidate(F.regexp_extract(source, pattern, 1)))
+    found = F.call_function("regexp_extract", source, pattern, F.lit(1))
+    after_city = F.when(city != "", candidate(found))
     return F.coalesce(in_location, after_city, F.lit(""))

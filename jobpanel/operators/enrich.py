@@ -26,16 +26,14 @@ def expand_titles(df: DataFrame, title: str = "title", description: str = "descr
 
 def force_single_titles(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
     """Rows with several real titles are split, those with one get it alone; copies leave."""
-    c = F.col(title)
-    parts = F.transform(titles.split_outside_brackets(titles.strict_candidate(c)), titles.strict_candidate)
-    several = titles.unique_ignoring_case(F.filter(parts, titles.is_strict_title))
-    one = titles.single_title(c)
-    blank = F.coalesce(strip(c), F.lit("")) == ""
-    chosen = (
-        F.when(blank, titles.strict_titles_from_description(F.col(description)))
-        .when(F.size(several) >= 2, several)
-        .when(one.isNotNull(), F.array(one)))
-    chosen = F.when(F.size(chosen) > 0, chosen)
+    blank = F.coalesce(strip(F.col(title)), F.lit("")) == ""
+
+    def choose(parts: Column) -> Column:
+        return let(titles.unique_ignoring_case(F.filter(parts, titles.is_strict_title)), lambda several: (
+            F.when(F.size(several) >= 2, several).otherwise(F.array(titles.single_title(parts)))))
+
+    chosen = F.when(blank, titles.strict_titles_from_description(F.col(description))).otherwise(
+        let(titles.title_parts(F.col(title)), choose))
     out = df.withColumn("_titles", chosen).withColumn("_title", F.explode_outer("_titles"))
     return out.withColumn(title, F.coalesce("_title", title)).drop("_titles", "_title").dropDuplicates()
 

@@ -229,38 +229,49 @@ def score_industry(df: DataFrame, priors: DataFrame, primary: DataFrame) -> Data
             .withColumn(f"{name}_code", F.coalesce(f"{name}_code", f"{name}_code2"))
             .drop(f"{name}_code2", f"{name}_conf2"))
 
-    company, title = F.lower(F.coalesce("company", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
-
-    def weight(code: str, name: str, factor: float) -> Column:
-        hit = F.col(f"{name}_code") == code
-        return F.when(hit, factor * F.greatest(F.lit(fixed.MIN_PRIOR_CONF), F.col(f"{name}_conf"))).otherwise(0.0)
-
-    def hits(c: Column, words: Sequence[str], each: float) -> Column:
-        n = sum((c.contains(w).cast("int") for w in words), F.lit(0))
-        return F.least(F.lit(fixed.MAX_HIT_SCORE), n * each)
-
-    rows = []
-    for i, (code, words) in enumerate(fixed.EVIDENCE_KEYWORDS):
-        in_company, in_title = hits(company, words, fixed.COMPANY_HIT), hits(title, words, fixed.TITLE_HIT)
-        std = weight(code, "std", fixed.PRIOR_WEIGHTS[0])
-        prim = weight(code, "prim", fixed.PRIOR_WEIGHTS[1])
-        place = F.when(std > 0, -2).when(prim > 0, -1).otherwise(i)
+    def hits(column: str, each: float) -> DataFrame:
+        """Capped hit score per code of each distinct text."""
+        c = F.lower(F.coalesce(F.col(column), F.lit("")))
+        scores = [
+            F.least(F.lit(fixed.MAX_HIT_SCORE), sum((c.contains(w).cast("int") for w in words), F.lit(0)) * each)
+            for _, words in fixed.EVIDENCE_KEYWORDS]
+        return df.select(column).distinct().select(
+            F.col(column).alias(f"_{column}"), F.array(*scores).alias(f"{column}_hits"))
+
+    for column, each in (("company", fixed.COMPANY_HIT), ("title", fixed.TITLE_HIT)):
+        table = hits(column, each)
+        every = every.join(table, F.col(column).eqNullSafe(F.col(f"_{column}")), "left").drop(f"_{column}")
+
+    codes = F.array(*[F.lit(code) for code, _ in fixed.EVIDENCE_KEYWORDS])
+
+    def prior_score(name: str, factor: float) -> Column:
+        return factor * F.greatest(F.lit(fixed.MIN_PRIOR_CONF), F.col(f"{name}_conf"))
+
+    def evidence(in_company: Column, i: Column) -> Column:
+        code, in_title = F.get(codes, i), F.get("title_hits", i)
+        is_std = F.coalesce(F.col("std_code") == code, F.lit(False))
+        is_prim = F.coalesce(F.col("prim_code") == code, F.lit(False))
+        score = (
+            F.when(is_std, prior_score("std", fixed.PRIOR_WEIGHTS[0])).otherwise(0.0)
+            + F.when(is_prim, prior_score("prim", fixed.PRIOR_WEIGHTS[1])).otherwise(0.0)
+            + in_company + in_title)
         source = F.concat_ws(
-            "|", F.when(std > 0, "company_std_prior"), F.when(prim > 0, "company_primary_prior"),
+            "|", F.when(is_std, "company_std_prior"), F.when(is_prim, "company_primary_prior"),
             F.when(in_company > 0, "company_name_keyword"), F.when(in_title > 0, "job_title_keyword"))
-        rows.append(F.struct(
-            (std + prim + in_company + in_title).alias("score"), (-place).alias("place"),
-            F.lit(code).alias("code"), source.alias("source")))
-    evidence = every.withColumn("_rows", F.filter(F.array(*rows), lambda r: r["score"] > 0))
-    evidence = evidence.withColumn("_best", F.array_max("_rows")).withColumn(
+        place = F.when(is_std, 2).when(is_prim, 1).otherwise(-i)
+        return F.struct(score.alias("score"), place.alias("place"), code.alias("code"), source.alias("source"))
+
+    rows = F.filter(F.transform("company_hits", evidence), lambda r: r["score"] > 0)
+    every = every.withColumn("_rows", rows)
+    every = every.withColumn("_best", F.array_max("_rows")).withColumn(
         "_total", F.aggregate("_rows", F.lit(0.0), lambda a, r: a + r["score"]))
-    scored = evidence.select(
-        "company", "title",
+    scored = every.select(
+        F.col("company").alias("_company"), F.col("title").alias("_title"),
         F.coalesce(F.col("_best.code"), F.lit("U")).alias("industry_code"),
         F.coalesce(F.col("_best.score") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0)).alias("industry_confidence"),
         F.coalesce(F.col("_best.source"), F.lit("unmapped")).alias("industry_source"))
-    same = [df["company"].eqNullSafe(scored["company"]), df["title"].eqNullSafe(scored["title"])]
-    return df.join(scored, same, "left").drop(scored["company"]).drop(scored["title"])
+    same = F.col("company").eqNullSafe(F.col("_company")) & F.col("title").eqNullSafe(F.col("_title"))
+    return df.join(scored, same, "left").drop("_company", "_title")
 
 
 def majority(df: DataFrame, key: str, category: str) -> DataFrame:

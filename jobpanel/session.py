@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobpanel-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_jobpanel_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="jobpanel-zip-"), "jobpanel.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("jobpanel", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._jobpanel_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits one partition per core; larger scans stay as they are.
+
+    For plain scans ahead of per-row text work only: it asks for the number of
+    splits, which costs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
