@@ -568,7 +568,7 @@ def cross_section(cells: DataFrame, y: str, year: int, controls: Sequence[Term]
 
 
 def residual_means(df: DataFrame, y: str, controls: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Yearly mean of y and of its residual after the controls and a year trend."""
+    """Yearly mean of y and of y without the part the controls explain next to a year trend."""
     terms = [covariate("year"), *[covariate(c) for c in controls]]
     fit = wls(df, y, terms, weight)
     b, c = fit.extra["beta"], fit.extra["centre"]

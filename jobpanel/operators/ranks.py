@@ -84,9 +84,9 @@ def order_statistics(
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
     hist = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_all", n).withColumn("_upto", upto))
+        .withColumn("_size", n).withColumn("_upto", upto))
     picks = [
-        F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * q), F.col(value))).alias(name)
+        F.min(F.when(F.col("_upto") > F.floor(F.col("_size") * q), F.col(value))).alias(name)
         for name, q in shares.items()]
     return hist.groupBy(*keys).agg(*picks)
 

@@ -8,6 +8,7 @@ from ..functions import fixed, quality, skills, text, titles, urls
 from ..functions.segment import embedder, segmenter
 from ..functions.text import alternation
 from ..operators import cleaning, enrich, lookup, panel, ranks, tokens
+from ..session import checkpoint
 from ..sources import views
 from ..sources.views import CAPTURES, DOCS, MATCHES, POSTINGS, SCORES, sql_list, table
 from .cleaning import _CLEAN_TITLE, _STRIP_HTML, LOOKUPS, r6
@@ -410,8 +411,9 @@ best AS (
 SELECT row_id, coalesce(b.code, 'U') AS industry_code, round(coalesce(conf, 0.0), 6) AS confidence, coalesce(source, 'unmapped') AS source
 FROM postings p LEFT JOIN best b ON b.company IS NOT DISTINCT FROM p.company AND b.title IS NOT DISTINCT FROM p.title AND rn = 1""")
 def weighted_industry(spark, folder):
-    priors = voted_industries(spark, folder).select("company", F.col("standard_industry").alias("code"), "confidence")
-    empty = priors.limit(0)
+    priors = checkpoint(voted_industries(spark, folder).select(
+        "company", F.col("standard_industry").alias("code"), "confidence"))
+    empty = spark.createDataFrame([], priors.schema)
     out = lookup.score_industry(views.postings(spark, folder), priors, empty)
     return out.select("row_id", "industry_code", F.round("industry_confidence", 6).alias("confidence"),
                       F.col("industry_source").alias("source"))
