@@ -96,7 +96,9 @@ def _heading(word: str, tail: str = "") -> str:
 _STARTS = [_heading(w, r"\s*[:：]?") for w in fixed.REQUIREMENT_HEADINGS]
 _STARTS += fixed.REQUIREMENT_EXTRA_STARTS
 _ENDS = [_heading(w) for w in fixed.SECTION_END_HEADINGS] + list(fixed.SECTION_EXTRA_ENDS)
-_FLAGS = "(?isU)"
+_FLAGS = "(?sU)"
+_NEAREST_END = _FLAGS + "|".join(
+    [_heading("(?:" + "|".join(fixed.SECTION_END_HEADINGS) + ")"), *fixed.SECTION_EXTRA_ENDS])
 
 
 def _first_pattern(c: Column, patterns: list[str]) -> Column:
@@ -112,10 +114,8 @@ def _after(c: Column, pattern: Column) -> Column:
 
 def _marked_section(text: Column) -> Column:
     """Text from the first start heading (list order) to the nearest end heading."""
-    nearest_end = F.lit(_FLAGS + "|".join(f"(?:{p})" for p in _ENDS))
-
     def until_end(rest: Column) -> Column:
-        cut = F.regexp_instr(rest, nearest_end)
+        cut = F.regexp_instr(rest, F.lit(_NEAREST_END))
         return strip(F.when(cut > 0, rest.substr(F.lit(1), cut - 1)).otherwise(rest))
 
     out = F.lit("")
@@ -156,7 +156,8 @@ def requirement_section(c: Column) -> Column:
 
 def remove_noise(c: Column) -> Column:
     for pattern in fixed.NOISE_PATTERNS:
-        c = F.regexp_replace(c, "(?iU)" + pattern, "")
+        flags = "(?i)" if re.search("[a-z]{3}", pattern) else "(?U)" if re.search(r"\\[ds]", pattern) else ""
+        c = F.regexp_replace(c, flags + pattern, "")
     for pattern in fixed.LIST_MARKER_PATTERNS:
         c = F.regexp_replace(c, "(?U)" + pattern, " ")
     c = squeeze(c)

@@ -27,18 +27,32 @@ def clean_title(c: Column) -> Column:
 def canonical_company(c: Column) -> Column:
     """Company name without punctuation, country mark, legal form, branch and region.
 
-    Affixes are removed until none is left, as long as two characters remain;
-    one anchored repetition does that without a loop.
+    Suffixes go in rounds, a branch with its region first and then each suffix
+    once in list order, until a round changes nothing; two characters stay.
     """
     region = alternation(fixed.REGION_PREFIXES)
     branch = alternation(fixed.BRANCH_SUFFIXES)
-    legal = alternation(fixed.LEGAL_SUFFIXES)
+
+    def one_round(s: Column) -> Column:
+        s = F.regexp_replace(s, f"(?s)^(.{{2,}}?)(?:{region})[市省区县]?(?:{branch})$", "$1")
+        for suffix in (*fixed.LEGAL_SUFFIXES, *fixed.BRANCH_SUFFIXES):
+            s = F.regexp_replace(s, f"(?s)^(.{{2,}}){suffix}$", "$1")
+        return s
+
+    def step(state: Column, _: Column) -> Column:
+        changed = let(one_round(state["s"]), lambda new: F.struct(
+            new.alias("s"), (new != state["s"]).alias("open")))
+        return F.when(state["open"], changed).otherwise(state)
+
+    def without_suffixes(s: Column) -> Column:
+        start = F.struct(s.alias("s"), F.lit(True).alias("open"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(s)), start, step, lambda x: x["s"])
+
     s = F.translate(F.lower(strip(F.coalesce(c, F.lit("")))), "（）【】“”‘’", "()[]\"\"''")
     s = F.regexp_replace(s, r"(?U)[\s·.,，。/\\|_\-;；:：!！?？\"'\[\]{}<>《》]+", "")
     s = F.regexp_replace(s, r"\(中国\)|\(china\)", "")
     s = F.replace(s, F.lit("()"), F.lit(""))
-    s = F.regexp_replace(
-        s, f"(?s)^(.{{2,}}?)(?:(?:{region})[市省区县]?(?:{branch})|{legal}|{branch})+$", "$1")
+    s = let(s, without_suffixes)
     s = F.regexp_replace(s, f"(?s)^(?:(?:{region})[市省]?+(?=..))+", "")
     return F.regexp_replace(s, "^[市省]+", "")
 

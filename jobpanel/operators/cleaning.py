@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, quality, text
-from .ranks import with_first
+from .ranks import keep_where, with_first
 
 KEY_CHARS = 100
 
@@ -97,17 +97,15 @@ def excluded_years(df: DataFrame, year: str) -> DataFrame:
 
 def require_text(df: DataFrame, source: str, year: str, target: str) -> DataFrame:
     """Drop rows without year or without text once HTML is removed."""
-    return (
-        df.withColumn(target, text.strip_html(F.col(source)))
-        .filter(F.col(year).isNotNull() & F.col(target).isNotNull() & (F.col(target) != "")))
+    return keep_where(
+        df.filter(F.col(year).isNotNull()), target, text.strip_html(F.col(source)), lambda t: t != "")
 
 
 def extract_requirements(df: DataFrame, source: str, target: str = "cleaned_requirements") -> DataFrame:
     """Cleaned requirement text of every posting that has enough of it."""
-    return (
-        df.withColumn(target, text.requirement_section(F.col(source)))
-        .withColumn(target, text.remove_noise(F.col(target)))
-        .filter(F.length(target) >= fixed.MIN_REQUIREMENT_CHARS))
+    return keep_where(
+        df, target, text.remove_noise(text.requirement_section(F.col(source))),
+        lambda t: F.length(t) >= fixed.MIN_REQUIREMENT_CHARS)
 
 
 def with_skill_text(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
+from ..session import checkpoint
 from .ranks import exact_quantiles, top_per_key
 
 
@@ -18,10 +19,9 @@ def cell_panel(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], min_n
     out = df.groupBy(*keys).agg(*aggs)
     if min_n:
         out = out.filter(F.col("n_jobs") >= min_n)
-    for m in metrics:
-        medians = exact_quantiles(df, keys, m, {f"median_{m}": 0.5})
-        out = out.join(medians, list(keys), "left")
-    return out
+    out = checkpoint(out)  # one row per cell
+    medians = exact_quantiles(df, keys, {f"median_{m}": (m, 0.5) for m in metrics}, out)
+    return out.join(medians, list(keys), "left")
 
 
 def weighted_stats(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -32,7 +32,7 @@ def weighted_stats(df: DataFrame, key: str, value: str, weight: str) -> DataFram
     stats = df.groupBy(key).agg(
         mean.alias("wmean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("wsd"),
         F.count(F.lit(1)).alias("n"))
-    return stats.join(exact_quantiles(df, [key], value, {"median": 0.5}), key)
+    return stats.join(exact_quantiles(df, [key], {"median": (value, 0.5)}), key)
 
 
 def top_codes(df: DataFrame, key: str, code: str, weight: str, score: str, n: int = 3) -> DataFrame:
@@ -153,9 +153,10 @@ def adoption(cells: DataFrame, group: Sequence[str], hits: str, n: str) -> DataF
 
 def quartile_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean and interpolated quartiles per key."""
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    quartiles = exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return base.join(quartiles, list(keys), "left")
+    base = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_jobs"), F.avg(value).alias("mean")))
+    quartiles = exact_quantiles(
+        df, keys, {"q25": (value, 0.25), "q50": (value, 0.5), "q75": (value, 0.75)}, base)
+    return base.withColumnRenamed("n_jobs", "n").join(quartiles, list(keys), "left")
 
 
 def breadth_depth(df: DataFrame, keys: Sequence[str], share: str) -> DataFrame:
@@ -256,7 +257,7 @@ def quantile_bins(units: DataFrame, key: str, value: str, bins: int, labels: Seq
     """Right-closed quantile bins over distinct units, edges by linear percentile."""
     one = units.groupBy(key).agg(F.first(value, ignorenulls=True).alias(value))
     edges = exact_quantiles(
-        one.withColumn("_all", F.lit(1)), ["_all"], value, {f"e{i}": i / bins for i in range(1, bins)}
+        one.withColumn("_all", F.lit(1)), ["_all"], {f"e{i}": (value, i / bins) for i in range(1, bins)}
     ).first()
     out = F.lit(labels[-1])
     for i in range(bins - 1, 0, -1):

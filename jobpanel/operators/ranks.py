@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -94,31 +94,43 @@ def order_statistics(
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
+    picks: Mapping[str, tuple[str, float]],
+    sizes: DataFrame | None = None,
     hot_rows: int = 20_000_000,
 ) -> DataFrame:
-    """Linearly interpolated exact quantiles per key.
+    """Linearly interpolated exact quantiles per key; `picks` maps name to (column, share).
 
-    Keys of ordinary size use Spark's exact aggregate. Larger ones are
-    bracketed by a quantile sketch first, and only the rows inside the bracket
-    are counted and ordered.
+    Keys of ordinary size use Spark's exact aggregate, all picks in one pass.
+    Larger ones are bracketed by a quantile sketch first, and only the rows
+    inside the bracket are counted and ordered. `sizes` (keys and `n_jobs`)
+    spares the pass that counts rows per key.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows)
-    exact = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
+    keys = list(keys)
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_jobs"))
+    hot = sizes.filter(F.col("n_jobs") > hot_rows).select(*keys)
     if hot.isEmpty():
-        return rows.groupBy(*keys).agg(*exact)
-    calm = rows.join(hot.select(*keys), list(keys), "left_anti").groupBy(*keys).agg(*exact)
-    large = rows.join(hot.select(*keys), list(keys), "left_semi")
-    out = None
-    for name, p in probs.items():
-        one = _bracketed(large, keys, p, name)
-        out = one if out is None else out.join(one, list(keys))
+        return _aggregated(df, keys, picks)
+    calm = _aggregated(df.join(hot, keys, "left_anti"), keys, picks)
+    large = df.join(hot, keys, "left_semi")
+    out = hot
+    for name, (c, p) in picks.items():
+        rows = large.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
+        out = out.join(_bracketed(rows, keys, p, name), keys, "left")
     return calm.unionByName(out)
 
 
+def _aggregated(df: DataFrame, keys: list[str], picks: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """One histogram per column serves all its shares."""
+    shares: dict[str, list[float]] = {}
+    for c, p in picks.values():
+        shares.setdefault(c, []).append(p)
+    wide = df.groupBy(*keys).agg(*[
+        F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"_q_{c}") for c, ps in shares.items()])
+    return wide.select(*keys, *[
+        F.get(f"_q_{c}", F.lit(shares[c].index(p))).alias(name) for name, (c, p) in picks.items()])
+
+
 def _bracketed(
     rows: DataFrame, keys: Sequence[str], p: float, name: str, accuracy: int = 10_000
 ) -> DataFrame:
@@ -159,3 +171,14 @@ def share_of(df: DataFrame, count: str = "n", name: str = "share") -> DataFrame:
     """Count divided by the sum over all rows."""
     whole = df.agg(F.sum(count)).scalar()
     return df.withColumn(name, F.col(count) / whole)
+
+
+def keep_where(df: DataFrame, name: str, value: Column, predicate: Callable[[Column], Column]) -> DataFrame:
+    """Add a costly column and keep the rows for which the predicate holds on it.
+
+    A plain filter would be pushed below the projection and compute the column a
+    second time; here it is computed once and rows without a value leave.
+    """
+    return df.select(
+        *[c for c in df.columns if c != name],
+        F.explode(F.filter(F.array(value), predicate)).alias(name))

@@ -179,8 +179,8 @@ def cell_did(spark, folder):
 
 
 def _rows(spark, folder):
-    return views.panel(spark, folder).join(views.exposure(spark, folder), "occ").select(
-        "year", "occ", "exposure", "ent", "topic", "size", "eff")
+    return checkpoint(views.panel(spark, folder).join(views.exposure(spark, folder), "occ").select(
+        "year", "occ", "exposure", "ent", "topic", "size", "eff"))
 
 
 @query("reg13_individual_twfe")

@@ -33,13 +33,15 @@ shares AS (SELECT id, k, e / sum(e) OVER (PARTITION BY id) AS p FROM masked)"""
 INFERRED = TOPIC_WORDS + ", " + _inferred(K_TOPICS, NOISE)
 
 
-def topic_table(spark, folder):
-    return checkpoint(views.topic_words(spark, folder))
+def topic_table(spark, folder, rows=None):
+    return checkpoint(views.topic_words(spark, folder, rows))
 
 
 def inferred(spark, folder, words=None):
-    words = topic_table(spark, folder) if words is None else words
-    return topics.infer(views.token_docs(spark, folder), "id", words, ALPHA, [NOISE])
+    """Shares of every document; tokens and model are tables of their own."""
+    rows = checkpoint(views.token_docs(spark, folder).select("id", "tokens"))
+    words = topic_table(spark, folder, rows) if words is None else words
+    return topics.infer(rows, "id", words, ALPHA, [NOISE])
 
 
 @query("mdl2_inference", f"WITH {INFERRED} SELECT id, CAST(k AS INTEGER) AS k, round(p, 6) AS p FROM shares")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import tokens
+from ..session import checkpoint
 from ..sources import views
 from ..sources.views import POSTINGS, TERMS, TOKENS, sql_list
 from ..functions import fixed
@@ -22,26 +23,27 @@ phrases AS (
 
 
 def docs(spark, folder):
-    return views.token_docs(spark, folder)
+    """Token table, written once for the queries that read it several times."""
+    return checkpoint(views.token_docs(spark, folder).select("id", "lang", "year", "tokens"))
 
 
-def phrases(spark, folder):
-    return tokens.phrases_by_pmi(docs(spark, folder), min_count=MIN_COUNT, min_pmi=MIN_PMI)
+def phrases(rows):
+    return tokens.phrases_by_pmi(rows, min_count=MIN_COUNT, min_pmi=MIN_PMI)
 
 
 @query("nlp1_pair_counts", f"WITH {TERMS} SELECT a, b, n FROM pairs")
 def pair_counts(spark, folder):
-    return tokens.pair_counts(docs(spark, folder))
+    return tokens.pair_counts(views.token_docs(spark, folder))
 
 
 @query("nlp2_phrases_by_pmi", f"WITH {SELECTED} SELECT a, b, n, round(pmi, 6) AS pmi FROM phrases ORDER BY n DESC, a, b LIMIT 200000")
 def phrases_by_pmi(spark, folder):
-    return rounded(phrases(spark, folder))
+    return rounded(phrases(docs(spark, folder)))
 
 
 @query("nlp3_phrases_by_count", f"WITH {TERMS} SELECT a, b, n FROM pairs WHERE n >= 20")
 def phrases_by_count(spark, folder):
-    return tokens.phrases_by_count(docs(spark, folder))
+    return tokens.phrases_by_count(views.token_docs(spark, folder))
 
 
 @query("nlp4_collocations", f"""
@@ -68,7 +70,8 @@ s AS (SELECT *, f AND (pos - start) % 2 = 0 AS joins FROM r),
 o AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY id ORDER BY pos), false) AS eaten FROM s)
 SELECT id, md5(string_agg(CASE WHEN joins THEN t || '_' || u ELSE t END, ' ' ORDER BY pos)) AS digest, count(*) AS n FROM o WHERE NOT eaten GROUP BY id""")
 def merge_phrases(spark, folder):
-    out = tokens.merge_phrases(docs(spark, folder), phrases(spark, folder))
+    rows = docs(spark, folder)
+    out = tokens.merge_phrases(rows, phrases(rows))
     return out.select("id", F.md5(F.array_join("tokens", " ")).alias("digest"), F.size("tokens").cast("bigint").alias("n"))
 
 
@@ -78,13 +81,13 @@ vocab AS (
   HAVING count(*) >= 5 AND count(*) <= 0.4 * (SELECT count(*) FROM toks) ORDER BY df DESC, term LIMIT 30000)"""
 
 
-def vocabulary_of(spark, folder):
-    return tokens.vocabulary(docs(spark, folder), "id", min_df=5)
+def vocabulary_of(rows):
+    return tokens.vocabulary(rows, "id", min_df=5)
 
 
 @query("nlp6_vocabulary", f"WITH {VOCABULARY} SELECT term, df, cf FROM vocab")
 def vocabulary(spark, folder):
-    return vocabulary_of(spark, folder)
+    return vocabulary_of(docs(spark, folder))
 
 
 @query("nlp7_frequency_vocabulary", f"""
@@ -104,16 +107,17 @@ def gate_tokens(spark, folder):
 
 @query("nlp9_bag_of_words", f"WITH {VOCABULARY} SELECT id, term, n FROM doc_terms WHERE term IN (SELECT term FROM vocab)")
 def bag_of_words(spark, folder):
-    return tokens.bag_of_words(docs(spark, folder), "id", vocabulary_of(spark, folder)).select("id", "term", "n")
+    rows = docs(spark, folder)
+    return tokens.bag_of_words(rows, "id", vocabulary_of(rows)).select("id", "term", "n")
 
 
 LEXICON = TERMS + """,
 lexicon AS (SELECT term AS word, CASE length(term) % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'n' ELSE 'x' END AS pos FROM terms)"""
 
 
-def lexicon(spark, folder):
+def lexicon(rows):
     size = F.length("term") % 3
-    return tokens.term_counts(docs(spark, folder)).select(
+    return tokens.term_counts(rows).select(
         F.col("term").alias("word"), F.when(size == 0, "v").when(size == 1, "n").otherwise("x").alias("pos"))
 
 
@@ -126,7 +130,8 @@ vn AS (
 
 @query("nlp10_verb_noun_pairs", f"WITH {VERB_NOUN} SELECT verb, noun, n FROM vn")
 def verb_noun_pairs(spark, folder):
-    return tokens.verb_noun_pairs(docs(spark, folder), lexicon(spark, folder))
+    rows = docs(spark, folder)
+    return tokens.verb_noun_pairs(rows, lexicon(rows))
 
 
 @query("nlp11_verb_noun_products", f"""
@@ -137,13 +142,13 @@ def verb_noun_products(spark, folder):
     """Lexicon of the hundred most frequent words."""
     rows = docs(spark, folder)
     top = tokens.term_counts(rows).orderBy(F.desc("cf"), "term").limit(100).select(F.col("term").alias("word"))
-    return tokens.verb_noun_products(rows, "id", lexicon(spark, folder).join(top, "word"))
+    return tokens.verb_noun_products(rows, "id", lexicon(rows).join(top, "word"))
 
 
 @query("nlp12_frequent_pairs", f"""
 WITH {VERB_NOUN}, k AS (SELECT * FROM vn WHERE n >= 5) SELECT verb, noun, n FROM k WHERE n <= (SELECT quantile_cont(n, 0.99) FROM k)""")
 def frequent_pairs(spark, folder):
-    return tokens.frequent_pairs(tokens.verb_noun_pairs(docs(spark, folder), lexicon(spark, folder)))
+    return tokens.frequent_pairs(verb_noun_pairs(spark, folder))
 
 
 @query("nlp13_pair_trends", f"""
@@ -153,7 +158,7 @@ c AS (SELECT a, b, count(*) FILTER ("year" = 2016) AS n_first, count(*) FILTER (
 SELECT a, b, n_first, n_last, round(n_last / greatest(n_first, 1), 6) AS growth_rate, CASE WHEN n_last / greatest(n_first, 1) > 2 THEN 'emerging'
   WHEN n_first > 0 AND n_last / greatest(n_first, 1) < 0.5 THEN 'declining' ELSE 'stable' END AS trend FROM c WHERE n_first + n_last >= 3""")
 def pair_trends(spark, folder):
-    out = tokens.pair_trends(docs(spark, folder), tokens.neighbours(F.col("tokens")), "year", 2016, 2025)
+    out = tokens.pair_trends(views.token_docs(spark, folder), tokens.neighbours(F.col("tokens")), "year", 2016, 2025)
     return rounded(out.filter("n_first + n_last >= 3"))
 
 
@@ -163,7 +168,7 @@ h AS (SELECT t.id, -sum(n / total * ln(n / total)) AS h FROM doc_terms t JOIN d
 SELECT h.id, round(CASE WHEN v <= 1 THEN 0 ELSE h / ln(v) END, 6) AS word_entropy, CAST(v AS INTEGER) AS unique_words, CAST(total AS INTEGER) AS total_words
 FROM h JOIN d ON d.id = h.id""")
 def word_entropy(spark, folder):
-    out = tokens.word_entropy(docs(spark, folder), "id")
+    out = tokens.word_entropy(views.token_docs(spark, folder), "id")
     return rounded(out.select("id", "word_entropy", "unique_words", "total_words"))
 
 
@@ -186,7 +191,7 @@ SELECT lang, "year", count(*) AS n_docs, round(avg(CASE WHEN v <= 1 THEN 0 ELSE
 
 @query("entropy_by_group_and_year", f"WITH {FLAGSHIP}")
 def entropy_by_group(spark, folder):
-    rows = tokens.word_entropy(docs(spark, folder), "id")
+    rows = tokens.word_entropy(views.token_docs(spark, folder), "id")
     return rounded(rows.groupBy("lang", "year").agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("word_entropy").alias("mean_entropy"),
         F.avg("total_words").alias("mean_tokens")))

@@ -44,8 +44,9 @@ DOCS = """docs AS (
 
 
 def token_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return docs(spark, folder).withColumn("tokens", text.latin_tokens(F.col("text"))).filter(
-        F.size("tokens") >= fixed.MIN_TOKENS)
+    from ..operators.tokens import token_documents
+
+    return token_documents(docs(spark, folder), "text")
 
 
 def sql_list(words) -> str:
@@ -74,11 +75,11 @@ pairs AS (
   GROUP BY a, b)"""
 
 
-def topic_words(spark: SparkSession, folder: str) -> DataFrame:
+def topic_words(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """(term, rank, p) for the most frequent terms; shares from integer arithmetic."""
     from ..operators.tokens import term_counts
 
-    top = term_counts(token_docs(spark, folder)).orderBy(F.desc("cf"), "term").limit(N_TERMS)
+    top = term_counts(token_docs(spark, folder) if rows is None else rows).orderBy(F.desc("cf"), "term").limit(N_TERMS)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cf"), "term")))
     raw = [(1 + (F.col("rank") * (k + 3)) % 17).cast("double") for k in range(K_TOPICS)]
     whole = Window.partitionBy()  # the short term list
@@ -143,7 +144,7 @@ cosines AS (
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as postings: occupation, industry, year and metrics."""
-    line, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    line, part = spread(table(spark, folder, "lineitem")), table(spark, folder, "part")
     order, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
     return (
