@@ -21,6 +21,7 @@ from ..session import checkpoint
 from .panel import permuted_years
 
 MAX_PARAMETERS = 5000  # size of the system the driver solves
+MAX_BROADCAST_ROWS = 200_000
 _TARGET, _TOTAL = "\u0001", "\u0002"  # marks of outcome and total entries
 
 
@@ -156,8 +157,12 @@ def _prepare(df: DataFrame, terms: Sequence[Term], ys: Sequence[str], weight: st
     return out.dropna(subset=[c for c in out.columns if c != "w"]).filter("w > 0"), values, groups
 
 
-def _gram(rows: DataFrame, terms: Sequence[Term], values: list[str], groups: list[str], ys: Sequence[str]):
-    """Entries of X'WX and X'Wy by feature name, with the totals of each y."""
+def _entries(rows: DataFrame, terms: Sequence[Term], values: list[str], groups: list[str], ys: Sequence[str]) -> DataFrame:
+    """Entries (a, b, s) of X'WX and X'Wy by feature name, with the totals of each y.
+
+    The rows are first summed per combination of levels; only those sums are
+    spread over the entries.
+    """
     bases = ["1", *values]
 
     def v(name: str) -> Column:
@@ -189,9 +194,20 @@ def _gram(rows: DataFrame, terms: Sequence[Term], values: list[str], groups: lis
             entries.append(entry(feature(a), feature(b), products[pair]))
         for y in ys:
             entries.append(entry(feature(a), F.lit(f"{_TARGET}{y}"), targets[(a.value or "1", y)]))
-    out = (
-        cells.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.a", "e.b")
-        .agg(F.sum("e.s").alias("s")).collect())  # parameters squared
+    return cells.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.a", "e.b").agg(
+        F.sum("e.s").alias("s"))
+
+
+def gram(df: DataFrame, y: str, terms: Sequence[Term], weight: str | None = None) -> DataFrame:
+    """The weighted sums of products of a model as a table: a, b, s."""
+    rows, values, groups = _prepare(df, terms, [y], weight)
+    table = _entries(rows, terms, values, groups, [y]).filter(F.col("a") != _TOTAL)
+    return table.withColumn("b", F.regexp_replace("b", _TARGET, ""))
+
+
+def _gram(rows: DataFrame, terms: Sequence[Term], values: list[str], groups: list[str], ys: Sequence[str]):
+    """The entries on the driver: at most the squared number of parameters."""
+    out = _entries(rows, terms, values, groups, ys).collect()
     totals = {e["b"]: e["s"] for e in out if e["a"] == _TOTAL}
     return [e for e in out if e["a"] != _TOTAL], totals
 
@@ -360,8 +376,9 @@ def _entry(rows: DataFrame, t: Term, u: Term, names, inverse, col: str):
         g = t.group or u.group
         data = [(level, float(inverse[i, other])) for i, level in grouped]
         table, keys = spark.createDataFrame(data, f"g_{g} string, {col} double"), [f"g_{g}"]
-    # at most parameters squared rows
-    return F.coalesce(F.col(col), F.lit(0.0)), rows.join(F.broadcast(table), keys, "left")
+    if len(data) <= MAX_BROADCAST_ROWS:
+        table = F.broadcast(table)
+    return F.coalesce(F.col(col), F.lit(0.0)), rows.join(table, keys, "left")
 
 
 def _meat(scored: DataFrame, m: int, cov: str, cluster: str) -> tuple[np.ndarray, int]:

@@ -11,15 +11,27 @@ from ..session import checkpoint
 _OFFSET_BITS = 33  # layout of monotonically_increasing_id: partition << 33 | position
 
 
+PARTIAL_LIMIT = 1000  # Spark pushes rank limits up to this size below the shuffle
+_SLICES = 64
+
+
 def top_per_key(df: DataFrame, keys: Sequence, order: Sequence, k: int = 1, rank: str | None = None) -> DataFrame:
     """First `k` rows per key in a total order.
 
-    Spark turns the rank filter into a partial limit before the shuffle, so a
-    hot key sends at most `k` rows per input partition.
+    Spark turns a small rank filter into a partial limit before the shuffle, so
+    a hot key sends at most `k` rows per input partition. Larger limits are
+    taken in hashed slices of each key first, then over what the slices kept.
     """
     name = rank or "_rank"
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+    def limit(rows: DataFrame, by: Sequence) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+    if k > PARTIAL_LIMIT:
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(_SLICES)))
+        df = limit(sliced, [*keys, "_slice"]).drop("_slice", name)
+    out = limit(df, keys)
     return out if rank else out.drop(name)
 
 
@@ -96,7 +108,7 @@ def exact_quantiles(
     keys: Sequence[str],
     picks: Mapping[str, tuple[str, float]],
     sizes: DataFrame | None = None,
-    hot_rows: int = 20_000_000,
+    hot_rows: int = 2_000_000,
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per key; `picks` maps name to (column, share).
 

@@ -78,6 +78,17 @@ def one_regressor(spark, folder):
         F.round(F.regr_r2("ent", "eff"), 8).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
+@query("uda1_gram_sums", f"""
+WITH {PANEL}, t AS (SELECT ind, CAST(size AS DOUBLE) AS x, ent AS y FROM panel)
+SELECT 'ind=' || ind AS a, 'ind=' || ind AS b, CAST(count(*) AS DOUBLE) AS s FROM t GROUP BY ind
+UNION ALL SELECT 'ind=' || ind, 'size', sum(x) FROM t GROUP BY ind
+UNION ALL SELECT 'ind=' || ind, 'ent', round(sum(y), 4) FROM t GROUP BY ind
+UNION ALL SELECT 'size', 'size', sum(x * x) FROM t
+UNION ALL SELECT 'size', 'ent', round(sum(x * y), 4) FROM t""")
+def gram_sums(spark, folder):
+    return rounded(econ.gram(views.panel(spark, folder), "ent", [fixed_effect("ind"), covariate("size")]), 4)
+
+
 @query("reg2_cluster_robust", f"""
 WITH {ONE_WAY}, g AS (SELECT ind, sum(w * xd * e) AS u, any_value(sxx) AS sxx, any_value(n) AS n, any_value(k) AS k, any_value(beta) AS beta FROM e GROUP BY ind)
 SELECT round(any_value(beta), 8) AS beta, round(sqrt(sum(u * u)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (any_value(n) - 1) / (any_value(n) - any_value(k))), 8) AS se, any_value(n) AS n FROM g""")

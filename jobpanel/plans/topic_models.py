@@ -156,6 +156,13 @@ def merge_topics(spark, folder):
     return evolution.merge_topics(base, evolution.topic_pairs(base), threshold=0.2, min_topics=3)
 
 
+@query("udf3_grouped_alignment")
+def grouped_alignment(spark, folder):
+    """Alignment function run once per window pair; events per pair and kind."""
+    return _events(spark, folder)[1].groupBy("window_from", "window_to", "event_type").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("mdl10_merged_vectors")
 def merged_vectors(spark, folder):
     base = centroids(spark, folder)

@@ -75,6 +75,20 @@ def merge_phrases(spark, folder):
     return out.select("id", F.md5(F.array_join("tokens", " ")).alias("digest"), F.size("tokens").cast("bigint").alias("n"))
 
 
+@query("udf2_phrase_merge", f"""
+WITH {TERMS}, phrases AS (SELECT a, b FROM pairs WHERE n >= 20), w AS (
+  SELECT id, unnest(tokens) AS t, unnest(range(len(tokens))) AS pos, unnest(list_append(tokens[2:], NULL)) AS u FROM toks),
+f AS (SELECT w.*, p.a IS NOT NULL AS f FROM w LEFT JOIN phrases p ON p.a = w.t AND p.b = w.u),
+r AS (SELECT *, coalesce(max(CASE WHEN NOT f THEN pos END) OVER (PARTITION BY id ORDER BY pos), -1) + 1 AS start FROM f)
+SELECT CAST("year" AS INTEGER) AS "year", count(*) AS n_joined FROM r JOIN docs USING (id) WHERE f AND (pos - start) % 2 = 0 GROUP BY "year" """)
+def phrase_merge(spark, folder):
+    """Joined phrases per year, with the phrases chosen by count."""
+    rows = docs(spark, folder)
+    out = tokens.merge_phrases(rows, tokens.phrases_by_count(rows))
+    joined = F.filter("tokens", lambda t: t.contains("_"))
+    return out.select("year", F.explode(joined)).groupBy("year").agg(F.count(F.lit(1)).alias("n_joined"))
+
+
 VOCABULARY = TERMS + """,
 vocab AS (
   SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM doc_terms GROUP BY term

@@ -114,3 +114,11 @@ def test_block_comparison_covers_every_pair_once(spark):
     got = blocks.compare_blocks(
         left, right, lambda a, b: pd.DataFrame({"n": [len(a) * len(b)]}), "n bigint", block_rows=10)
     assert got.agg(F.sum("n")).first()[0] == 57 * 33
+
+
+def test_large_limits_are_taken_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "PARTIAL_LIMIT", 2)
+    df = spark.range(300).select("id", (F.col("id") % 2).alias("k"))
+    got = ranks.top_per_key(df, ["k"], [F.desc("id")], 5, rank="r").collect()
+    assert {(r["k"], r["id"], r["r"]) for r in got} == {
+        (k, 298 + k - 2 * i, i + 1) for k in (0, 1) for i in range(5)}
