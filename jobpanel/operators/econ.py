@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpoint
@@ -308,11 +309,16 @@ def wls(
     return fits[ys[0]] if isinstance(y, str) else fits
 
 
+def _table(spark, columns: dict) -> DataFrame:
+    """A small local table."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def _level_table(spark, t: Term, names: list[str], matrix: np.ndarray, prefix: str) -> DataFrame:
     """One row per level of a grouped term with its numbers; a row per parameter at most."""
-    rows = [(f[len(t.name) + 1:], [float(x) for x in matrix[i]])
-            for i, f in enumerate(names) if f.startswith(f"{t.name}=")]
-    return spark.createDataFrame(rows, f"g_{t.group} string, {prefix} array<double>")
+    at = [(i, f[len(t.name) + 1:]) for i, f in enumerate(names) if f.startswith(f"{t.name}=")]
+    return _table(spark, {
+        f"g_{t.group}": [level for _, level in at], prefix: [[float(x) for x in matrix[i]] for i, _ in at]})
 
 
 def _scored(rows: DataFrame, y: str, terms, names, beta, a, inverse) -> DataFrame:
@@ -365,20 +371,19 @@ def _entry(rows: DataFrame, t: Term, u: Term, names, inverse, col: str):
         return F.lit(float(inverse[lt[0][0], lu[0][0]])), rows
     if t.group == u.group:
         by = {level: j for j, level in lu}
-        data = [(level, float(inverse[i, by[level]])) for i, level in lt if level in by]
-        table, keys = spark.createDataFrame(data, f"g_{t.group} string, {col} double"), [f"g_{t.group}"]
+        both = [(level, float(inverse[i, by[level]])) for i, level in lt if level in by]
+        data = {f"g_{t.group}": [x[0] for x in both], col: [x[1] for x in both]}
     elif t.group and u.group:
-        data = [(a, b, float(inverse[i, j])) for i, a in lt for j, b in lu]
-        table = spark.createDataFrame(data, f"g_{t.group} string, g_{u.group} string, {col} double")
-        keys = [f"g_{t.group}", f"g_{u.group}"]
+        data = {f"g_{t.group}": [a for _, a in lt for _ in lu], f"g_{u.group}": [b for _ in lt for _, b in lu],
+                col: [float(inverse[i, j]) for i, _ in lt for j, _ in lu]}
     else:
         grouped, (other, _) = (lt, lu[0]) if t.group else (lu, lt[0])
         g = t.group or u.group
-        data = [(level, float(inverse[i, other])) for i, level in grouped]
-        table, keys = spark.createDataFrame(data, f"g_{g} string, {col} double"), [f"g_{g}"]
-    if len(data) <= MAX_BROADCAST_ROWS:
+        data = {f"g_{g}": [level for _, level in grouped], col: [float(inverse[i, other]) for i, _ in grouped]}
+    table = _table(spark, data)
+    if len(data[col]) <= MAX_BROADCAST_ROWS:
         table = F.broadcast(table)
-    return F.coalesce(F.col(col), F.lit(0.0)), rows.join(table, keys, "left")
+    return F.coalesce(F.col(col), F.lit(0.0)), rows.join(table, [c for c in data if c != col], "left")
 
 
 def _meat(scored: DataFrame, m: int, cov: str, cluster: str) -> tuple[np.ndarray, int]:
@@ -629,8 +634,8 @@ def randomization_inference(
     for i, t in enumerate(effects):
         name = F.concat(F.lit(f"{t.name}="), F.col(t.group).cast("string"))
         features.append(name)
-        table = cells.sparkSession.createDataFrame(
-            [(f, float(beta[f])) for f in names if f.startswith(f"{t.name}=")], f"_f{i} string, _b{i} double")
+        own = [f for f in names if f.startswith(f"{t.name}=")]
+        table = _table(cells.sparkSession, {f"_f{i}": own, f"_b{i}": [float(beta[f]) for f in own]})
         out = out.withColumn(f"_f{i}", name).join(F.broadcast(table), f"_f{i}", "left")
         res = res - F.coalesce(F.col(f"_b{i}"), F.lit(0.0))
     w, x = F.col(weight).cast("double"), F.col("_x").cast("double")
