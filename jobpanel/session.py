@@ -27,17 +27,25 @@ def get_spark(app: str = "jobpanel", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: the cluster's `spark.checkpoint.dir`.
 
-    The folder comes from the cluster's `spark.checkpoint.dir`. Only a local
-    session without that setting gets a temporary one.
+    Only a local session without that setting gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobpanel-checkpoint-"))
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobpanel-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,13 +6,12 @@ posting view is one SQL text that both engines read.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed, text, vec
-from ..session import spread
+from ..session import shared_folder, spread
 
 K_THETA, K_TOPICS, N_TERMS = 64, 8, 200
 
@@ -22,11 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder (a temporary one in local tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        base = tempfile.mkdtemp(prefix="jobpanel-")
-    return f"{base.rstrip('/')}/jobpanel-{uuid.uuid4().hex}"
+    """A new folder in the folder all executors share."""
+    return f"{shared_folder(spark)}/jobpanel-{uuid.uuid4().hex}"
 
 
 # --- text ---------------------------------------------------------------------------
