@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import chat, decontam, exact_dedup, html_text, mixing, sharding, token_counts
+from . import chat, decontam, exact_dedup, html_text, jaccard_join, lm, mixing, quality, sharding, token_counts
 from .checks import CHECKS  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.with_scores(docs, table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = sharding.shard(table(spark, folder, "documents").select("doc_id", "text"))
@@ -60,6 +69,12 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of texts with a similarity of 0.8 or more over shingles of five words."""
+    return jaccard_join.similar_texts(table(spark, folder, "documents"))
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
@@ -73,6 +88,12 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document under the model of all others."""
+    return lm.score(table(spark, folder, "documents"))
+
+
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
