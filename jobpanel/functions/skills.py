@@ -107,8 +107,7 @@ def gated_weight(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def topic_category(topic: Column) -> Column:
-    pairs = [(t, name) for name, topics in fixed.TOPIC_CATEGORIES for t in topics]
-    return F.coalesce(lookup(pairs, topic), F.lit("M"))
+    return F.coalesce(lookup(list(fixed.TOPIC_CATEGORIES), topic), F.lit("M"))
 
 
 def pair_coherence(verb: Column, noun: Column, verb_pos: Column, noun_pos: Column) -> Column:
@@ -131,7 +130,7 @@ def pair_coherence(verb: Column, noun: Column, verb_pos: Column, noun_pos: Colum
 def is_bad_pair(verb: Column, noun: Column, verb_pos: Column, noun_pos: Column) -> Column:
     """Fixed collocations, impossible word classes, short words, digits or brackets."""
     both = F.concat(verb, noun)
-    pairs = [f"{v}_{n}" for v, nouns in fixed.FIXED_COLLOCATIONS for n in nouns]
+    pairs = [f"{v}_{n}" for v, n in fixed.FIXED_COLLOCATIONS]
     classes = (verb_pos.rlike("^v") & noun_pos.rlike("^[tmq]")) | (
         verb_pos.rlike("^r") & noun_pos.rlike("^n"))
     return (

@@ -89,16 +89,15 @@ def normalize_for_shingles(c: Column) -> Column:
 
 # --- requirement section -----------------------------------------------------
 
-def _heading(word: str, tail: str = "") -> str:
-    return rf"[【\[]?\s*{word}\s*[】\]]?{tail}"
-
-
-_STARTS = [_heading(w, r"\s*[:：]?") for w in fixed.REQUIREMENT_HEADINGS]
-_STARTS += fixed.REQUIREMENT_EXTRA_STARTS
-_ENDS = [_heading(w) for w in fixed.SECTION_END_HEADINGS] + list(fixed.SECTION_EXTRA_ENDS)
+_STARTS = list(fixed.REQUIREMENT_STARTS)
+_ENDS = list(fixed.REQUIREMENT_ENDS)
 _FLAGS = "(?sU)"
-_NEAREST_END = _FLAGS + "|".join(
-    [_heading("(?:" + "|".join(fixed.SECTION_END_HEADINGS) + ")"), *fixed.SECTION_EXTRA_ENDS])
+# where the first end lies: headings share their opening, which is tried once for all of them
+_OPEN, _CLOSE = r"[【\[]?\s*", r"\s*[】\]]?"
+_HEADED = [p for p in _ENDS if p.startswith(_OPEN) and p.endswith(_CLOSE)]
+_NEAREST_END = _FLAGS + "|".join([
+    _OPEN + "(?:" + "|".join(p[len(_OPEN):-len(_CLOSE)] for p in _HEADED) + ")",
+    *[p for p in _ENDS if p not in _HEADED]])
 
 
 def _first_pattern(c: Column, patterns: list[str]) -> Column:
@@ -242,7 +241,7 @@ def drop_gate_tokens(tokens: Column) -> Column:
     """Drop education and experience threshold words."""
     terms = list(fixed.GATE_TERMS)
     return F.filter(
-        tokens, lambda t: ~(F.trim(t).isin(terms) | F.trim(t).rlike("(?U)" + fixed.GATE_PATTERN)))
+        tokens, lambda t: ~(F.trim(t).isin(terms) | F.trim(t).rlike("(?U)" + "|".join(fixed.GATE_PATTERNS))))
 
 
 # --- parsers -----------------------------------------------------------------

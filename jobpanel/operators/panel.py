@@ -79,7 +79,7 @@ def regroup(cells: DataFrame, schemes: DataFrame, code: str, mean: str, n: str)
 
 
 def scheme_table(spark) -> DataFrame:
-    rows = [(s, g, c) for s, g, codes in fixed.ECONOMIC_SCHEMES for c in codes]
+    rows = [(scheme, group, code) for scheme, table in fixed.ECONOMIC_SCHEMES for code, group in table]
     return spark.createDataFrame(rows, "scheme string, group string, industry_code string")
 
 

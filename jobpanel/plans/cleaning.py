@@ -429,7 +429,7 @@ _FOUR = "CASE " + " ".join(
 
 @query("prj3_industry_groups", f"""
 WITH p AS (SELECT {_CODES} AS code, p_size FROM part),
-s AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{g}', '{c}')" for s, g, cs in fixed.ECONOMIC_SCHEMES for c in cs)}) t(scheme, grp, code))
+s AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{g}', '{c}')" for s, table in fixed.ECONOMIC_SCHEMES for c, g in table)}) t(scheme, grp, code))
 SELECT 'four' AS scheme, {_FOUR} AS "group", count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM p GROUP BY 2
 UNION ALL SELECT scheme, grp, count(*), CAST(sum(p_size) AS BIGINT) FROM p JOIN s USING (code) GROUP BY 1, 2""")
 def industry_groups(spark, folder):

@@ -623,7 +623,7 @@ def gated_weight(spark, folder):
 
 
 _TOPIC_CASE = "CASE " + " ".join(
-    f"WHEN t IN ({', '.join(map(str, ts))}) THEN '{n}'" for n, ts in fixed.TOPIC_CATEGORIES) + " ELSE 'M' END"
+    f"WHEN t = {t} THEN '{n}'" for t, n in fixed.TOPIC_CATEGORIES) + " ELSE 'M' END"
 
 
 @query("cls16_topic_category", f"""
@@ -658,7 +658,7 @@ SELECT v, n, CASE WHEN length(v) < 2 OR length(n) < 2 THEN 0.1
     WHEN v IN ({sql_list(fixed.COHERENCE_MANAGEMENT_VERBS)}) AND n IN ({sql_list(fixed.COHERENCE_COMMON_NOUNS)}) THEN 0.9
     WHEN v IN ({sql_list(fixed.COHERENCE_WORK_VERBS)}) AND n IN ({sql_list(fixed.COHERENCE_TRAIT_NOUNS)}) THEN 0.8
     WHEN v || '_' || n IN ({sql_list('_'.join(x) for x in fixed.COHERENCE_FIXED_PAIRS)}) THEN 0.1 ELSE 0.5 END AS coherence,
-  CAST(v || '_' || n IN ({sql_list(f'{a}_{b}' for a, bs in fixed.FIXED_COLLOCATIONS for b in bs)}) OR length(v) < 2 OR length(n) < 2
+  CAST(v || '_' || n IN ({sql_list(f'{a}_{b}' for a, b in fixed.FIXED_COLLOCATIONS)}) OR length(v) < 2 OR length(n) < 2
     OR regexp_matches(v || n, '\\d') AS INTEGER) AS bad, count(*) AS freq FROM p GROUP BY v, n""")
 def pair_coherence(spark, folder):
     def pick(words, c):

@@ -112,7 +112,7 @@ def frequency_vocabulary(spark, folder):
 
 @query("nlp8_gate_tokens", f"""
 WITH {POSTINGS}, t AS (SELECT row_id, [trim(education), experience, category, '3年经验', 'Java'] AS tokens FROM postings)
-SELECT row_id, array_to_string(list_filter(tokens, lambda t: NOT (trim(t) IN ({sql_list(fixed.GATE_TERMS)}) OR regexp_matches(trim(t), '{fixed.GATE_PATTERN}'))), ' ') AS kept FROM t""")
+SELECT row_id, array_to_string(list_filter(tokens, lambda t: NOT (trim(t) IN ({sql_list(fixed.GATE_TERMS)}) OR regexp_matches(trim(t), '{'|'.join(fixed.GATE_PATTERNS)}'))), ' ') AS kept FROM t""")
 def gate_tokens(spark, folder):
     items = F.array(F.trim("education"), F.col("experience"), F.col("category"), F.lit("3年经验"), F.lit("Java"))
     return views.postings(spark, folder).select(
