@@ -87,15 +87,14 @@ _SIGNATURE = "struct<cid: binary, n: int, mh: array<int>>"
 def _signatures(size: int, n: int) -> object:
     @F.arrow_udf(_SIGNATURE)
     def signature(text: pa.Array) -> pa.Array:
-        ids, sizes, samples = [], [], []
-        for tokens in shingle_sets(text, size):
+        ids, sizes, samples = [], np.empty(len(text), np.int32), np.empty((len(text), n), np.int32)
+        for row, tokens in enumerate(shingle_sets(text, size)):
             ids.append(_set_id(tokens))
-            sizes.append(len(tokens))
-            samples.append(_sampled(tokens, n))
-        flat = np.concatenate(samples) if samples else np.empty(0, np.int32)
+            sizes[row] = len(tokens)
+            samples[row] = _sampled(tokens, n)
         cuts = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n)
         return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(flat))],
+            [pa.array(ids, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(cuts, pa.array(samples.reshape(-1)))],
             ["cid", "n", "mh"])
 
     return signature
@@ -104,10 +103,15 @@ def _signatures(size: int, n: int) -> object:
 def _sets(size: int) -> object:
     @F.arrow_udf("struct<cid: binary, tokens: binary>")
     def sets(text: pa.Array) -> pa.Array:
-        found = list(shingle_sets(text, size))
-        return pa.StructArray.from_arrays(
-            [pa.array([_set_id(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())],
-            ["cid", "tokens"])
+        ids, data = [], pa.BufferOutputStream()
+        cuts = np.zeros(len(text) + 1, dtype=np.int64)
+        for row, tokens in enumerate(shingle_sets(text, size)):
+            ids.append(_set_id(tokens))
+            data.write(tokens)
+            cuts[row + 1] = cuts[row] + tokens.nbytes
+        tokens = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(text), [None, pa.py_buffer(cuts), data.getvalue()])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), tokens.cast(pa.binary())], ["cid", "tokens"])
 
     return sets
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 U64 = np.uint64
 _MIX = U64(0xD6E8FEB86659FD93)
