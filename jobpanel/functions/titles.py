@@ -198,8 +198,11 @@ def _numbered(block: Column, clean, accept) -> Column:
                     lambda x: clean(F.regexp_replace(x, mark, ""))), accept)
 
 
-def titles_from_description(c: Column, field: Column | None = None) -> Column:
-    """Titles found in the title field, in numbered lines (two or more) or after a label."""
+def titles_from_description(c: Column, field: Column | None = None, lines_read: int | None = None) -> Column:
+    """Titles found in the title field, in numbered lines (two or more) or after a label.
+
+    `lines_read` limits the lines behind the heading; by default the description is read to its end.
+    """
     empty = F.array().cast("array<string>")
     labelled = F.filter(
         F.transform(
@@ -213,7 +216,7 @@ def titles_from_description(c: Column, field: Column | None = None) -> Column:
             .when(_likely(value), F.array(value)).otherwise(empty)))
 
     def search(lines: Column, at: Column) -> Column:
-        block = F.when(at > 0, F.slice(lines, at + 1, 9)).otherwise(lines)
+        block = F.when(at > 0, F.slice(lines, at + 1, _span(lines, lines_read))).otherwise(lines)
         found = F.concat(
             own, _at_least(_numbered(block, candidate, is_strong_enumerated_title), 2), labelled)
         following = candidate(F.regexp_replace(F.get(lines, at), r"^\d{1,2}[.、]\s*", ""))
@@ -224,12 +227,16 @@ def titles_from_description(c: Column, field: Column | None = None) -> Column:
         _description_line(lines), lambda at: search(lines, at))))
 
 
-def strict_titles_from_description(c: Column) -> Column:
-    """Numbered titles near the top of a description; at least two or none."""
+def _span(lines: Column, limit: int | None) -> Column:
+    return F.greatest(F.size(lines), F.lit(1)) if limit is None else F.lit(limit)
+
+
+def strict_titles_from_description(c: Column, lines_read: int | None = None) -> Column:
+    """Numbered titles of a description, of its first lines if limited; at least two or none."""
 
     def search(lines: Column) -> Column:
-        at = _description_line(F.slice(lines, 1, 12))
-        block = F.slice(lines, at + 1, 12)
+        at = _description_line(F.slice(lines, 1, _span(lines, lines_read)))
+        block = F.slice(lines, at + 1, _span(lines, lines_read))
         return unique_ignoring_case(_numbered(block, strict_candidate, is_strict_title))
 
     return _at_least(let(_lines(c, strict_candidate), search), 2)

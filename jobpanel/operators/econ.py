@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpoint
 from .panel import permuted_years
+from .ranks import ranked
 
 MAX_PARAMETERS = 5000  # size of the system the driver solves
 MAX_BROADCAST_ROWS = 200_000
@@ -213,6 +214,16 @@ def _gram(rows: DataFrame, terms: Sequence[Term], values: list[str], groups: lis
     return [e for e in out if e["a"] != _TOTAL], totals
 
 
+def _check_size(rows: DataFrame, terms: Sequence[Term]) -> None:
+    """Raises before anything is collected when the levels alone pass the number of parameters."""
+    groups = sorted({t.group for t in terms if t.group})
+    if groups:
+        levels = rows.agg(*[F.approx_count_distinct(f"g_{g}", 0.02).alias(g) for g in groups]).first()
+        n = sum(levels[t.group] for t in terms if t.group)
+        if n > 1.1 * MAX_PARAMETERS:
+            raise ValueError(f"about {n} parameters; absorb some groups by demeaning first")
+
+
 def _names(entries, terms: Sequence[Term]) -> list[str]:
     """Feature names in term order; one level of every further fixed effect is left out."""
     seen = {e["a"] for e in entries}
@@ -257,6 +268,7 @@ def wls(
         means = rows.agg(*[(F.sum(F.col("w") * F.col(f"v_{v}")) / F.sum("w")).alias(v) for v in loose]).first()
         centre.update({v: float(means[v] or 0.0) for v in loose})
         rows = rows.withColumns({f"v_{v}": F.col(f"v_{v}") - F.lit(centre[v]) for v in loose})
+    _check_size(rows, terms)
     entries, totals = _gram(rows, terms, values, groups, ys)
     names = _names(entries, terms)
     if len(names) > MAX_PARAMETERS:
@@ -549,12 +561,9 @@ def many_outcomes(cells: DataFrame, ys: Sequence[str], treat: str = "treat_x_pos
 
 def false_discovery(results: DataFrame, p: str = "pval", level: float = 0.05) -> DataFrame:
     """Rank rule p <= rank / m * level, rank by rank, on a table of test results."""
-    from pyspark.sql import Window
-
     m = results.agg(F.count(F.lit(1))).scalar()
-    w = Window.orderBy(p, "spec")  # one row per test
     return (
-        results.withColumn("rank", F.row_number().over(w))
+        ranked(results, [p, "spec"])
         .withColumn("bh_threshold", F.col("rank") / m * level)
         .withColumn("fdr_sig", (F.col(p) <= F.col("bh_threshold")).cast("int")))
 

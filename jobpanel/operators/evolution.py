@@ -6,6 +6,8 @@ window pair bounds every group.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,11 +18,8 @@ EVENT_SCHEMA = (
     "target_topics array<int>, similarity double, topic_count int")
 
 
-def topic_pairs(df: DataFrame, window: str = "window", topic: str = "topic", max_topics: int = 1000) -> DataFrame:
-    """Cosine of all topic pairs i < j inside a window of checked size."""
-    largest = df.groupBy(window).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_topics:
-        raise ValueError(f"{largest} topics in a window")
+def topic_pairs(df: DataFrame, window: str = "window", topic: str = "topic") -> DataFrame:
+    """Cosine of all topic pairs i < j inside a window; the pairs are the result."""
     unit = df.select(window, F.col(topic).alias("t"), vec.normalize(F.col("v")).alias("v"))
     a = unit.select(window, F.col("t").alias("i"), F.col("v").alias("a"))
     b = unit.select(window, F.col("t").alias("j"), F.col("v").alias("b"))
@@ -173,9 +172,11 @@ def integration_trend(index: DataFrame) -> DataFrame:
     return placed.agg(F.regr_slope("integration_index", "at").alias("trend"))
 
 
-def turning_points(index: DataFrame, value: str = "integration_index", least: float = 0.1) -> DataFrame:
-    """Window pairs whose index moves by more than `least`, with the direction."""
-    step = F.col(value) - F.lag(value).over(Window.orderBy("window_from"))  # one row per window pair
+def turning_points(
+    index: DataFrame, value: str = "integration_index", least: float = 0.1, group: Sequence[str] = ()
+) -> DataFrame:
+    """Window pairs whose index moves by more than `least`, with the direction; one series per group."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy("window_from"))  # a row per window pair
     return (
         index.withColumn("change", step).filter(F.abs("change") > least)
         .withColumn("direction", F.when(F.col("change") > 0, "up").otherwise("down")))

@@ -46,20 +46,18 @@ def fill_from(df: DataFrame, updates: DataFrame, on: str, columns: Sequence[str]
 
 
 def contains_join(df: DataFrame, column: str, keywords: DataFrame, keyword: str) -> DataFrame:
-    """Rows of `df` with every keyword their text contains.
+    """Rows of `df` with every keyword their text contains, once per row and keyword.
 
-    Texts are cut into the substrings whose lengths occur among the keywords
-    and joined on equality, so no pair of text and keyword is tried in vain.
+    A text meets only the keywords that share one of its distinct two-character
+    openings (keywords of one character, its characters), and each is verified.
     """
-    sizes = [r[0] for r in keywords.select(F.length(keyword)).distinct().collect()]
-
-    def cut(n: int) -> Column:
-        t = F.col(column)
-        return F.when(F.length(t) >= n, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-
-    empty = F.array().cast("array<string>")
-    pieces = F.concat(empty, *[F.coalesce(F.array_distinct(cut(n)), empty) for n in sizes if n > 0])
-    return df.withColumn(keyword, F.explode(pieces)).join(keywords, keyword)
+    t = F.coalesce(F.col(column), F.lit(""))
+    openings = F.array_distinct(F.concat(
+        F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), 1), F.regexp_extract_all(t, F.lit("(?s)(.)"), 1)))
+    known = keywords.withColumn("_open", F.substring(keyword, 1, 2))
+    return (
+        df.withColumn("_open", F.explode(openings)).join(known, "_open")
+        .filter(F.contains(F.col(column), F.col(keyword))).drop("_open"))
 
 
 def title_tables(matches: DataFrame, exposure: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +124,13 @@ def match_titles(
         .otherwise("miss").alias("match_method"),
         F.when(direct.isNull(), F.col("cluster_id")).alias("fallback_cluster"),
         F.when(direct.isNull(), F.col("purity")).alias("fallback_share"))
-    return df.join(found, "title", "left")
+    return join_back(df, found, "title")
+
+
+def join_back(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join of facts about distinct values; a null value is a value too."""
+    facts = [f"f.{c}" for c in found.columns if c != key]
+    return df.alias("d").join(found.alias("f"), F.col(f"d.{key}").eqNullSafe(F.col(f"f.{key}")), "left").select("d.*", *facts)
 
 
 def override_code(title: Column, code: Column) -> Column:
@@ -163,7 +167,7 @@ def classify_titles(df: DataFrame, rules: Sequence[tuple[str, str]], exposure: D
         F.coalesce(F.col("sd_score"), F.lit(fixed.FALLBACK_SD)).alias("ai_sd_score"),
         F.when(has, "keyword").when(known, "keyword_noilo").otherwise("unknown")
         .alias("isco_match_method"))
-    return df.join(scored, "title", "left")
+    return join_back(df, scored, "title")
 
 
 def classify_companies(df: DataFrame, rules: Sequence[tuple[str, str]], name: str = "company") -> DataFrame:
@@ -171,7 +175,7 @@ def classify_companies(df: DataFrame, rules: Sequence[tuple[str, str]], name: st
     c = F.col(name)
     code = F.coalesce(first_rule(c, rules), first_rule(F.regexp_replace(c, "[（()）]", ""), rules))
     found = df.select(name).distinct().withColumn("industry_code", code)
-    return df.join(found, name, "left")
+    return join_back(df, found, name)
 
 
 def ladder_industry(c: Column) -> Column:

@@ -14,19 +14,19 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, vec
-from .ranks import top_per_key
+from .ranks import shuffled, top_per_key
 
 
 def fit_topics(
     df: DataFrame, k: int, tokens: str = "tokens", vocab_size: int = fixed.VOCAB_KEEP,
-    min_df: float = 10, iterations: int = 20, fraction: float | None = None, seed: int = 42,
+    min_df: float = fixed.VOCAB_MIN_DF, max_df: float = fixed.VOCAB_MAX_DF, iterations: int = 15, fraction: float | None = None, seed: int = 42,
 ) -> tuple[DataFrame, list[float], dict[str, float]]:
     """Topic-word table (term, p), prior and fit figures of an online topic model.
 
     `fraction` trains on a Bernoulli sample, as the large corpus run does.
     """
     docs = df.select(tokens) if fraction is None else df.select(tokens).sample(fraction=fraction, seed=seed)
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab_size, minDF=min_df).fit(docs)
+    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(docs)
     bows = counter.transform(docs).select("features").persist()
     alpha = [1.0 / k] * k
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=alpha).fit(bows)
@@ -50,8 +50,9 @@ def fit_window_topics(df: DataFrame, window: str, k: int, **kw) -> DataFrame:
     return out
 
 
-def fit_word_vectors(df: DataFrame, dim: int = 200, window: int = 5, min_count: int = 50, tokens: str = "tokens", seed: int = 42, partitions: int = 1) -> DataFrame:
-    """(term, v) word vectors (skip-gram)."""
+def fit_word_vectors(df: DataFrame, dim: int = 200, window: int = 5, min_count: int = 50, tokens: str = "tokens", seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """(term, v) word vectors (skip-gram), trained in as many tasks as the rows have partitions."""
+    partitions = partitions or df.rdd.getNumPartitions()
     model = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, inputCol=tokens, outputCol="_v",
         seed=seed, numPartitions=partitions, maxIter=1).fit(df.select(tokens))
@@ -94,11 +95,14 @@ def sub_clusters(df: DataFrame, parent: str, per_cluster: int = 20, seed: int =
     return out.withColumn("cluster_label", F.concat_ws("_", F.col(parent), F.col("sub_cluster")))
 
 
-def gaussian_mixture(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Rows with soft membership per component (full covariance)."""
-    data = _vectors(df)
-    model = GaussianMixture(k=k, seed=seed, maxIter=50, probabilityCol="_p", predictionCol="cluster").fit(data)
-    return model.transform(data).withColumn("membership", vector_to_array("_p")).drop("features", "_p")
+def gaussian_mixture(df: DataFrame, k: int, seed: int = 42, dims: int | None = None) -> DataFrame:
+    """Rows with soft membership per component (full covariance), on all or the first principal dimensions."""
+    data, source = _vectors(df), "features"
+    if dims is not None:
+        data, source = PCA(k=dims, inputCol="features", outputCol="_x").fit(data).transform(data), "_x"
+    model = GaussianMixture(
+        k=k, seed=seed, maxIter=50, featuresCol=source, probabilityCol="_p", predictionCol="cluster").fit(data)
+    return model.transform(data).withColumn("membership", vector_to_array("_p")).drop("features", "_x", "_p")
 
 
 def cluster_grid(df: DataFrame, dims: Sequence[int], ks: Sequence[int], seed: int = 42) -> DataFrame:
@@ -125,19 +129,30 @@ def cluster_grid(df: DataFrame, dims: Sequence[int], ks: Sequence[int], seed: in
 
 def stratified_cap(df: DataFrame, label: str, key: str, cap: int, seed: int = 42) -> DataFrame:
     """At most `cap` rows per class, chosen by a hash of the key (a sampling operator)."""
-    return top_per_key(df, [label], [F.xxhash64(key, F.lit(seed)), key], cap)
+    return top_per_key(df, [label], [shuffled(key, seed=seed), key], cap)
 
 
-def classify_from_theta(df: DataFrame, label: str, key: str, folds: int = 5, cap: int = 5000, seed: int = 42) -> DataFrame:
-    """Top-1 and top-3 accuracy per fold of a multinomial classifier on topic shares."""
-    data = stratified_cap(df, label, key, cap, seed)
-    classes = sorted(r[0] for r in data.select(label).distinct().collect())
+def _indexed(df: DataFrame, label: str, key: str, folds: int, seed: int) -> DataFrame:
+    """Columns `y`, `features` and `fold` of labelled topic shares."""
+    classes = sorted(r[0] for r in df.select(label).distinct().collect())
     index = F.array(*[F.lit(c) for c in classes])
-    data = (
-        data.withColumn("y", (F.array_position(index, F.col(label)) - 1).cast("double"))
+    return (
+        df.withColumn("y", (F.array_position(index, F.col(label)) - 1).cast("double"))
         .withColumn("features", array_to_vector("theta"))
-        .withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))
-        .select("y", "features", "fold").persist())
+        .withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")))
+
+
+def _cross_validated(data: DataFrame, folds: int) -> tuple[int, float, float]:
+    """Rows and accuracies over all folds, each scored by a model that has not seen it."""
+    parts = [_accuracy(data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)) for k in range(folds)]
+    n = sum(p[0] for p in parts)
+    return n, *(sum(p[0] * p[i] for p in parts) / max(n, 1) for i in (1, 2))
+
+
+def classify_from_theta(df: DataFrame, label: str, key: str, folds: int = 5, cap: int = 5000, seed: int = 42) -> DataFrame:
+    """Top-1 and top-3 accuracy per fold of a multinomial classifier on topic shares."""
+    data = _indexed(stratified_cap(df, label, key, cap, seed), label, key, folds, seed).select(
+        "y", "features", "fold").persist()
     rows = []
     for fold in range(folds):
         train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
@@ -146,6 +161,22 @@ def classify_from_theta(df: DataFrame, label: str, key: str, folds: int = 5, cap
     return df.sparkSession.createDataFrame(rows, "fold int, n bigint, top1 double, top3 double")
 
 
+def accuracy_by_year(
+    df: DataFrame, label: str, key: str, year: str, folds: int = 5, cap: int = 5000, least: int = 5, seed: int = 42
+) -> DataFrame:
+    """Cross-validated accuracy inside every year; classes with fewer than `least` rows of a year are left out."""
+    rows = []
+    for value in sorted(r[0] for r in df.select(year).distinct().collect()):
+        part = df.filter(F.col(year) == value)
+        kept = part.groupBy(label).count().filter(F.col("count") >= least).select(label)
+        data = _indexed(
+            stratified_cap(part.join(kept, label, "left_semi"), label, key, cap, seed), label, key, folds, seed).persist()
+        rows.append((value, *_cross_validated(data, folds)))
+        data.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, f"{year} {df.schema[year].dataType.simpleString()}, n bigint, top1 double, top3 double")
+
+
 def _accuracy(train: DataFrame, test: DataFrame) -> tuple[int, float, float]:
     model = LogisticRegression(labelCol="y", maxIter=20, regParam=0.01, family="multinomial").fit(train)
     scored = model.transform(test).withColumn("p", vector_to_array("probability"))
@@ -157,24 +188,27 @@ def _accuracy(train: DataFrame, test: DataFrame) -> tuple[int, float, float]:
     return int(r["n"]), float(r["a"] or 0.0), float(r["b"] or 0.0)
 
 
-def cross_period_accuracy(df: DataFrame, label: str, period: str, first, second, band: float = 0.01) -> DataFrame:
-    """Accuracy within and across two periods, with the gap read against a +-band.
+def cross_period_accuracy(
+    df: DataFrame, label: str, key: str, period: str, first, second, folds: int = 5, cap: int = 5000,
+    band: float = 0.01, seed: int = 42,
+) -> DataFrame:
+    """Accuracy within and across two periods, both ways.
 
-    Only classes present in both periods take part.
+    Within a period rows are scored by folds, so no model scores rows it has seen.
+    The gap is the second period's accuracy minus the first's, read against a
+    +-band. Only classes present in both periods take part.
     """
     shared = df.filter(F.col(period) == first).select(label).intersect(
         df.filter(F.col(period) == second).select(label))
-    data = df.join(shared, label, "left_semi")
-    classes = sorted(r[0] for r in shared.collect())
-    index = F.array(*[F.lit(c) for c in classes])
-    data = data.withColumn("y", (F.array_position(index, F.col(label)) - 1).cast("double")).withColumn(
-        "features", array_to_vector("theta"))
-    rows = []
-    for a, b in ((first, first), (first, second), (second, second)):
-        n, top1, top3 = _accuracy(data.filter(F.col(period) == a), data.filter(F.col(period) == b))
-        rows.append((str(a), str(b), n, top1, top3))
-    gap = rows[0][3] - rows[1][3]
-    verdict = "worse" if gap > band else "better" if gap < -band else "stable"
+    known = df.join(shared, label, "left_semi")
+    capped = top_per_key(known, [period, label], [shuffled(key, seed=seed), key], cap)
+    data = _indexed(capped, label, key, folds, seed).persist()
+    parts = {p: data.filter(F.col(period) == p) for p in (first, second)}
+    rows = [(str(p), str(p), *_cross_validated(parts[p], folds)) for p in (first, second)]
+    rows += [(str(a), str(b), *_accuracy(parts[a], parts[b])) for a, b in ((first, second), (second, first))]
+    data.unpersist()
+    gap = rows[1][3] - rows[0][3]
+    verdict = "worse" if gap < -band else "better" if gap > band else "stable"
     return df.sparkSession.createDataFrame(
         [(*r, gap, verdict) for r in rows],
         "train string, test string, n bigint, top1 double, top3 double, gap double, verdict string")

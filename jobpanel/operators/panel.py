@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
 from ..session import checkpoint
-from .ranks import exact_quantiles, top_per_key
+from .ranks import exact_quantiles, shuffled, top_per_key
 
 
 def cell_panel(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], min_n: int = 0) -> DataFrame:
@@ -20,7 +20,7 @@ def cell_panel(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], min_n
     if min_n:
         out = out.filter(F.col("n_jobs") >= min_n)
     out = checkpoint(out)  # one row per cell
-    medians = exact_quantiles(df, keys, {f"median_{m}": (m, 0.5) for m in metrics}, out)
+    medians = exact_quantiles(df, keys, {f"median_{m}": (m, 0.5) for m in metrics})
     return out.join(medians, list(keys), "left")
 
 
@@ -288,7 +288,7 @@ def permuted_years(cells: DataFrame, keys: Sequence[str], draws: int, seed: int
     rows = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     group = ["draw", *keys]
     by_year = Window.partitionBy(*group).orderBy("year")
-    by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("draw", *keys, "year", F.lit(seed)), "year")
+    by_hash = Window.partitionBy(*group).orderBy(shuffled("draw", *keys, "year", seed=seed), "year")
     a = rows.withColumn("_at", F.row_number().over(by_year))
     b = rows.select(*group, F.col("year").alias("year_shuffled"), F.row_number().over(by_hash).alias("_at"))
     return a.join(b, [*group, "_at"]).drop("_at")
@@ -304,7 +304,7 @@ def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def reservoir(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """Fixed-size sample in the order of a hash of the key (a sampling operator)."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+    return df.orderBy(shuffled(key, seed=seed), key).limit(size)
 
 
 def trend_slopes(cells: DataFrame, group: str, value: str, weight: str) -> DataFrame:

@@ -104,74 +104,59 @@ def order_statistics(
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    picks: Mapping[str, tuple[str, float]],
-    sizes: DataFrame | None = None,
-    hot_rows: int = 2_000_000,
+    df: DataFrame, keys: Sequence[str], picks: Mapping[str, tuple[str, float]], accuracy: int = 10_000
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per key; `picks` maps name to (column, share).
 
-    Keys of ordinary size use Spark's exact aggregate, all picks in one pass.
-    Larger ones are bracketed by a quantile sketch first, and only the rows
-    inside the bracket are counted and ordered. `sizes` (keys and `n_jobs`)
-    spares the pass that counts rows per key.
+    One pass of sketches brackets every pick of every key. A second pass counts what
+    lies below a bracket and the values inside it, both combined before the shuffle,
+    so a hot key sends few rows; the pick is the value at its exact place. Null keys
+    count as keys, null values are left out; a key without values has null picks.
     """
-    keys = list(keys)
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_jobs"))
-    hot = sizes.filter(F.col("n_jobs") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _aggregated(df, keys, picks)
-    calm = _aggregated(df.join(hot, keys, "left_anti"), keys, picks)
-    large = df.join(hot, keys, "left_semi")
-    out = hot
-    for name, (c, p) in picks.items():
-        rows = large.filter(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
-        out = out.join(_bracketed(rows, keys, p, name), keys, "left")
-    return calm.unionByName(out)
-
-
-def _aggregated(df: DataFrame, keys: list[str], picks: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """One histogram per column serves all its shares."""
-    shares: dict[str, list[float]] = {}
-    for c, p in picks.values():
-        shares.setdefault(c, []).append(p)
-    wide = df.groupBy(*keys).agg(*[
-        F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"_q_{c}") for c, ps in shares.items()])
-    return wide.select(*keys, *[
-        F.get(f"_q_{c}", F.lit(shares[c].index(p))).alias(name) for name, (c, p) in picks.items()])
-
-
-def _bracketed(
-    rows: DataFrame, keys: Sequence[str], p: float, name: str, accuracy: int = 10_000
-) -> DataFrame:
-    margin = 2.0 / accuracy
+    keys, margin = list(keys), 2.0 / accuracy
+    rows = df.select(*keys, *[
+        F.col(c).cast("double").alias(f"_v_{c}") for c in dict.fromkeys(c for c, _ in picks.values())])
 
-    def bound(q: float) -> Column:
+    def bound(c: str, q: float) -> Column:
         if q <= 0:
-            return F.min("_v")
-        if q >= 1:
-            return F.max("_v")
-        return F.percentile_approx("_v", q, accuracy)
-
-    frame = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), bound(p - margin).alias("_lo"), bound(p + margin).alias("_hi"))
-    inside = rows.join(frame, list(keys))
-    below = inside.groupBy(*keys).agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.first("_n").alias("_n"))
-    hist = (
-        inside.filter("_v between _lo and _hi").groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")) + F.col("_below")
-    at = F.floor(p * (F.col("_n") - 1))
-    share = p * (F.col("_n") - 1) - at
-    low = F.min(F.when(F.col("_upto") > at, F.col("_v")))
-    high = F.min(F.when(F.col("_upto") > F.least(at + 1, F.col("_n") - 1), F.col("_v")))
-    return (
-        hist.join(below, list(keys)).withColumn("_upto", upto)
-        .groupBy(*keys).agg(low.alias("_a"), high.alias("_b"), F.first(share).alias("_s"))
-        .select(*keys, (F.col("_a") + F.col("_s") * (F.col("_b") - F.col("_a"))).alias(name)))
+            return F.min(f"_v_{c}")
+        return F.max(f"_v_{c}") if q >= 1 else F.percentile_approx(f"_v_{c}", q, accuracy)
+
+    frame = rows.groupBy(*keys).agg(*[
+        x for i, (c, p) in enumerate(picks.values())
+        for x in (F.count(f"_v_{c}").alias(f"_n{i}"), bound(c, p - margin).alias(f"_lo{i}"), bound(c, p + margin).alias(f"_hi{i}"))])
+    frame = checkpoint(frame)
+
+    def same(a: str, b: str) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+        return out
+
+    spots = F.array(*[
+        F.when(F.col(f"_v_{c}").isNotNull(), F.struct(
+            F.lit(i).alias("pick"), F.col(f"_n{i}").alias("n"),
+            F.when(F.col(f"_v_{c}") < F.col(f"_lo{i}"), 0).when(F.col(f"_v_{c}") <= F.col(f"_hi{i}"), 1).otherwise(2).alias("side"),
+            F.col(f"_v_{c}").alias("v")))
+        for i, (c, _) in enumerate(picks.values())])
+    inside = rows.alias("r").join(frame.alias("f"), same("r", "f")).select(
+        *[f"r.{k}" for k in keys], F.explode(F.filter(spots, lambda s: s.isNotNull())).alias("s"))
+    # what lies below or above is one row with the value next to the bracket, where the place may fall by rounding
+    hist = inside.groupBy(*keys, "s.pick", "s.n", "s.side", F.when(F.col("s.side") == 1, F.col("s.v")).alias("_at")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("s.v").alias("_low"), F.max("s.v").alias("_high"))
+    hist = hist.withColumn("v", F.when(F.col("side") == 0, F.col("_high")).otherwise(F.col("_low")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "pick").orderBy("side", "_at"))
+    place = F.get(F.array(*[F.lit(float(p)) for _, p in picks.values()]), F.col("pick")) * (F.col("n") - 1)
+    at = F.floor(place)
+    picked = (
+        hist.withColumn("_upto", upto).groupBy(*keys, "pick").agg(
+            F.min(F.when(F.col("_upto") > at, F.col("v"))).alias("_a"),
+            F.min(F.when(F.col("_upto") > F.least(at + 1, F.col("n") - 1), F.col("v"))).alias("_b"),
+            F.first(place - at).alias("_share"))
+        .withColumn("_q", F.col("_a") + F.col("_share") * (F.col("_b") - F.col("_a")))
+        .groupBy(*keys).agg(*[F.max(F.when(F.col("pick") == i, F.col("_q"))).alias(name) for i, name in enumerate(picks)]))
+    return frame.select(*keys).alias("f").join(picked.alias("p"), same("f", "p"), "left").select(
+        *[f"f.{k}" for k in keys], *[f"p.{name}" for name in picks])
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -179,6 +164,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def shuffled(*key: str | Column, seed: int) -> Column:
+    """Sort key of a random order: MD5 of the key and a seed, the same in every engine."""
+    return F.md5(F.concat_ws("|", *[F.col(k) if isinstance(k, str) else k for k in key], F.lit(str(seed))))
+
+
+def drawn(*key: str | Column, fraction: float, seed: int) -> Column:
+    """Whether a row belongs to a random share of all rows, by the same order."""
+    return F.conv(F.substring(shuffled(*key, seed=seed), 1, 8), 16, 10).cast("double") < fraction * (1 << 32)
+
+
 def share_of(df: DataFrame, count: str = "n", name: str = "share") -> DataFrame:
     """Count divided by the sum over all rows."""
     whole = df.agg(F.sum(count)).scalar()

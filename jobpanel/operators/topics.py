@@ -6,10 +6,44 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, vec
-from .ranks import broadcast_if_small, first_per_key, top_per_key
+from .ranks import top_per_key
+
+
+MAX_VOCABULARY = 2 * fixed.VOCAB_KEEP  # terms of a model that goes to every task
+_SLICE_TOKENS = 50_000
+
+
+def _mean_logs(model: DataFrame, k: int):
+    """Arrow function from tokens to the number of known ones and their mean log-probability per topic."""
+    rows = model.toArrow()
+    terms = rows["term"].combine_chunks()
+    logs = np.array(rows["logp"].combine_chunks().flatten()).reshape(len(rows), k)
+    shared = model.sparkSession.sparkContext.broadcast((terms, logs))
+
+    @F.arrow_udf("struct<n: bigint, mean: array<double>>")
+    def means(tokens: pa.Array) -> pa.Array:
+        known, table = shared.value
+        slot = pc.index_in(tokens.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+        found = ~np.isnan(slot) if slot.dtype.kind == "f" else np.ones(len(slot), bool)
+        owner = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())[found]
+        slot = slot[found].astype(np.int64)
+        count = np.bincount(owner, minlength=len(tokens))
+        total = np.zeros((len(tokens), k))
+        for at in range(0, len(slot), _SLICE_TOKENS):
+            own = owner[at:at + _SLICE_TOKENS]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            total[own[first]] += np.add.reduceat(table[slot[at:at + _SLICE_TOKENS]], first, axis=0)
+        mean = total / np.maximum(count, 1)[:, None]
+        cuts = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * k)
+        return pa.StructArray.from_arrays(
+            [pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(mean.reshape(-1)))], ["n", "mean"])
+
+    return means
 
 
 def infer(
@@ -18,17 +52,23 @@ def infer(
 ) -> DataFrame:
     """Folding-in: theta_k ~ alpha_k * (prod P(w|k))^(1/n), array of K shares per document.
 
-    `topic_words` holds (term, p: array of K). The vocabulary is bounded by its
-    selection, so it is broadcast after a count; the K log sums are combined per
-    document before the shuffle, which moves one row per document.
+    `topic_words` holds (term, p: array of K). A vocabulary of checked size goes to
+    every task, which scores a document where it lies; nothing is shuffled. A larger
+    one is joined to the exploded tokens, and the K log sums are combined per document
+    before the shuffle.
     """
     k, eps = len(alpha), fixed.INFERENCE_EPS
     model = topic_words.select("term", F.transform("p", lambda x: F.log(x + eps)).alias("logp"))
-    model = broadcast_if_small(model, 2 * fixed.VOCAB_KEEP)
-    words = df.filter(F.size(tokens) >= min_tokens).select(key, F.explode(tokens).alias("term"))
-    sums = words.join(model, "term").groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_known"),
-        F.array(*[F.avg(F.get("logp", F.lit(i))) for i in range(k)]).alias("_mean"))
+    long = df.filter(F.size(tokens) >= min_tokens)
+    if model.limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY:
+        means = _mean_logs(model, k)
+        sums = long.select(key, means(F.col(tokens)).alias("_m")).select(
+            key, F.col("_m.n").alias("n_known"), F.col("_m.mean").alias("_mean"))
+    else:
+        words = long.select(key, F.explode(tokens).alias("term"))
+        sums = words.join(model, "term").groupBy(key).agg(
+            F.count(F.lit(1)).alias("n_known"),
+            F.array(*[F.avg(F.get("logp", F.lit(i))) for i in range(k)]).alias("_mean"))
     prior = vec.constant([float(np.log(a + eps)) for a in alpha])
     scores = F.zip_with("_mean", prior, lambda m, a: m + a)
     known = sums.filter(F.col("n_known") >= min_tokens)

@@ -69,23 +69,16 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 400
     return top_per_key(found, ["id"], [F.desc("sim"), "neighbour"], k, rank="rank")
 
 
-def above_threshold(left: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Labels more similar than the threshold, for a label set of checked size."""
-    n = labels.count()
-    if n > 10_000:
-        raise ValueError(f"{n} labels; use nearest() for large label sets")
-    rows = labels.select("id", "v").toPandas()
-    shared = left.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _unit(rows["v"])))
-
-    def match(batches):
-        ids, m = shared.value
-        for batch in batches:
-            sims = _unit(batch["v"]) @ m.T
-            i, j = np.nonzero(sims > threshold)
-            yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[i], "label": ids[j], "sim": sims[i, j]})
+def above_threshold(left: DataFrame, labels: DataFrame, threshold: float = 0.5, block_rows: int = 4000) -> DataFrame:
+    """Labels more similar than the threshold, compared in blocks of both sides."""
+
+    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        sims = _unit(l["v"]) @ _unit(r["v"]).T
+        i, j = np.nonzero(sims > threshold)
+        return pd.DataFrame({"id": l["id"].to_numpy()[i], "label": r["id"].to_numpy()[j], "sim": sims[i, j]})
 
-    return left.select("id", "v").mapInPandas(match, "id bigint, label bigint, sim double")
+    return compare_blocks(
+        left.select("id", "v"), labels.select("id", "v"), compare, "id bigint, label bigint, sim double", block_rows)
 
 
 def exposure_score(left: DataFrame, right: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
@@ -126,14 +119,8 @@ def soft_assignment(df: DataFrame, centers: Sequence[Sequence[float]], eps: floa
     return df.withColumn("weights", weights)
 
 
-def adjacent_cosines(df: DataFrame, window: str, topic: str, max_topics: int = 1000) -> DataFrame:
-    """Cosine of every topic with every topic of the next window.
-
-    For topic tables only: the number of topics per window is checked.
-    """
-    largest = df.groupBy(window).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_topics:
-        raise ValueError(f"{largest} vectors in a window; this table is meant for topics")
+def adjacent_cosines(df: DataFrame, window: str, topic: str) -> DataFrame:
+    """Cosine of every topic with every topic of the next window; for topic tables, the pairs are the result."""
     windows = sorted(r[0] for r in df.select(window).distinct().collect())
     steps = df.sparkSession.createDataFrame(
         list(zip(windows, windows[1:])), f"window_from {df.schema[window].dataType.simpleString()}, "
@@ -187,26 +174,28 @@ def similarity_moments(df: DataFrame, group: str, dim: int) -> DataFrame:
     return out.withColumn("std_similarity", F.sqrt(variance)).drop("_second")
 
 
-def sampled_similarities(
-    df: DataFrame, group: str, first, second, sample_size: int = 5000, seed: int = 42
-) -> DataFrame:
-    """Cosines between a fixed-size sample of each of two groups (a sampling operator)."""
-
-    def sample(value) -> DataFrame:
-        rows = df.filter(F.col(group) == value)
-        return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size).select("id", "v")
-
-    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sim": (_unit(l["v"]) @ _unit(r["v"]).T).ravel()})
-
-    return compare_blocks(sample(first), sample(second), compare, "sim double", 1000)
-
-
-def shifted_share(df: DataFrame, group: str, first, second, threshold: float = 0.3) -> DataFrame:
-    """Rows of the first group whose best match in the second stays below the threshold."""
-    left, right = df.filter(F.col(group) == first), df.filter(F.col(group) == second)
-    best = nearest(left, right, 1)
-    return best.agg(
+def centroid_similarities(df: DataFrame, group: str, dim: int) -> DataFrame:
+    """Cosine of every row with the centroid of the next group: group_from, group_to, sim."""
+    centers = centroids(df, [group], dim, unit=True)
+    groups = sorted(r[0] for r in centers.select(group).collect())
+    kind = df.schema[group].dataType.simpleString()
+    steps = df.sparkSession.createDataFrame(
+        list(zip(groups, groups[1:])), f"group_from {kind}, group_to {kind}")
+    ahead = steps.join(centers.select(F.col(group).alias("group_to"), F.col("v").alias("c")), "group_to")
+    rows = df.select(F.col(group).alias("group_from"), vec.normalize(F.col("v")).alias("u"))
+    return rows.join(F.broadcast(ahead), "group_from").select(  # one row per group
+        "group_from", "group_to", vec.dot(F.col("u"), F.col("c")).alias("sim"))
+
+
+def shifted_share(df: DataFrame, group: str, threshold: float = 0.3) -> DataFrame:
+    """Per pair of adjacent groups, rows of the first whose best match in the second stays below the threshold."""
+    values = sorted(r[0] for r in df.select(group).distinct().collect())
+    best = None
+    for first, second in zip(values, values[1:]):
+        left, right = df.filter(F.col(group) == first), df.filter(F.col(group) == second)
+        part = nearest(left, right, 1).select(F.lit(first).alias("group_from"), F.lit(second).alias("group_to"), "sim")
+        best = part if best is None else best.unionByName(part)
+    return best.groupBy("group_from", "group_to").agg(
         F.count_if(F.col("sim") < threshold).alias("n_shifted"), F.count(F.lit(1)).alias("n"),
         (F.count_if(F.col("sim") < threshold) / F.count(F.lit(1)) * 100).alias("shifted_percentage"),
         F.avg("sim").alias("avg_max_similarity"), F.min("sim").alias("min_max_similarity"))

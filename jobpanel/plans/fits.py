@@ -16,7 +16,7 @@ from .registry import query
 
 @query("mdl1_topic_model")
 def topic_model(spark, folder):
-    words, _, figures = models.fit_topics(views.token_docs(spark, folder), 8, iterations=5, vocab_size=2000)
+    words, _, figures = models.fit_topics(views.token_docs(spark, folder), 8, min_df=views.MIN_DF)
     labels = topics.topic_labels(topics.top_words(words, 10), 10)
     return labels.withColumn("log_perplexity", F.lit(round(figures["log_perplexity"], 4)))
 
@@ -24,7 +24,7 @@ def topic_model(spark, folder):
 @query("mdl1_window_models")
 def window_models(spark, folder):
     docs = views.token_docs(spark, folder).withColumn("window", F.floor((F.col("year") - 2016) / 5))
-    words = models.fit_window_topics(docs, "window", 4, iterations=3, vocab_size=1000)
+    words = models.fit_window_topics(docs, "window", 4, min_df=views.MIN_DF)
     return words.groupBy("window").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
@@ -33,7 +33,7 @@ def model_grid(spark, folder):
     docs = checkpoint(views.token_docs(spark, folder).select("id", "tokens"))
     rows, fits = [], {}
     for k in (4, 8):
-        words, _, figures = models.fit_topics(docs, k, iterations=3, vocab_size=1000)
+        words, _, figures = models.fit_topics(docs, k, min_df=views.MIN_DF)
         fits[k] = words
         rows.append((k, figures["log_likelihood"], figures["log_perplexity"]))
     likelihood = spark.createDataFrame(rows, "k int, log_likelihood double, log_perplexity double")
@@ -60,8 +60,7 @@ def sub_clusters(spark, folder):
 
 @query("mdl17_gaussian_mixture")
 def gaussian_mixture(spark, folder):
-    short = views.vectors(spark, folder).withColumn("v", F.slice("v", 1, 8))
-    out = models.gaussian_mixture(short, 4)
+    out = models.gaussian_mixture(views.vectors(spark, folder), 4, dims=8)
     total = F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)
     return out.select("id", "cluster", F.round(total, 6).alias("total"))
 
@@ -79,7 +78,13 @@ def classifier(spark, folder):
 @query("mdl24_cross_period")
 def cross_period(spark, folder):
     rows = views.theta(spark, folder).withColumn("period", F.when(F.col("id") % 2 == 0, "pre").otherwise("post"))
-    return rounded(models.cross_period_accuracy(rows, "label", "period", "pre", "post"), 4)
+    return rounded(models.cross_period_accuracy(rows, "label", "id", "period", "pre", "post", folds=3), 4)
+
+
+@query("mdl24_yearly")
+def yearly_accuracy(spark, folder):
+    rows = views.theta(spark, folder).withColumn("year", (2016 + F.col("id") % 5).cast("int"))
+    return rounded(models.accuracy_by_year(rows, "label", "id", "year", folds=3), 4)
 
 
 @query("mdl25_metric_regressor")

@@ -13,13 +13,14 @@ from .registry import query
 from .texts import _EDU, _YEARS
 
 
-def rounded(df, digits: int = 6, shift: float = 0.0):
+def rounded(df, digits: int = 6, exact: tuple[str, ...] = ()):
     """All double columns rounded, so that sums in another order compare equal.
 
-    `shift` moves exact halves off the rounding edge; the SQL adds the same.
+    Columns that start with one of `exact` hold short fractions, whose halves fall on
+    the rounding edge of few digits; they keep nine.
     """
     return df.select(*[
-        F.round(F.col(c) + shift if shift else F.col(c), digits).alias(c) if t == "double" else F.col(c)
+        F.round(c, 9 if exact and c.startswith(exact) else digits).alias(c) if t == "double" else F.col(c)
         for c, t in df.dtypes])
 
 
@@ -27,18 +28,18 @@ def rounded(df, digits: int = 6, shift: float = 0.0):
 
 _METRICS = ["ent", "eff", "tax"]
 _CELL_AGGS = ", ".join(
-    f"round(avg({m}) + 1e-9, 6) AS mean_{m}, round(median({m}) + 1e-9, 6) AS median_{m}, round(stddev_pop({m}) + 1e-9, 6) AS sd_{m}"
+    f"round(avg({m}), 9) AS mean_{m}, round(median({m}), 9) AS median_{m}, round(stddev_pop({m}), 6) AS sd_{m}"
     for m in _METRICS)
 
 
 @query("agg1_cell_panel", f"WITH {PANEL} SELECT ind, occ, \"year\", count(*) AS n_jobs, {_CELL_AGGS} FROM panel GROUP BY ind, occ, \"year\"")
 def cell_panel(spark, folder):
-    return rounded(panel.cell_panel(views.panel(spark, folder), ["ind", "occ", "year"], _METRICS), shift=1e-9)
+    return rounded(panel.cell_panel(views.panel(spark, folder), ["ind", "occ", "year"], _METRICS), exact=("mean_", "median_"))
 
 
 @query("agg1_occupation_panel", f"WITH {PANEL} SELECT occ, \"year\", count(*) AS n_jobs, {_CELL_AGGS} FROM panel GROUP BY occ, \"year\" HAVING count(*) >= 30")
 def occupation_panel(spark, folder):
-    return rounded(panel.cell_panel(views.panel(spark, folder), ["occ", "year"], _METRICS, 30), shift=1e-9)
+    return rounded(panel.cell_panel(views.panel(spark, folder), ["occ", "year"], _METRICS, 30), exact=("mean_", "median_"))
 
 
 @query("agg2_partial_sums", f"WITH {PANEL} SELECT occ, \"year\", round(sum(ent), 4) AS total, count(*) AS n FROM panel GROUP BY occ, \"year\"")
@@ -166,11 +167,11 @@ def survival_rates(spark, folder):
 WITH {CELLS}, a AS (SELECT occ, "year", sum(n_jobs) AS n, count(*) AS k, sum(n_jobs * ent) / sum(n_jobs) AS m FROM cells GROUP BY occ, "year" HAVING sum(n_jobs) >= 50),
 b AS (SELECT c.occ, c."year", sqrt(sum(n_jobs * sd_ent * sd_ent) / any_value(a.n) + sum(n_jobs * (ent - a.m) * (ent - a.m)) / any_value(a.n)) AS sd
   FROM cells c JOIN a ON a.occ = c.occ AND a."year" = c."year" GROUP BY c.occ, c."year")
-SELECT a.occ, a."year", CAST(n AS BIGINT) AS n_jobs, k AS n_cells, round(m + 1e-9, 6) AS mean_ent, round(sd + 1e-9, 6) AS sd_ent, round(sd / m + 1e-9, 6) AS cv_ent
+SELECT a.occ, a."year", CAST(n AS BIGINT) AS n_jobs, k AS n_cells, round(m, 4) AS mean_ent, round(sd, 4) AS sd_ent, round(sd / m, 4) AS cv_ent
 FROM a JOIN b ON a.occ = b.occ AND a."year" = b."year" """)
 def pooled_variance(spark, folder):
     cells = views.cells(spark, folder).withColumnRenamed("ent", "mean_ent")
-    return rounded(panel.pooled_variance(cells, ["occ", "year"], "ent"), shift=1e-9)
+    return rounded(panel.pooled_variance(cells, ["occ", "year"], "ent"), 4)
 
 
 _TASKS = ["ECONOMY", "PROMO"]
@@ -422,17 +423,21 @@ def adjacent_periods(spark, folder):
 
 
 @query("win6_turning_points", f"""
-WITH {PANEL}, i AS (SELECT "year" AS window_from, (count(*) FILTER (flag = 'A') - count(*) FILTER (flag = 'N')) / count(*) AS x FROM panel WHERE ind = 'BUILDING' GROUP BY "year"),
-d AS (SELECT window_from, x, x - lag(x) OVER (ORDER BY window_from) AS change FROM i)
-SELECT window_from, round(x, 6) AS integration_index, round(change, 6) AS change, CASE WHEN change > 0 THEN 'up' ELSE 'down' END AS direction FROM d WHERE abs(change) > 0.01""")
+WITH {PANEL}, i AS (SELECT ind, "year" AS window_from, (count(*) FILTER (flag = 'A') - count(*) FILTER (flag = 'N')) / count(*) AS x FROM panel GROUP BY ind, "year"),
+d AS (SELECT ind, window_from, x, x - lag(x) OVER (PARTITION BY ind ORDER BY window_from) AS change FROM i)
+SELECT ind, window_from, round(x, 6) AS integration_index, round(change, 6) AS change, CASE WHEN change > 0 THEN 'up' ELSE 'down' END AS direction FROM d WHERE abs(change) > 0.01""")
 def turning_points(spark, folder):
     flag = F.col("flag")
-    index = views.panel(spark, folder).filter("ind = 'BUILDING'").groupBy(F.col("year").alias("window_from")).agg(
+    index = views.panel(spark, folder).groupBy("ind", F.col("year").alias("window_from")).agg(
         ((F.count_if(flag == "A") - F.count_if(flag == "N")) / F.count(F.lit(1))).alias("integration_index"))
-    return rounded(evolution.turning_points(index, least=0.01))
+    return rounded(evolution.turning_points(index, least=0.01, group=["ind"]))
 
 
-@query("win7_permuted_years")
+@query("win7_permuted_years", f"""
+WITH {CELLS}, d AS (SELECT draw, occ, ind, "year" FROM cells, range(1, 4) r(draw)),
+a AS (SELECT *, row_number() OVER (PARTITION BY draw, occ, ind ORDER BY "year") AS spot,
+  row_number() OVER (PARTITION BY draw, occ, ind ORDER BY md5(concat_ws('|', draw, occ, ind, "year", '42')), "year") AS other FROM d)
+SELECT CAST(a.draw AS INTEGER) AS draw, a.occ, a.ind, a."year", b."year" AS year_shuffled FROM a JOIN a b ON a.draw = b.draw AND a.occ = b.occ AND a.ind = b.ind AND a.spot = b.other""")
 def permuted_years(spark, folder):
     return panel.permuted_years(views.cells(spark, folder), ["occ", "ind"], 3).select(
         "draw", "occ", "ind", "year", "year_shuffled")
@@ -458,12 +463,13 @@ def sorted_export(spark, folder):
     return views.panel(spark, folder).groupBy("year", "ind").agg(F.count(F.lit(1)).alias("n")).orderBy("year", F.desc("n"), "ind")
 
 
-@query("srt4_reservoir")
+@query("srt4_reservoir", "SELECT doc_id AS id, lang FROM documents ORDER BY md5(doc_id || '|42'), doc_id LIMIT 100")
 def reservoir(spark, folder):
     return panel.reservoir(views.docs(spark, folder).select("id", "lang"), "id", 100)
 
 
-@query("srt4_class_cap")
+@query("srt4_class_cap", """
+SELECT doc_id AS id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= 50""")
 def class_cap(spark, folder):
     from ..operators.models import stratified_cap
 

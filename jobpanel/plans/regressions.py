@@ -258,7 +258,7 @@ def cut_points(spark, folder):
 
 @query("reg19_randomization")
 def randomization(spark, folder):
-    betas, share = econ.randomization_inference(cells(spark, folder), "ent", CUT, draws=50)
+    betas, share = econ.randomization_inference(cells(spark, folder), "ent", CUT, draws=500)
     return rounded(betas.withColumn("p_value", F.lit(share)), 8)
 
 

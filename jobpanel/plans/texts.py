@@ -146,7 +146,10 @@ def generic_tokens(spark, folder):
     return views.docs(spark, folder).select("id", F.size(kept).alias("n"))
 
 
-@query("txt11_latin_statistics")
+@query("txt11_latin_statistics", f"""
+WITH {DOCS}, t AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS term FROM docs
+  WHERE CAST('0x' || substr(md5(id || '|42'), 1, 8) AS BIGINT) < 0.1 * 4294967296)
+SELECT term, count(*) AS n, CAST(length(term) AS INTEGER) AS length FROM t GROUP BY term""")
 def latin_statistics(spark, folder):
     return tokens.latin_token_statistics(views.docs(spark, folder), "text")
 
@@ -295,11 +298,12 @@ def dictionary_segmentation(spark, folder):
     return rows.select("row_id", F.array_join(text.filter_tokens(F.col("raw")), " ").alias("tokens"))
 
 
-@query("udf4_embedding_hook")
+@query("udf4_embedding_hook", """
+SELECT doc_id AS id, list_transform(['a', 'e', 'i', 'o'], lambda c: round((length(text) - length(replace(text, c, ''))) / greatest(1, length(text)), 9)) AS v FROM documents""")
 def embedding_hook(spark, folder):
     """User function on text batches; here the shares of four letters."""
     embed = embedder(lambda batch: [[t.count(c) / max(1, len(t)) for c in "aeio"] for t in batch])
-    return views.docs(spark, folder).select("id", F.transform(embed(F.col("text")), lambda x: F.round(x, 6)).alias("v"))
+    return views.docs(spark, folder).select("id", F.transform(embed(F.col("text")), lambda x: F.round(x, 9)).alias("v"))
 
 
 # --- classification ---------------------------------------------------------------------------

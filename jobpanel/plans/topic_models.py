@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import theta as metrics, vec
-from ..operators import evolution, models, panel, topics, vectors
+from ..operators import evolution, models, panel, ranks, topics, vectors
 from ..session import checkpoint
 from ..sources import views
 from ..sources.views import CENTROIDS, K_THETA, K_TOPICS, THETA, TOPIC_WORDS, table
@@ -369,24 +369,28 @@ def drift_moments(spark, folder):
 
 
 @query("mdl23_drift_percentiles", f"""
-WITH {_PAIR_SIMS} SELECT count(*) AS n, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.9), 6) AS p90,
-  round(max(sim), 6) AS max, round(min(sim), 6) AS min FROM ps WHERE group_from = 0""")
+WITH {_PAIR_SIMS}, m AS (SELECT g, i, avg(x) AS x FROM q GROUP BY g, i), mn AS (SELECT g, sqrt(sum(x * x)) AS size FROM m GROUP BY g),
+s AS (SELECT q.g AS group_from, m.g AS group_to, q.id, sum(q.x * m.x) / (any_value(qn.size) * any_value(mn.size)) AS sim
+  FROM q JOIN m ON m.g = q.g + 1 AND m.i = q.i JOIN qn ON qn.id = q.id JOIN mn ON mn.g = m.g GROUP BY 1, 2, 3)
+SELECT CAST(group_from AS INTEGER) AS group_from, CAST(group_to AS INTEGER) AS group_to, count(*) AS n, round(quantile_cont(sim, 0.25), 6) AS p25,
+  round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.9), 6) AS p90, round(max(sim), 6) AS max, round(min(sim), 6) AS min FROM s GROUP BY 1, 2""")
 def drift_percentiles(spark, folder):
-    """Percentiles over the pairs of two samples of at most 5000 rows."""
+    """Percentiles of the rows' cosines with the centroid of the next window."""
     rows = views.vectors(spark, folder).withColumn("g", F.col("label") % 5)
-    sims = vectors.sampled_similarities(rows, "g", 0, 1)
-    return rounded(sims.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("sim", F.lit(0.25)).alias("p25"), F.percentile("sim", F.lit(0.75)).alias("p75"),
-        F.percentile("sim", F.lit(0.9)).alias("p90"), F.max("sim").alias("max"), F.min("sim").alias("min")))
+    sims = checkpoint(vectors.centroid_similarities(rows, "g", K_THETA))
+    keys = ["group_from", "group_to"]
+    picks = ranks.exact_quantiles(sims, keys, {"p25": ("sim", 0.25), "p75": ("sim", 0.75), "p90": ("sim", 0.9)})
+    rest = sims.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("sim").alias("max"), F.min("sim").alias("min"))
+    return rounded(rest.join(picks, keys))
 
 
 @query("mdl23_shifted_share", f"""
-WITH {_PAIR_SIMS}, b AS (SELECT id, max(sim) AS sim FROM ps WHERE group_from = 0 GROUP BY id)
-SELECT count(*) FILTER (sim < 0.3) AS n_shifted, count(*) AS n, round(avg(CAST(sim < 0.3 AS INTEGER)) * 100, 6) AS shifted_percentage,
-  round(avg(sim), 6) AS avg_max_similarity, round(min(sim), 6) AS min_max_similarity FROM b""")
+WITH {_PAIR_SIMS}, b AS (SELECT group_from, group_to, id, max(sim) AS sim FROM ps GROUP BY 1, 2, 3)
+SELECT CAST(group_from AS INTEGER) AS group_from, CAST(group_to AS INTEGER) AS group_to, count(*) FILTER (sim < 0.3) AS n_shifted, count(*) AS n,
+  round(avg(CAST(sim < 0.3 AS INTEGER)) * 100, 6) AS shifted_percentage, round(avg(sim), 6) AS avg_max_similarity, round(min(sim), 6) AS min_max_similarity FROM b GROUP BY 1, 2""")
 def shifted_share(spark, folder):
     rows = views.vectors(spark, folder).withColumn("g", F.col("label") % 5)
-    return rounded(vectors.shifted_share(rows, "g", 0, 1))
+    return rounded(vectors.shifted_share(rows, "g"))
 
 
 @query("mdl23_centroid_matches", f"""

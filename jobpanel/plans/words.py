@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import tokens
 from ..session import checkpoint
 from ..sources import views
-from ..sources.views import POSTINGS, TERMS, TOKENS, sql_list
+from ..sources.views import POSTINGS, TERMS, TOKENS, VOCABULARY, sql_list
 from ..functions import fixed
 from .panels import rounded
 from .registry import query
@@ -54,7 +54,25 @@ def collocations(spark, folder):
     return rounded(tokens.collocations(docs(spark, folder), min_count=5))
 
 
-@query("nlp4_two_passes")
+def _joining(source: str, out: str, least: int) -> str:
+    """CTEs that join the collocations of a token table by the parity rule of `nlp5`."""
+    n = out
+    return f"""
+{n}_t AS (SELECT term, count(*) AS cf FROM (SELECT unnest(tokens) AS term FROM {source}) GROUP BY term),
+{n}_p AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(tokens[1:len(tokens) - 1]) AS a, unnest(tokens[2:len(tokens)]) AS b FROM {source}) GROUP BY a, b),
+{n}_v AS (SELECT (SELECT count(*) FROM {n}_t) + (SELECT count(*) FROM {n}_p) AS v),
+{n}_c AS (SELECT a, b FROM {n}_p JOIN {n}_t x ON x.term = a JOIN {n}_t y ON y.term = b, {n}_v WHERE n >= {least} AND (n - {least}) * v / (x.cf * y.cf) > 15),
+{n}_w AS (SELECT id, unnest(tokens) AS t, unnest(range(len(tokens))) AS pos, unnest(list_append(tokens[2:], NULL)) AS u FROM {source}),
+{n}_f AS (SELECT w.*, c.a IS NOT NULL AS f FROM {n}_w w LEFT JOIN {n}_c c ON c.a = w.t AND c.b = w.u),
+{n}_r AS (SELECT *, coalesce(max(CASE WHEN NOT f THEN pos END) OVER (PARTITION BY id ORDER BY pos), -1) + 1 AS start FROM {n}_f),
+{n}_s AS (SELECT *, f AND (pos - start) % 2 = 0 AS joins FROM {n}_r),
+{n}_o AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY id ORDER BY pos), false) AS eaten FROM {n}_s),
+{out} AS (SELECT id, list(CASE WHEN joins THEN t || '_' || u ELSE t END ORDER BY pos) AS tokens FROM {n}_o WHERE NOT eaten GROUP BY id)"""
+
+
+@query("nlp4_two_passes", f"""
+WITH {TERMS}, {_joining("toks", "once", 5)}, {_joining("once", "twice", 3)}
+SELECT id, md5(array_to_string(tokens, ' ')) AS digest, CAST(len(tokens) AS INTEGER) AS n FROM twice""")
 def two_passes(spark, folder):
     """Documents after two joining passes."""
     out = tokens.two_pass_collocations(docs(spark, folder), min_counts=(5, 3))
@@ -89,14 +107,8 @@ def phrase_merge(spark, folder):
     return out.select("year", F.explode(joined)).groupBy("year").agg(F.count(F.lit(1)).alias("n_joined"))
 
 
-VOCABULARY = TERMS + """,
-vocab AS (
-  SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM doc_terms GROUP BY term
-  HAVING count(*) >= 5 AND count(*) <= 0.4 * (SELECT count(*) FROM toks) ORDER BY df DESC, term LIMIT 30000)"""
-
-
 def vocabulary_of(rows):
-    return tokens.vocabulary(rows, "id", min_df=5)
+    return tokens.vocabulary(rows, "id", min_df=views.MIN_DF)
 
 
 @query("nlp6_vocabulary", f"WITH {VOCABULARY} SELECT term, df, cf FROM vocab")
@@ -105,7 +117,8 @@ def vocabulary(spark, folder):
 
 
 @query("nlp7_frequency_vocabulary", f"""
-WITH {TERMS} SELECT term, cf FROM terms WHERE cf >= 10 AND term NOT IN (SELECT term FROM terms ORDER BY cf DESC, term LIMIT 15)""")
+WITH {TERMS}, r AS (SELECT term, cf, row_number() OVER (ORDER BY cf DESC, term) AS rank FROM terms)
+SELECT term, cf FROM r WHERE cf >= 10 AND rank > 15""")
 def frequency_vocabulary(spark, folder):
     return tokens.frequency_vocabulary(docs(spark, folder))
 
@@ -149,14 +162,11 @@ def verb_noun_pairs(spark, folder):
 
 
 @query("nlp11_verb_noun_products", f"""
-WITH {LEXICON}, l AS (SELECT * FROM lexicon WHERE word IN (SELECT term FROM terms ORDER BY cf DESC, term LIMIT 100)),
-w AS (SELECT id, term, pos, n FROM doc_terms JOIN l ON word = term)
+WITH {LEXICON}, w AS (SELECT id, term, pos, n FROM doc_terms JOIN lexicon ON word = term WHERE pos <> 'x')
 SELECT v.term AS verb, o.term AS noun, CAST(sum(v.n * o.n) AS BIGINT) AS n FROM w v JOIN w o ON v.id = o.id AND v.pos = 'v' AND o.pos = 'n' GROUP BY 1, 2""")
 def verb_noun_products(spark, folder):
-    """Lexicon of the hundred most frequent words."""
     rows = docs(spark, folder)
-    top = tokens.term_counts(rows).orderBy(F.desc("cf"), "term").limit(100).select(F.col("term").alias("word"))
-    return tokens.verb_noun_products(rows, "id", lexicon(rows).join(top, "word"))
+    return tokens.verb_noun_products(rows, "id", lexicon(rows))
 
 
 @query("nlp12_frequent_pairs", f"""
@@ -170,10 +180,10 @@ WITH {TERMS}, p AS (
   SELECT DISTINCT id, "year", a, b FROM (SELECT id, "year", unnest(tokens[1:len(tokens) - 1]) AS a, unnest(tokens[2:len(tokens)]) AS b FROM toks)),
 c AS (SELECT a, b, count(*) FILTER ("year" = 2016) AS n_first, count(*) FILTER ("year" = 2025) AS n_last FROM p GROUP BY a, b)
 SELECT a, b, n_first, n_last, round(n_last / greatest(n_first, 1), 6) AS growth_rate, CASE WHEN n_last / greatest(n_first, 1) > 2 THEN 'emerging'
-  WHEN n_first > 0 AND n_last / greatest(n_first, 1) < 0.5 THEN 'declining' ELSE 'stable' END AS trend FROM c WHERE n_first + n_last >= 3""")
+  WHEN n_first > 0 AND n_last / greatest(n_first, 1) < 0.5 THEN 'declining' ELSE 'stable' END AS trend FROM c""")
 def pair_trends(spark, folder):
     out = tokens.pair_trends(views.token_docs(spark, folder), tokens.neighbours(F.col("tokens")), "year", 2016, 2025)
-    return rounded(out.filter("n_first + n_last >= 3"))
+    return rounded(out)
 
 
 @query("nlp14_word_entropy", f"""

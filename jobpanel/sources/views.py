@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import fixed, text, vec
 from ..session import shared_folder, spread
 
-K_THETA, K_TOPICS, N_TERMS = 64, 8, 200
+K_THETA, K_TOPICS, MIN_DF = 64, 8, 5
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,21 +72,26 @@ pairs AS (
 
 
 def topic_words(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
-    """(term, rank, p) for the most frequent terms; shares from integer arithmetic."""
-    from ..operators.tokens import term_counts
+    """(term, rank, p) for the whole vocabulary; shares from integer arithmetic."""
+    from ..operators.tokens import vocabulary
 
-    top = term_counts(token_docs(spark, folder) if rows is None else rows).orderBy(F.desc("cf"), "term").limit(N_TERMS)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cf"), "term")))
+    rows = token_docs(spark, folder) if rows is None else rows
+    whole = Window.partitionBy()  # the vocabulary, which its selection bounds
+    ranked = vocabulary(rows, "id", min_df=MIN_DF).withColumn(
+        "rank", F.row_number().over(whole.orderBy(F.desc("df"), "term")))
     raw = [(1 + (F.col("rank") * (k + 3)) % 17).cast("double") for k in range(K_TOPICS)]
-    whole = Window.partitionBy()  # the short term list
     return ranked.select(
         "term", "rank", F.array(*[r / F.sum(r).over(whole) for r in raw]).alias("p"))
 
 
-TOPIC_WORDS = TERMS + f""",
-ranked AS (
-  SELECT term, row_number() OVER (ORDER BY cf DESC, term) AS rank FROM terms
-  ORDER BY cf DESC, term LIMIT {N_TERMS}),
+VOCABULARY = TERMS + f""",
+vocab AS (
+  SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM doc_terms GROUP BY term
+  HAVING count(*) >= {MIN_DF} AND count(*) <= {fixed.VOCAB_MAX_DF} * (SELECT count(*) FROM toks)
+  ORDER BY df DESC, term LIMIT {fixed.VOCAB_KEEP})"""
+
+TOPIC_WORDS = VOCABULARY + f""",
+ranked AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS rank FROM vocab),
 topic_word AS (
   SELECT term, rank, k, w / sum(w) OVER (PARTITION BY k) AS p
   FROM (SELECT term, rank, k, CAST(1 + (rank * (k + 3)) % 17 AS DOUBLE) AS w

@@ -32,8 +32,8 @@ def test_merge_phrases(docs, spark):
     chosen = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     got = {r["id"]: r["tokens"] for r in tokens.merge_phrases(docs, chosen).collect()}
     assert got[1] == ["a_b", "c", "a_b", "d", "e", "f", "a_b"]
-    with pytest.raises(ValueError):
-        tokens.merge_phrases(docs, chosen, limit=1)
+    empty = chosen.limit(0)
+    assert {r["id"]: r["tokens"] for r in tokens.merge_phrases(docs, empty).collect()} == {i: d for i, _, d in DOCS}
 
 
 def test_word_entropy(docs, spark):
@@ -194,3 +194,32 @@ def test_permuted_years_keep_the_years_of_a_cell(spark):
     for _, part in got.groupby(["draw", "occ"]):
         assert sorted(part["year_shuffled"]) == list(range(2016, 2022))
     assert (got["year"] != got["year_shuffled"]).any()
+
+
+def test_period_classifier_scores_no_rows_it_has_seen(spark):
+    from jobpanel.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 2)), "pre" if i % 2 else "post", rng.random(6).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, label int, period string, theta array<double>")
+    out = {(r["train"], r["test"]): r for r in models.cross_period_accuracy(df, "label", "id", "period", "pre", "post", folds=3).collect()}
+    assert set(out) == {("pre", "pre"), ("post", "post"), ("pre", "post"), ("post", "pre")}
+    assert all(abs(r["top1"] - 0.5) < 0.1 for r in out.values())  # random labels: chance
+    assert out[("pre", "pre")]["n"] == 400
+
+
+def test_inference_in_rows_equals_the_join(spark, monkeypatch):
+    from jobpanel.operators import topics
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    p = rng.dirichlet(np.ones(30), size=4).T
+    model = spark.createDataFrame([(w, [float(x) for x in row]) for w, row in zip(words, p)], "term string, p array<double>")
+    docs = spark.createDataFrame(
+        [(i, [str(x) for x in rng.choice(words + ["none"], 40)]) for i in range(50)] + [(99, ["none"] * 9), (98, [])], "id long, tokens array<string>")
+    in_rows = {r["id"]: r for r in topics.infer(docs, "id", model, [0.25] * 4, [3]).collect()}
+    monkeypatch.setattr(topics, "MAX_VOCABULARY", 3)
+    joined = {r["id"]: r for r in topics.infer(docs, "id", model, [0.25] * 4, [3]).collect()}
+    assert set(in_rows) == set(joined) == set(range(50))
+    for i, r in in_rows.items():
+        assert r["theta"] == pytest.approx(joined[i]["theta"]) and r["n_known"] == joined[i]["n_known"]
