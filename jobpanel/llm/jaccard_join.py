@@ -4,8 +4,8 @@ A set of shingles samples one of its tokens per hash function, the least. Two se
 of Jaccard similarity s sample the same token with probability s. From the root,
 every set takes several paths, one per sampled token; sets on one path form a
 bucket. Small buckets are compared by brute force on their sampled tokens; large
-ones split again on two further sampled tokens each, up to a depth, and what is
-still together then is one group of candidates. The number of paths at the root
+ones split again on two further sampled tokens each, until a split hardly makes them
+smaller or a depth is reached, and are one group of candidates then. The number of paths at the root
 follows from the target recall. Candidate groups are verified exactly.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.ranks import broadcast_if_small
 from ..session import checkpoint
 from . import ragged
+from .batches import small_batches
 from .components import components
 
 SHINGLE = 5
@@ -31,6 +32,7 @@ SMALL = 64  # sets a bucket may hold to be compared by brute force
 DEPTH = 4  # splits after which a bucket is one candidate group
 FANOUT = 2  # paths on from a large bucket
 POOL = 28  # hash functions for splits below the root
+ALIKE = 0.75  # share of a parent's sets from which a large bucket is one group of candidates
 SLACK = 5.0  # standard deviations by which an estimate may miss the threshold
 BLOCK_SETS, BLOCK_TOKENS = 512, 400_000  # most sets and about most tokens of one block of a candidate group
 BROADCAST_SETS = 500_000
@@ -180,41 +182,48 @@ def _brute_force(threshold: float, n: int) -> object:
 
 
 def candidate_edges(classes: DataFrame, threshold: float, roots: int, n: int) -> DataFrame:
-    """Edges (`a`, `b`) that connect all sets which share a path and may reach the threshold."""
+    """Edges (`a`, `b`) that connect all sets which share a path and may reach the threshold.
+
+    A large bucket that keeps most of its parent's sets after a split holds sets that
+    are alike on average; it becomes one group of candidates at once, as does what is
+    large at the last depth. Every set of such a group leads to its least one.
+    """
     edges = None
     at_root = F.array(*[F.xxhash64(F.lit(i), F.col("mh")[i]) for i in range(roots)])
-    members = checkpoint(classes.select("cid", F.explode(at_root).alias("bucket")))
+    members = classes.select("cid", F.explode(at_root).alias("bucket"), F.lit(None).cast("bigint").alias("_parent"))
     for depth in range(DEPTH + 1):
         sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_sets")).filter("_sets > 1")
-        shared = checkpoint(members.join(sizes, "bucket").select("bucket", "cid", "_sets"))
+        shared = checkpoint(members.join(sizes, "bucket"))
         small = (
             shared.filter(F.col("_sets") <= SMALL).join(classes.select("cid", "n", "mh"), "cid")
             .select("bucket", "cid", "n", "mh").repartition("bucket").sortWithinPartitions("bucket", "cid")
             .mapInArrow(_brute_force(threshold, n), "a binary, b binary"))
-        small = checkpoint(small.distinct())
         edges = small if edges is None else edges.unionByName(small)
         large = shared.filter(F.col("_sets") > SMALL)
         if large.isEmpty():
             break
-        if depth == DEPTH:  # what shares so many sampled tokens is one group of candidates
-            first = large.groupBy("bucket").agg(F.min("cid").alias("b"))
-            edges = edges.unionByName(checkpoint(
-                large.join(first, "bucket").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()))
+        alike = F.lit(depth == DEPTH) | F.coalesce(F.col("_sets") >= ALIKE * F.col("_parent"), F.lit(False))
+        if depth:
+            group = large.filter(alike)
+            least = group.groupBy("bucket").agg(F.min("cid").alias("b"))
+            edges = edges.unionByName(group.join(least, "bucket").select(F.col("cid").alias("a"), "b"))
+        if depth == DEPTH:
             break
         paths = []
         for k in range(FANOUT):
             at = F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(POOL)).cast("int") + roots
             paths.append(F.xxhash64("bucket", at, F.get("mh", at)))
         members = checkpoint(
-            large.join(classes.select("cid", "mh"), "cid").select("cid", F.explode(F.array_distinct(F.array(*paths))).alias("bucket")))
+            large.filter(~alike).join(classes.select("cid", "mh"), "cid").select(
+                "cid", F.explode(F.array_distinct(F.array(*paths))).alias("bucket"), F.col("_sets").alias("_parent")))
     return edges
 
 
 def _verify(up: int, down: int) -> object:
-    """Links of every set inside its cell, counted exactly, and an edge to the first set it is linked to.
+    """Links of every set inside its cell, counted exactly, and the first set it is connected to there.
 
-    A cell holds one block of a candidate group, or two whose sets are compared
-    across. Common tokens come from products of 0/1 matrices over slices of tokens.
+    A cell holds a whole candidate group (`whole`), one block of it, or two blocks
+    whose sets are compared across. Common tokens come from products of 0/1 matrices over slices of tokens.
     """
 
     def cell(table: pa.Table) -> list[tuple[bytes, int, bytes]]:
@@ -250,10 +259,11 @@ def _verify(up: int, down: int) -> object:
         a, b = np.nonzero(np.triu(linked))
         root = _labels(len(ids), a, b)
         count = linked.sum(axis=1)
-        return [(ids[r], int(count[r]), ids[int(root[r])]) for r in np.flatnonzero(count)]
+        whole = table["k"][0].as_py() == 1
+        return [(ids[r], int(count[r]), ids[int(root[r])], whole) for r in np.flatnonzero(count)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+        schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("whole", pa.bool_())])
         for table in _whole_groups(batches, ["group", "low", "high"], 2_000):
             keys = [table[k].to_pylist() for k in ("group", "low", "high")]
             bounds = [0, *(k for k in range(1, len(table)) if any(c[k] != c[k - 1] for c in keys)), len(table)]
@@ -283,6 +293,13 @@ def similar_texts(
     repeat an id stay and count as copies. Null ids are larger than any other.
     An empty table gives an empty one; other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_texts(docs, id_col, text_col, threshold, shingle, recall)
+
+
+def _similar_texts(
+    docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int], shingle: int, recall: float
+) -> DataFrame:
     up, down = threshold
     share = up / down
     roots = root_paths(share, recall)
@@ -312,12 +329,14 @@ def similar_texts(
     cells = sets.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
         "group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "cid", "block", "tokens")
+        "cid", "block", "k", "tokens")
     found = checkpoint(
         cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-        .mapInArrow(_verify(up, down), "cid binary, links bigint, root binary"))
+        .mapInArrow(_verify(up, down), "cid binary, links bigint, root binary, whole boolean"))
     links = found.groupBy("cid").agg(F.sum("links").alias("n_links"))
-    joined = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    # only groups of several blocks are connected across cells
+    split = components(found.filter("not whole").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    joined = found.filter("whole").select(F.col("cid").alias("node"), "root").unionByName(split)
     members = joined.join(classes.select(F.col("cid").alias("node"), "copy_id"), "node")
     least = members.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = members.join(least, "root").select(F.col("node").alias("cid"), "class_id").join(links, "cid")
