@@ -35,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = _least(now)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = checkpoint(large.filter("a <> b").distinct())  # every edge now leads to a smaller node
+        large = checkpoint(large.filter("a <> b"))  # every edge now leads to a smaller node
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select("b", "low").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = low.select("a", F.col("low").alias("b"))
