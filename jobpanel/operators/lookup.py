@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, titles
-from ..functions.skills import first_rule
 from ..functions.text import alternation, lookup as constant_lookup
 from .ranks import first_per_key, top_per_key
 
@@ -142,15 +141,28 @@ def override_code(title: Column, code: Column) -> Column:
     return out
 
 
-def classify_titles(df: DataFrame, rules: Sequence[tuple[str, str]], exposure: DataFrame) -> DataFrame:
-    """Code, gradient and score of a title by ordered keyword rules.
+def first_matches(values: DataFrame, text: Column, rules: DataFrame, name: str = "code") -> DataFrame:
+    """`values` with the code of the first rule, by priority, whose keyword the text contains; else null.
 
-    A code without a score falls back to its major group; no rule gives 'unknown'.
+    `rules` is a table (priority, keyword, code) of any size. Values should be
+    distinct; each meets only the keywords that share an opening with it.
+    """
+    keyed = values.withColumn("_text", text)
+    texts = keyed.select("_text").distinct()
+    hits = contains_join(texts, "_text", rules.select("priority", "keyword", "code"), "keyword")
+    first = hits.groupBy("_text").agg(F.min_by("code", F.struct("priority", "keyword")).alias(name))
+    return join_back(keyed, first, "_text").drop("_text")
+
+
+def classify_titles(df: DataFrame, rules: DataFrame, exposure: DataFrame) -> DataFrame:
+    """Code, gradient and score of a title by a table of keyword rules (priority, keyword, code).
+
+    Keywords are compared in lower case. A code without a score falls back to its
+    major group; no rule gives 'unknown'.
     """
-    lowered = [(k.lower(), c) for k, c in rules]
     code = "isco08_4digit"
-    found = df.select("title").distinct().withColumn(
-        code, first_rule(F.lower(F.trim(F.col("title"))), lowered))
+    lowered = rules.withColumn("keyword", F.lower("keyword"))
+    found = first_matches(df.select("title").distinct(), F.lower(F.trim(F.col("title"))), lowered, code)
     scored = found.join(
         exposure.select(code, "mean_score", "sd_score", "exposure_gradient"), code, "left")
     major = F.substring(code, 1, 1).try_cast("int")
@@ -170,11 +182,12 @@ def classify_titles(df: DataFrame, rules: Sequence[tuple[str, str]], exposure: D
     return join_back(df, scored, "title")
 
 
-def classify_companies(df: DataFrame, rules: Sequence[tuple[str, str]], name: str = "company") -> DataFrame:
-    """Industry of a company by ordered keyword rules, retried without bracket signs."""
+def classify_companies(df: DataFrame, rules: DataFrame, name: str = "company") -> DataFrame:
+    """Industry of a company by a table of keyword rules (priority, keyword, code), retried without bracket signs."""
     c = F.col(name)
-    code = F.coalesce(first_rule(c, rules), first_rule(F.regexp_replace(c, "[（()）]", ""), rules))
-    found = df.select(name).distinct().withColumn("industry_code", code)
+    once = first_matches(df.select(name).distinct(), c, rules, "_as_is")
+    twice = first_matches(once, F.regexp_replace(c, "[（()）]", ""), rules, "_bare")
+    found = twice.select(name, F.coalesce("_as_is", "_bare").alias("industry_code"))
     return join_back(df, found, name)
 
 

@@ -317,11 +317,29 @@ def _rules_case(column: str, rules) -> str:
     return "CASE " + " ".join(f"WHEN contains({column}, '{k}') THEN '{c}'" for k, c in rules) + " END"
 
 
+def _rule_values(rules) -> str:
+    return "(VALUES " + ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate(rules)) + ") v(priority, keyword, code)"
+
+
+def rule_table(spark, folder, rules, keyword, code):
+    """The given rules, then one per part."""
+    given = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(rules)], "priority long, keyword string, code string")
+    return given.unionByName(table(spark, folder, "part").select(
+        (F.col("p_partkey") + 100).cast("long").alias("priority"), keyword.alias("keyword"), code.alias("code")))
+
+
 @query("cls1_company_industry", f"""
-WITH {POSTINGS} SELECT row_id, coalesce({_rules_case("company", COMPANY_RULES)},
-  {_rules_case("regexp_replace(company, '[（()）]', '', 'g')", COMPANY_RULES)}) AS industry_code FROM postings""")
+WITH {POSTINGS}, rules AS (SELECT * FROM {_rule_values(COMPANY_RULES[:2])} UNION ALL
+  SELECT p_partkey + 100, p_partkey || '有限公司', chr(CAST(65 + p_partkey % 20 AS INTEGER)) FROM part),
+c AS (SELECT DISTINCT company, regexp_replace(company, '[（()）]', '', 'g') AS bare FROM postings),
+a AS (SELECT company, arg_min(code, priority) AS code FROM c JOIN rules ON contains(company, keyword) GROUP BY company),
+b AS (SELECT company, arg_min(code, priority) AS code FROM c JOIN rules ON contains(bare, keyword) GROUP BY company)
+SELECT row_id, coalesce(a.code, b.code) AS industry_code FROM postings p LEFT JOIN a ON a.company = p.company LEFT JOIN b ON b.company = p.company""")
 def company_industry(spark, folder):
-    return lookup.classify_companies(views.postings(spark, folder), COMPANY_RULES).select("row_id", "industry_code")
+    number = F.col("p_partkey")
+    rules = rule_table(
+        spark, folder, COMPANY_RULES[:2], F.concat(number.cast("string"), F.lit("有限公司")), F.char((65 + number % 20).cast("long")))
+    return lookup.classify_companies(views.postings(spark, folder), rules).select("row_id", "industry_code")
 
 
 def _ladder(column: str) -> str:
@@ -424,14 +442,19 @@ def weighted_industry(spark, folder):
 
 
 @query("cls6_title_rules", f"""
-WITH {POSTINGS}, {SCORES}, r AS (SELECT row_id, {_rules_case("lower(trim(title))", [(k.lower(), c) for k, c in TITLE_RULES])} AS code FROM postings)
+WITH {POSTINGS}, {SCORES}, rules AS (SELECT * FROM {_rule_values(TITLE_RULES)} UNION ALL
+  SELECT p_partkey + 100, p_name, '2' || lpad(replace(p_brand, 'Brand#', ''), 3, '0') FROM part),
+t AS (SELECT title, arg_min(code, (priority, keyword)) AS code FROM (SELECT DISTINCT title FROM postings) JOIN rules ON contains(lower(trim(title)), lower(keyword)) GROUP BY title),
+r AS (SELECT row_id, t.code FROM postings p LEFT JOIN t ON t.title IS NOT DISTINCT FROM p.title)
 SELECT row_id, r.code AS isco08_4digit, CASE WHEN s.mean_score IS NOT NULL THEN s.exposure_gradient WHEN r.code IS NULL THEN 'unknown'
     WHEN substr(r.code, 1, 1) = '2' THEN 'Minimal Exposure' ELSE 'Not Exposed' END AS gradient,
   round(CASE WHEN s.mean_score IS NOT NULL THEN s.mean_score WHEN r.code IS NULL THEN 0.25 WHEN substr(r.code, 1, 1) = '2' THEN 0.38 ELSE 0.21 END, 6) AS score,
   CASE WHEN s.mean_score IS NOT NULL THEN 'keyword' WHEN r.code IS NULL THEN 'unknown' ELSE 'keyword_noilo' END AS method
 FROM r LEFT JOIN scores s ON s.isco08_4digit = r.code""")
 def title_rules(spark, folder):
-    out = lookup.classify_titles(views.postings(spark, folder), TITLE_RULES, views.code_scores(spark, folder))
+    rules = rule_table(
+        spark, folder, TITLE_RULES, F.col("p_name"), F.concat(F.lit("2"), F.lpad(F.replace("p_brand", F.lit("Brand#"), F.lit("")), 3, "0")))
+    out = lookup.classify_titles(views.postings(spark, folder), rules, views.code_scores(spark, folder))
     return out.select("row_id", "isco08_4digit", F.col("ai_exposure_gradient").alias("gradient"),
                       F.round("ai_mean_score", 6).alias("score"), F.col("isco_match_method").alias("method"))
 
