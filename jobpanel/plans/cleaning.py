@@ -386,6 +386,17 @@ def strict_selection(spark, folder):
         rows, urls.is_high_value(F.col("original")), "original", "digest", ["idx"]).select("idx")
 
 
+@query("flt12_drop_counters", f"""
+WITH {SPLIT}, a AS (
+  SELECT * FROM high WHERE high_value QUALIFY row_number() OVER (PARTITION BY trim(original) ORDER BY idx) = 1),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY digest ORDER BY idx) = 1),
+n AS (SELECT (SELECT count(*) FROM high) AS i, (SELECT count(*) FROM high WHERE high_value) AS h, (SELECT count(*) FROM a) AS u, (SELECT count(*) FROM b) AS s)
+SELECT i AS input_rows, i - h AS drop_low_value, h - u AS drop_same_url, u - s AS drop_same_digest, s AS selected_rows FROM n""")
+def drop_counters(spark, folder):
+    rows = views.captures(spark, folder)
+    return dedup.selection_counts(rows, urls.is_high_value(F.col("original")), "original", "digest", ["idx"])
+
+
 @query("flt13_clean_seeds", f"""
 WITH {SPLIT}, seeds AS (
   SELECT *, CASE WHEN lower(trim(platform)) = '' THEN 'other' ELSE lower(trim(platform)) END AS plat FROM valued
