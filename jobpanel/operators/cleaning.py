@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, quality, text
-from .ranks import keep_where, with_first
+from ..session import checkpoint
+from .ranks import keep_where
 
 KEY_CHARS = 100
 
@@ -23,21 +24,37 @@ def posting_key() -> Column:
     return F.md5(F.concat_ws("|", *[cell(p) for p in parts]))
 
 
-def with_reject_reason(df: DataFrame, order: str = "row_id") -> DataFrame:
-    """First of fake, irrelevant, duplicate that applies; 'valid' otherwise.
+def _first_reason() -> Column:
+    return F.when(quality.is_fake(), "fake").when(quality.is_irrelevant(), "irrelevant")
+
 
-    Only survivors of the first two rules count as originals of a duplicate.
+def reject_reasons(df: DataFrame, order: str = "row_id") -> DataFrame:
+    """(`order`, reject_reason): first of fake, irrelevant, duplicate that applies; 'valid' otherwise.
+
+    Only survivors of the first two rules count as originals of a duplicate. The rules
+    run once, into a narrow table; only the few repeated keys are joined back to it.
+    `order` names each row.
     """
-    judged = df.withColumn(
-        "reject_reason",
-        F.when(quality.is_fake(), "fake").when(quality.is_irrelevant(), "irrelevant"))
-    own = F.concat(F.lit("~"), F.col(order).cast("string"))
-    keyed = judged.withColumn(
-        "_key", F.when(F.col("reject_reason").isNull(), posting_key()).otherwise(own))
-    marked = with_first(keyed, ["_key"], order, "_first")
-    later = F.col(order) > F.col("_first")
-    reason = F.coalesce(F.col("reject_reason"), F.when(later, "duplicate"), F.lit("valid"))
-    return marked.withColumn("reject_reason", reason).drop("_key", "_first")
+    narrow = checkpoint(df.select(order, _first_reason().alias("_reason"), posting_key().alias("_key")))
+    late = _repeated(narrow, order)
+    reason = F.coalesce(F.col("_reason"), F.when(F.col("_late"), "duplicate"), F.lit("valid"))
+    return narrow.join(late, order, "left").select(order, reason.alias("reject_reason"))
+
+
+def _repeated(narrow: DataFrame, order: str) -> DataFrame:
+    """Survivors that are not the first of their key."""
+    alive = narrow.filter("_reason is null").select(order, "_key")
+    firsts = alive.groupBy("_key").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    repeated = firsts.filter("_copies > 1").select("_key", "_first")
+    return alive.join(repeated, "_key").filter(F.col(order) > F.col("_first")).select(order, F.lit(True).alias("_late"))
+
+
+def with_reject_reason(df: DataFrame, order: str = "row_id") -> DataFrame:
+    """`df` with `reject_reason`, see `reject_reasons`; only the ids of duplicates are joined to the rows."""
+    narrow = checkpoint(df.select(order, _first_reason().alias("_reason"), posting_key().alias("_key")))
+    late = _repeated(narrow, order)
+    reason = F.coalesce(_first_reason(), F.when(F.col("_late"), "duplicate"), F.lit("valid"))
+    return df.join(late, order, "left").withColumn("reject_reason", reason).drop("_late")
 
 
 def reject_profile(df: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def irrelevant_postings(spark, folder):
 @query("flt3_rule_chain", f"""
 WITH {REPOSTS}, {CHAIN.format(source="reposts")} SELECT row_id, reject_reason FROM chained""")
 def rule_chain(spark, folder):
-    return cleaning.with_reject_reason(reposts(spark, folder)).select("row_id", "reject_reason")
+    return cleaning.reject_reasons(reposts(spark, folder))
 
 
 @query("flt4_reject_profile", f"""
