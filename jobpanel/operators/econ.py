@@ -541,6 +541,20 @@ def individual_twfe(
     return [{"spec": n.split("=")[1], **fit[n]} for n in names], fit.wald(names)
 
 
+def individual_did(
+    df: DataFrame, y: str, cut: int, years: str = "year", exposure: str = "exposure", occ: str = "occ",
+    binary_above: float | None = None, cluster: str | None = None,
+) -> list[dict]:
+    """Row-level effect of exposure after `cut` with occupation and year effects.
+
+    Exposure enters as it is, or as 1 above `binary_above`.
+    """
+    dose = F.col(exposure) if binary_above is None else (F.col(exposure) > binary_above).cast("double")
+    rows = df.withColumn("treat_x_post", F.when(F.col(years) >= cut, dose).otherwise(0.0))
+    return did(rows, y, spec="continuous" if binary_above is None else "binary", weight=None,
+               effects=[fixed_effect(occ), fixed_effect(years)], cluster=cluster or occ)
+
+
 def year_interaction(cells: DataFrame, y: str, weight: str = "n", reference: int | None = None, occ_effects: bool = True) -> tuple[list[dict], dict]:
     """Cell model with HC3 errors and a joint F test on year x exposure."""
     base = cells.agg(F.min("year")).first()[0] if reference is None else reference

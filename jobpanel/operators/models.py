@@ -214,27 +214,61 @@ def cross_period_accuracy(
         "train string, test string, n bigint, top1 double, top3 double, gap double, verdict string")
 
 
-def regress_metric(df: DataFrame, target: str, blocks: dict[str, Sequence[str]], key: str, seed: int = 42) -> DataFrame:
-    """R2 and RMSE of boosted trees on all features and without each feature block.
+def _boosted(data: DataFrame, target: str, used: Sequence[str], seed: int) -> tuple[float, float, list[float]]:
+    """R2 and RMSE on the test rows of boosted trees on some features, and their importances."""
+    steps = Pipeline(stages=[
+        VectorAssembler(inputCols=list(used), outputCol="features"),
+        GBTRegressor(labelCol=target, featuresCol="features", maxIter=10, maxDepth=4, seed=seed)])
+    model = steps.fit(data.filter(~F.col("test")))
+    scored = model.transform(data.filter("test"))
+    r2 = RegressionEvaluator(labelCol=target, metricName="r2").evaluate(scored)
+    rmse = RegressionEvaluator(labelCol=target, metricName="rmse").evaluate(scored)
+    return float(r2), float(rmse), [float(x) for x in model.stages[-1].featureImportances.toArray()]
 
-    The test set is a fifth of the rows, chosen by a hash of the key.
-    """
+
+def _split(df: DataFrame, target: str, key: str, features: Sequence[str], seed: int) -> DataFrame:
+    """Complete rows with `test`, a fifth of them by a hash of the key."""
+    return df.select(target, key, *features).dropna().withColumn(
+        "test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5)) == 0)
+
+
+def regress_metric(df: DataFrame, target: str, blocks: dict[str, Sequence[str]], key: str, seed: int = 42) -> DataFrame:
+    """R2 and RMSE of boosted trees on all features and without each feature block."""
     features = [f for block in blocks.values() for f in block]
-    data = df.select(target, key, *features).dropna().withColumn(
-        "test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5)) == 0).persist()
+    data = _split(df, target, key, features, seed).persist()
     rows = []
     for name in ["all", *blocks]:
         used = [f for b, fs in blocks.items() for f in fs if b != name]
-        steps = Pipeline(stages=[
-            VectorAssembler(inputCols=used, outputCol="features"),
-            GBTRegressor(labelCol=target, featuresCol="features", maxIter=10, maxDepth=4, seed=seed)])
-        model = steps.fit(data.filter(~F.col("test")))
-        scored = model.transform(data.filter("test"))
-        r2 = RegressionEvaluator(labelCol=target, metricName="r2").evaluate(scored)
-        rmse = RegressionEvaluator(labelCol=target, metricName="rmse").evaluate(scored)
-        weights = model.stages[-1].featureImportances.toArray()
-        best = used[int(weights.argmax())]
-        rows.append((name, len(used), float(r2), float(rmse), best, float(weights.max())))
+        r2, rmse, weights = _boosted(data, target, used, seed)
+        rows.append((name, len(used), r2, rmse, used[weights.index(max(weights))], max(weights)))
     data.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "left_out string, n_features int, r2 double, rmse double, top_feature string, importance double")
+
+
+def feature_importance(df: DataFrame, target: str, features: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """Importance of every feature in the full model, its share and rank."""
+    data = _split(df, target, key, features, seed).persist()
+    _, _, weights = _boosted(data, target, features, seed)
+    data.unpersist()
+    order = sorted(range(len(features)), key=lambda i: (-weights[i], features[i]))
+    whole = sum(weights) or 1.0
+    return df.sparkSession.createDataFrame(
+        [(features[i], weights[i], weights[i] / whole, k + 1) for k, i in enumerate(order)],
+        "feature string, importance double, share double, rank int")
+
+
+def ablation_by_period(
+    df: DataFrame, target: str, features: Sequence[str], tested: str, period: str, key: str, seed: int = 42
+) -> DataFrame:
+    """Per period, R2 with and without one feature, the difference and the feature's share of importance."""
+    rows = []
+    rest = [f for f in features if f != tested]
+    for value in sorted(r[0] for r in df.select(period).distinct().collect()):
+        data = _split(df.filter(F.col(period) == value), target, key, features, seed).persist()
+        r2, _, weights = _boosted(data, target, features, seed)
+        without, _, _ = _boosted(data, target, rest, seed)
+        data.unpersist()
+        rows.append((str(value), r2, without, r2 - without, weights[list(features).index(tested)] / (sum(weights) or 1.0)))
+    return df.sparkSession.createDataFrame(
+        rows, "period string, r2_with double, r2_without double, delta_r2 double, share double")

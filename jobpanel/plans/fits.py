@@ -94,6 +94,19 @@ def metric_regressor(spark, folder):
         rows, "salary", {"quantity": ["eff"], "part": ["size", "topic"], "time": ["year"]}, "row"), 4)
 
 
+@query("mdl25_importance")
+def metric_importance(spark, folder):
+    rows = views.panel(spark, folder).withColumn("row", F.xxhash64("order_id", "salary", "eff"))
+    return rounded(models.feature_importance(rows, "salary", ["eff", "size", "topic", "year"], "row"), 4)
+
+
+@query("mdl25_periods")
+def metric_by_period(spark, folder):
+    rows = views.panel(spark, folder).withColumn("row", F.xxhash64("order_id", "salary", "eff")).withColumn(
+        "period", F.when(F.col("year") < 1996, "pre").otherwise("post"))
+    return rounded(models.ablation_by_period(rows, "salary", ["eff", "size", "topic", "year"], "size", "period", "row"), 4)
+
+
 # --- incremental jobs -----------------------------------------------------------------------------
 
 @query("str1_incremental_cleaning", f"""

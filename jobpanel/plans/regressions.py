@@ -201,6 +201,37 @@ def individual_twfe(spark, folder):
                                 "ci_lo": None, "ci_hi": None, "n": rows[0]["n"], "r2": rows[0]["r2"]}])
 
 
+def _individual(dose: str, spec: str) -> str:
+    """Two-way effects by repeated demeaning of the (occupation, year) cells, which carry all regressors."""
+    def less(c: str, by: str) -> str:
+        return f"{c} - sum(w * {c}) OVER (PARTITION BY k, {by}) / sum(w) OVER (PARTITION BY k, {by})"
+
+    return f"""
+WITH RECURSIVE {PANEL}, {EXPOSURE}, c AS (
+  SELECT occ, "year", CAST(count(*) AS DOUBLE) AS w, avg(ent) AS y, any_value({dose}) * CASE WHEN "year" >= {CUT} THEN 1.0 ELSE 0.0 END AS x
+  FROM panel JOIN exposure USING (occ) GROUP BY occ, "year"),
+d AS (SELECT 0 AS k, occ, "year", w, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c
+  UNION ALL SELECT k + 1, occ, "year", w, {less("x1", '"year"')}, {less("y1", '"year"')}
+  FROM (SELECT k, occ, "year", w, {less("x", "occ")} AS x1, {less("y", "occ")} AS y1 FROM d WHERE k < 60)),
+f AS (SELECT * FROM d WHERE k = 60),
+b AS (SELECT sum(w * x * y) / sum(w * x * x) AS beta, sum(w * x * x) AS sxx, sum(w) AS n,
+  count(DISTINCT occ) + count(DISTINCT "year") AS p FROM f),
+g AS (SELECT occ, sum(w * x * (y - beta * x)) AS u FROM f, b GROUP BY occ)
+SELECT '{spec}' AS spec, 'treat_x_post' AS term, round(any_value(beta), 8) AS beta,
+  round(sqrt(sum(u * u)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (any_value(n) - 1) / (any_value(n) - any_value(p))), 8) AS se,
+  CAST(any_value(n) AS BIGINT) AS n FROM g, b"""
+
+
+@query("reg13_continuous", _individual("exposure", "continuous"))
+def individual_continuous(spark, folder):
+    return small(spark, econ.individual_did(_rows(spark, folder), "ent", CUT))
+
+
+@query("reg13_binary", _individual("CASE WHEN exposure > 0.5 THEN 1.0 ELSE 0.0 END", "binary"))
+def individual_binary(spark, folder):
+    return small(spark, econ.individual_did(_rows(spark, folder), "ent", CUT, binary_above=0.5))
+
+
 @query("reg14_linear_probability")
 def linear_probability(spark, folder):
     rows = _rows(spark, folder).withColumn("analytic", F.col("topic").isin(1, 4, 6).cast("int"))

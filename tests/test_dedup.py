@@ -123,3 +123,15 @@ def test_large_limits_are_taken_in_slices(spark, monkeypatch):
     got = ranks.top_per_key(df, ["k"], [F.desc("id")], 5, rank="r").collect()
     assert {(r["k"], r["id"], r["r"]) for r in got} == {
         (k, 298 + k - 2 * i, i + 1) for k in (0, 1) for i in range(5)}
+
+
+def test_rule_tables_and_null_values(spark):
+    rules = spark.createDataFrame([(2, "数据", "B"), (1, "数据分析", "A"), (3, "计", "C"), (0, "没有", "Z")], "priority int, keyword string, code string")
+    df = spark.createDataFrame([(1, "数据分析师"), (2, "大数据"), (3, "会计"), (4, None), (5, ""), (6, "司机")], "id int, company string")
+    got = {r["id"]: r["industry_code"] for r in lookup.classify_companies(df, rules).collect()}
+    assert got == {1: "A", 2: "B", 3: "C", 4: None, 5: None, 6: None}
+    exposure = spark.createDataFrame([("A", 0.5, 0.1, "Gradient 1")], "isco08_4digit string, mean_score double, sd_score double, exposure_gradient string")
+    titles = spark.createDataFrame([(1, "数据分析师"), (2, None), (3, None)], "id int, title string")
+    out = {r["id"]: r for r in lookup.classify_titles(titles, rules, exposure).collect()}
+    assert (out[1]["ai_mean_score"], out[1]["isco_match_method"]) == (0.5, "keyword")
+    assert all((out[i]["ai_exposure_gradient"], out[i]["ai_mean_score"], out[i]["isco_match_method"]) == ("unknown", 0.25, "unknown") for i in (2, 3))
