@@ -116,11 +116,50 @@ def did_binary(spark, folder):
     return small(spark, econ.did(econ.high_exposure(cells(spark, folder)), "ent", "high_x_post", weight=None, spec="binary"))
 
 
-@query("reg4_did_weighted")
+def _absorbed(name: str, source: str, x: str, w: str = "n_jobs", y: str = "ent", effects: tuple[str, ...] = ("occ", "ind", '"year"'),
+              rounds: int = 120) -> str:
+    """CTEs of a weighted model with one regressor: its effects leave by repeated weighted demeaning."""
+    inner = f"SELECT k, occ, {', '.join(e for e in effects if e != 'occ')}{', ' if len(effects) > 1 or effects[0] != 'occ' else ''}w, x, y FROM {name}d WHERE k < {rounds}"
+    keep = ", ".join(dict.fromkeys(["k", "occ", *effects, "w"]))
+    for e in effects:
+        def less(c: str) -> str:
+            return f"{c} - sum(w * {c}) OVER (PARTITION BY k, {e}) / sum(w) OVER (PARTITION BY k, {e}) AS {c}"
+        inner = f"SELECT {keep}, {less('x')}, {less('y')} FROM ({inner})"
+    columns = ", ".join(dict.fromkeys(["occ", *effects]))
+    levels = " + ".join(f"count(DISTINCT {e})" for e in effects)
+    return f"""{name}d AS (
+  SELECT 0 AS k, {columns}, CAST({w} AS DOUBLE) AS w, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source}
+  UNION ALL SELECT k + 1, {columns}, w, x, y FROM ({inner})),
+{name}f AS (SELECT * FROM {name}d WHERE k = {rounds}),
+{name}b AS (SELECT sum(w * x * y) / sum(w * x * x) AS beta, sum(w * x * x) AS sxx, count(*) AS n, sum(w) AS weight, {levels} - {len(effects) - 2} AS p FROM {name}f),
+{name}g AS (SELECT occ, sum(w * x * (y - beta * x)) AS u FROM {name}f, {name}b GROUP BY occ)"""
+
+
+def _absorbed_row(name: str, spec: str, term: str = "treat_x_post", n: str = "n") -> str:
+    spec = spec if spec.startswith("(") else f"'{spec}'"
+    return f"""SELECT {spec} AS spec, '{term}' AS term, round(any_value(beta), 8) AS beta,
+  round(sqrt(sum(u * u)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (any_value({n}) - 1) / (any_value({n}) - any_value(p))), 8) AS se,
+  CAST(any_value({n}) AS BIGINT) AS n FROM {name}g, {name}b"""
+
+
+def _individual(dose: str, spec: str) -> str:
+    """The (occupation, year) cells carry all regressors of the row-level model."""
+    return f"""
+WITH RECURSIVE {PANEL}, {EXPOSURE}, c AS (
+  SELECT occ, "year", count(*) AS n_jobs, avg(ent) AS ent, any_value({dose}) * CASE WHEN "year" >= {CUT} THEN 1.0 ELSE 0.0 END AS x
+  FROM panel JOIN exposure USING (occ) GROUP BY occ, "year"),
+{_absorbed("a", "c", "x", effects=("occ", '"year"'))}
+{_absorbed_row("a", spec, n="weight")}"""
+
+
+@query("reg4_did_weighted", f"""
+WITH RECURSIVE {CELLS}, {_absorbed("c", "cells", "treat_x_post")}, {_absorbed("b", "cells", "treat_x_post", effects=("occ", '"year"'))},
+{_absorbed("a", "cells", "treat_x_post", effects=("occ",))}
+{_absorbed_row("c", "did")} UNION ALL {_absorbed_row("b", "two_way")} UNION ALL {_absorbed_row("a", "one_way")}""")
 def did_weighted(spark, folder):
     rows = cells(spark, folder)
     out = econ.did(rows, "ent") + econ.did(rows, "ent", effects=econ.FIXED_EFFECTS[:2], spec="two_way")
-    return full(spark, out + econ.did(rows, "ent", effects=econ.FIXED_EFFECTS[:1], spec="one_way"))
+    return small(spark, out + econ.did(rows, "ent", effects=econ.FIXED_EFFECTS[:1], spec="one_way"))
 
 
 @query("reg5_time_varying", f"""
@@ -201,27 +240,6 @@ def individual_twfe(spark, folder):
                                 "ci_lo": None, "ci_hi": None, "n": rows[0]["n"], "r2": rows[0]["r2"]}])
 
 
-def _individual(dose: str, spec: str) -> str:
-    """Two-way effects by repeated demeaning of the (occupation, year) cells, which carry all regressors."""
-    def less(c: str, by: str) -> str:
-        return f"{c} - sum(w * {c}) OVER (PARTITION BY k, {by}) / sum(w) OVER (PARTITION BY k, {by})"
-
-    return f"""
-WITH RECURSIVE {PANEL}, {EXPOSURE}, c AS (
-  SELECT occ, "year", CAST(count(*) AS DOUBLE) AS w, avg(ent) AS y, any_value({dose}) * CASE WHEN "year" >= {CUT} THEN 1.0 ELSE 0.0 END AS x
-  FROM panel JOIN exposure USING (occ) GROUP BY occ, "year"),
-d AS (SELECT 0 AS k, occ, "year", w, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c
-  UNION ALL SELECT k + 1, occ, "year", w, {less("x1", '"year"')}, {less("y1", '"year"')}
-  FROM (SELECT k, occ, "year", w, {less("x", "occ")} AS x1, {less("y", "occ")} AS y1 FROM d WHERE k < 60)),
-f AS (SELECT * FROM d WHERE k = 60),
-b AS (SELECT sum(w * x * y) / sum(w * x * x) AS beta, sum(w * x * x) AS sxx, sum(w) AS n,
-  count(DISTINCT occ) + count(DISTINCT "year") AS p FROM f),
-g AS (SELECT occ, sum(w * x * (y - beta * x)) AS u FROM f, b GROUP BY occ)
-SELECT '{spec}' AS spec, 'treat_x_post' AS term, round(any_value(beta), 8) AS beta,
-  round(sqrt(sum(u * u)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (any_value(n) - 1) / (any_value(n) - any_value(p))), 8) AS se,
-  CAST(any_value(n) AS BIGINT) AS n FROM g, b"""
-
-
 @query("reg13_continuous", _individual("exposure", "continuous"))
 def individual_continuous(spark, folder):
     return small(spark, econ.individual_did(_rows(spark, folder), "ent", CUT))
@@ -308,9 +326,17 @@ def cross_section(spark, folder):
     return small(spark, econ.cross_section(cells(spark, folder), "ent", 2000))
 
 
-@query("reg21_leave_one_out")
+def _without(rank: int) -> str:
+    return f"(SELECT occ FROM heaviest WHERE rank = {rank})"
+
+
+@query("reg21_leave_one_out", f"""
+WITH RECURSIVE {CELLS}, heaviest AS (SELECT occ, row_number() OVER (ORDER BY sum(n_jobs) DESC, occ) AS rank FROM cells GROUP BY occ),
+{_absorbed("full", "cells", "treat_x_post")},
+{", ".join(_absorbed(f"o{r}", f"(SELECT * FROM cells WHERE occ <> {_without(r)})", "treat_x_post") for r in range(1, 6))}
+{_absorbed_row("full", "full")} {" ".join("UNION ALL " + _absorbed_row(f"o{r}", f"('without_' || {_without(r)})") for r in range(1, 6))}""")
 def leave_one_out(spark, folder):
-    return full(spark, econ.leave_one_out(cells(spark, folder), "ent", 5))
+    return small(spark, econ.leave_one_out(cells(spark, folder), "ent", 5))
 
 
 @query("reg22_trend_slopes", f"""
@@ -340,13 +366,19 @@ def residual_means(spark, folder):
     return rounded(econ.residual_means(views.panel(spark, folder), "ent", ["size"]))
 
 
-@query("reg24_within_heterogeneity")
+@query("reg24_within_heterogeneity", f"""
+WITH RECURSIVE {CELLS}, a AS (SELECT occ, "year", sum(n_jobs) AS n, sum(n_jobs * ent) / sum(n_jobs) AS m FROM cells GROUP BY occ, "year" HAVING sum(n_jobs) >= 50),
+h AS (SELECT c.occ, c."year", any_value(a.n) AS n_jobs, any_value(treat_x_post) AS x,
+  sqrt(sum(n_jobs * sd_ent * sd_ent) / any_value(a.n) + sum(n_jobs * (ent - a.m) * (ent - a.m)) / any_value(a.n)) AS sd, any_value(a.m) AS m
+  FROM cells c JOIN a ON a.occ = c.occ AND a."year" = c."year" GROUP BY c.occ, c."year"),
+{_absorbed("s", "h", "x", y="sd", effects=("occ", '"year"'))}, {_absorbed("v", "h", "x", y="sd / m", effects=("occ", '"year"'))}
+{_absorbed_row("s", "sd")} UNION ALL {_absorbed_row("v", "cv")}""")
 def within_heterogeneity(spark, folder):
     base = views.cells(spark, folder).withColumnRenamed("ent", "mean_ent")
     pooled = panel.pooled_variance(base, ["occ", "year"], "ent").join(views.exposure(spark, folder), "occ")
     rows = checkpoint(econ.did_columns(pooled, CUT))
     effects = econ.FIXED_EFFECTS[:2]
-    return full(spark, econ.did(rows, "sd_ent", effects=effects, spec="sd") + econ.did(rows, "cv_ent", effects=effects, spec="cv"))
+    return small(spark, econ.did(rows, "sd_ent", effects=effects, spec="sd") + econ.did(rows, "cv_ent", effects=effects, spec="cv"))
 
 
 @query("reg25_gradient_summary", f"""
