@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import checkpoint
 from . import ragged
+from .columns import fresh, packed
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words in one broadcast block
@@ -156,30 +157,31 @@ def mark(
     ids count as one item. An empty benchmark marks nothing. Benchmarks of more
     than one block are scanned block after block, so the broadcast stays bounded.
     """
-    out = docs.withColumn("_marks", F.lit(None).cast(_HITS))
+    marks, = fresh(docs.columns, "_marks")
+    out = docs.withColumn(marks, F.lit(None).cast(_HITS))
     done = False
     for block in blocks(benchmark, item, item_text, block_words):
         if done:
             out = checkpoint(out)
         scan = _scan(Windows(block, window))
-        out = out.withColumn("_marks", scan(F.col(text), F.col("_marks.spans"), F.col("_marks.items")))
+        out = out.withColumn(marks, scan(F.col(text), F.col(f"{marks}.spans"), F.col(f"{marks}.items")))
         done = True
     if not done:
-        out = out.withColumn("_marks", _scan(Windows([], window))(
-            F.col(text), F.col("_marks.spans"), F.col("_marks.items")))
+        out = out.withColumn(marks, _scan(Windows([], window))(
+            F.col(text), F.col(f"{marks}.spans"), F.col(f"{marks}.items")))
     out = out.withColumns({
-        "n_words": F.col("_marks.n_words"), "hit_spans": F.col("_marks.spans"),
-        "hit_items": F.col("_marks.items"), "n_hit": F.col("_marks.n_hit")})
-    return out.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words"))).drop("_marks")
+        "n_words": F.col(f"{marks}.n_words"), "hit_spans": F.col(f"{marks}.spans"),
+        "hit_items": F.col(f"{marks}.items"), "n_hit": F.col(f"{marks}.n_hit")})
+    return out.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words"))).drop(marks)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return mark(docs, benchmark, **options).filter("not contaminated").select(*docs.columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
+    """The documents that are not contaminated, as they were."""
+    return mark(packed(docs, text=text), benchmark, **options).filter("not contaminated").select("row.*")
 
 
 @F.arrow_udf(T.StringType())
@@ -201,5 +203,6 @@ def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
     """All documents, hit words and what lies between them cut out of the text; null stays null."""
-    marked = mark(docs, benchmark, text=text, **options)
-    return marked.withColumn(text, _without(F.col(text), F.col("hit_spans"))).select(*docs.columns)
+    marked = mark(packed(docs, text=text), benchmark, **options)
+    cut = _without(F.col("text"), F.col("hit_spans"))
+    return marked.select(*[cut.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ranks import broadcast_if_small
 from ..session import checkpoint
+from .columns import packed
 
 ROUNDS = 40
 TOGETHER = 5  # rounds in one plan
@@ -142,3 +143,12 @@ def mix(
     out = full.drop(*added).alias("a").join(broadcast_if_small(weights, BROADCAST_CELLS).alias("b"), same).select(
         "a.*", *[f"b.{c}" for c in added])
     return out.withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability"))
+
+
+def sample(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang",
+    **options: object,
+) -> DataFrame:
+    """The documents that `mix` samples, as they were."""
+    rows = packed(docs, doc_id=id_col, text=text_col, source=source, lang=lang)
+    return mix(rows, **options).filter("sampled").select("row.*")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ragged
+from .columns import packed
 
 TRAINING_ROWS = 20_000  # most labelled rows the model is fitted on, drawn by hash of their ids
 BINS, PAIR_BINS = 48, 8
@@ -273,6 +274,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", **co
     return docs.withColumn("score", _scorer(model)(_vectors()(F.col(text_col))))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **columns: object) -> DataFrame:
-    """The documents with a score of at least 0.5, with their own columns."""
-    return with_scores(docs, labels, **columns).filter("score >= 0.5").select(*docs.columns)
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: object
+) -> DataFrame:
+    """The documents with a score of at least 0.5, as they were."""
+    rows = packed(docs, id=id_col, text=text_col)
+    return with_scores(rows, labels, id_col="id", **columns).filter("score >= 0.5").select("row.*")

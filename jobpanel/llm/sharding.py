@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ranks import broadcast_if_small
 from ..session import checkpoint
+from .columns import fresh
 
 ROW_BYTES = 16  # what a document weighs besides its text
 PROBES = 63  # candidates per splitter and round
@@ -184,13 +185,16 @@ def shard(
     starts = checkpoint(cells.select(
         "shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    key, place, part, at, own = fresh([*docs.columns, *added], "_key", "_place", "_part", "_at", "_own")
     full = docs.withColumns({
-        "_key": F.xxhash64(whole), "_place": F.xxhash64(F.col(id_col)), "size": size,
+        own: F.col(id_col), key: F.xxhash64(whole), place: F.xxhash64(F.col(id_col)), "size": size,
         "text_crc32": F.crc32(whole.cast("binary"))})
-    full = full.withColumns({"shard": shard_of(F.col("_key")), "_slice": cell})
-    own = Window.partitionBy("shard", "_slice").orderBy(F.col(id_col), "_key")
-    numbered = full.withColumn("_at", F.row_number().over(own).cast("bigint") - 1).join(
-        broadcast_if_small(starts, 1_000_000), ["shard", "_slice"])
-    return numbered.withColumns({
-        "law": F.lit("bytes"), "slot": F.col("_at") + F.col("_start"), "grown_shard": F.lit(None).cast("int"),
-    }).select(*[c for c in docs.columns if c not in added], *added)
+    full = full.withColumns({
+        "shard": shard_of(F.col(key)), part: F.pmod(F.col(place), F.lit(slices)).cast("int")})
+    order = Window.partitionBy("shard", part).orderBy(own, key)
+    numbered = full.withColumn(at, F.row_number().over(order).cast("bigint") - 1)
+    first = broadcast_if_small(starts, 1_000_000).alias("s")
+    same = (F.col("f.shard") == F.col("s.shard")) & (F.col(f"f.{part}") == F.col("s._slice"))
+    return numbered.alias("f").join(first, same).select("f.*", (F.col(f"f.{at}") + F.col("s._start")).alias(own + "_slot")).withColumns({
+        "law": F.lit("bytes"), "slot": F.col(own + "_slot"), "grown_shard": F.lit(None).cast("int"),
+    }).select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)

@@ -79,3 +79,24 @@ def test_pipeline_stages(spark):
         kept.append(now)
     whole = {r.doc_id for r in pipeline.run(spark, FOLDER).collect()}
     assert whole == set(kept[-1])
+
+
+def test_stages_keep_odd_rows_and_columns_whole(spark):
+    import corpus_pipeline as pipeline
+
+    names = ("score", "n_words", "hit_spans", "contaminated", "tokens", "topic", "sampled", "factor", "_marks", "_id", "_key", "_slice", "row", "id")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
+    texts = [None, "", "  ", "?!", "one", "One two.", "A plain sentence of some words. " * 40, "A plain sentence of some words. " * 40, "é" * 5000]
+    rows = [(k, t, None if k % 3 else "en", None if k % 4 else "s", None, *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)]
+    rows += [(None, "a null id", None, None, None, *names), (6, texts[6], "en", None, None, *(f"{n}6" for n in names))]
+    docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        for frame in (docs, docs.limit(0)):
+            out = stage(spark, frame, FOLDER)
+            got = out.select(*[f"`{c}`" for c in docs.columns]).collect()
+            if k < 4:
+                assert out.columns == docs.columns
+            own = set(map(tuple, frame.collect()))
+            assert all(tuple(r) in own for r in got)
+            if k in (2, 4):  # nothing here is contaminated
+                assert len(got) == frame.count()
