@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from ..session import ship
+
+ROWS = 1000  # texts are wide rows: ten thousand of them can be hundreds of megabytes
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Jobs that run inside hand Python at most `rows` rows at a time, for wide rows or large results."""
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_ROWS, before)
+def prepare(spark: SparkSession) -> None:
+    """Makes the package importable on executors and hands Python at most `ROWS` rows at a time."""
+    ship(spark)
+    now = int(spark.conf.get(_SETTING))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(_SETTING, str(ROWS))

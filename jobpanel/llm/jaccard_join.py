@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.ranks import broadcast_if_small
 from ..session import checkpoint
 from . import ragged
-from .batches import small_batches
 from .components import components
 
 SHINGLE = 5
@@ -176,6 +175,7 @@ def _brute_force(threshold: float, n: int) -> object:
             root = _labels(len(table), np.concatenate(firsts), np.concatenate(seconds))
             moved = np.flatnonzero(root != np.arange(len(table)))
             ids = table["cid"].combine_chunks()
+            ragged.release()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(moved)), ids.take(pa.array(root[moved]))], ["a", "b"])
 
     return run
@@ -272,6 +272,7 @@ def _verify(up: int, down: int) -> object:
                 out += cell(table.slice(lo, hi - lo))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            ragged.release()
 
     return run
 
@@ -293,13 +294,6 @@ def similar_texts(
     repeat an id stay and count as copies. Null ids are larger than any other.
     An empty table gives an empty one; other columns are not read.
     """
-    with small_batches(docs.sparkSession):
-        return _similar_texts(docs, id_col, text_col, threshold, shingle, recall)
-
-
-def _similar_texts(
-    docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int], shingle: int, recall: float
-) -> DataFrame:
     up, down = threshold
     share = up / down
     roots = root_paths(share, recall)
@@ -361,8 +355,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options: object) -> Data
     twice = checkpoint(
         classes.filter(F.col(id_col).isNotNull() & (F.col("class_id") == F.col(id_col)) & (F.col("n_copies") > 1))
         .groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(id_col).alias("_id")))
-    left = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    same = F.col(f"d.`{id_col}`") == F.col("o._id")
+    left = docs.alias("d").join(gone.alias("o"), same, "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return left.join(twice, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+    once = left.alias("d").join(twice.alias("o"), same, "left_semi").dropDuplicates([id_col])
+    return left.alias("d").join(twice.alias("o"), same, "left_anti").unionByName(once)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ship
 from . import chat, decontam, exact_dedup, html_text, jaccard_join, lm, mixing, quality, sharding, token_counts
+from .batches import prepare
 from .checks import CHECKS  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 def query(function: Query) -> Query:
     @functools.wraps(function)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return function(spark, folder)
 
     QUERIES[function.__name__] = run

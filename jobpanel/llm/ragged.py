@@ -9,6 +9,7 @@ everywhere. Work goes in pieces of bounded size, whatever a text's length.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -44,13 +45,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
-    """Consecutive row ranges of at most `limit` bytes, or one longer row."""
+    """Consecutive row ranges of at most `limit` bytes, or one longer row; memory goes back at the end."""
     _, offsets = text_bytes(column)
     start, n = 0, len(column)
     while start < n:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
         yield column.slice(start, end - start)
         start = end
+    release()
+
+
+@functools.cache
+def _trim() -> object:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between stages, idle."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
