@@ -11,36 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from jobpanel.llm import decontam, jaccard_join, mixing, quality, sharding  # noqa: E402
-from jobpanel.session import shared_folder, ship  # noqa: E402
+from jobpanel.llm.batches import prepare  # noqa: E402
+from jobpanel.session import shared_folder  # noqa: E402
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    ship(spark)
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of similar texts."""
-    ship(spark)
+    prepare(spark)
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passages to speak of."""
-    ship(spark)
+    prepare(spark)
     return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target weights."""
-    ship(spark)
-    return mixing.mix(docs).filter("sampled").select(*docs.columns)
+    prepare(spark)
+    return mixing.sample(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and place in it."""
-    ship(spark)
+    prepare(spark)
     return sharding.shard(docs)
 
 
