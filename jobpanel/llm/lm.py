@@ -24,7 +24,7 @@ BLOCK_BYTES = 24 << 20  # text of one block
 U64 = ragged.U64
 
 _REQUEST = "block int, bucket int, grams binary, counts binary"
-_TOTALS = "block int, bucket int, grams binary, totals binary"
+_TOTALS = "block int, bucket int, totals binary"
 _SCORES = "_id {kind}, n_tokens bigint, log_score double, n_backed_off bigint"
 
 
@@ -38,15 +38,21 @@ def _grams_of(texts: pa.Array, order: int) -> list[tuple[np.ndarray, np.ndarray,
     return out
 
 
+def _block_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all orders, sorted, and their counts."""
+    grams, counts = np.empty(0, U64), np.empty(0, np.int64)
+    for part in ragged.slices(texts):
+        fresh, times = np.unique(np.concatenate([g for g, _, _ in _grams_of(part, order)]), return_counts=True)
+        grams, counts = _added(grams, counts, fresh, times)
+    return grams, counts
+
+
 def _requests(order: int, buckets: int) -> object:
     """Distinct n-grams of a block and their counts, one row per bucket of the hash range."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table["_block"][0].as_py()
-        grams, counts = np.empty(0, U64), np.empty(0, np.int64)
-        for part in ragged.slices(table["_text"].combine_chunks()):
-            fresh, times = np.unique(np.concatenate([g for g, _, _ in _grams_of(part, order)]), return_counts=True)
-            grams, counts = _added(grams, counts, fresh, times)
+        grams, counts = _block_counts(table["_text"].combine_chunks(), order)
         cuts = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({
@@ -87,7 +93,10 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Joins the n-grams of one bucket over all blocks and answers every block with the totals of its own."""
+    """Joins the n-grams of one bucket over all blocks and answers every block with the totals of its own.
+
+    Totals come in the order of the block's n-grams, which the block knows.
+    """
     rows = [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
     counts = [_unpacked(c, len(g)) for g, c in zip(rows, table["counts"].to_pylist())]
     known, slot = np.unique(np.concatenate(rows), return_inverse=True)
@@ -96,9 +105,7 @@ def _totals(table: pa.Table) -> pa.Table:
     for g in rows:
         answer.append(_packed(total[slot[at:at + len(g)]]))
         at += len(g)
-    return pa.table({
-        "block": table["block"], "bucket": table["bucket"], "grams": table["grams"],
-        "totals": pa.array(answer, pa.binary())})
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(answer, pa.binary())})
 
 
 def _slice_scores(
@@ -138,17 +145,18 @@ def _slice_scores(
     return tokens, np.bincount(row, best, n), backed
 
 
-def _scores(order: int, backoff: float, whole: int, schema: pa.Schema) -> object:
+def _scores(order: int, backoff: float, whole: int, buckets: int, schema: pa.Schema) -> object:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return schema.empty_table()
-        parts = sorted(
-            zip(answers["bucket"].to_pylist(), answers["grams"].to_pylist(), answers["totals"].to_pylist()))
-        known = np.concatenate([np.frombuffer(g, U64) for _, g, _ in parts]) if parts else np.empty(0, U64)
-        total = np.concatenate([_unpacked(t, len(g) // 8) for _, g, t in parts]) if parts else np.empty(0, np.int64)
+        texts = docs["_text"].combine_chunks()
+        known, _ = _block_counts(texts, order)
+        sizes = np.bincount(_bucket(known, buckets), minlength=buckets)
+        parts = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
+        total = np.concatenate([np.empty(0, np.int64), *(_unpacked(t, sizes[b]) for b, t in parts)])
         done = [
             _slice_scores(part, known, total, order, backoff, whole)
-            for part in ragged.slices(docs["_text"].combine_chunks())]
+            for part in ragged.slices(texts)]
         tokens, sums, backed = (np.concatenate(x) for x in zip(*done))
         return pa.table([
             docs["_id"], pa.array(tokens.astype(np.int64)), pa.array(sums), pa.array(backed.astype(np.int64))],
@@ -189,7 +197,7 @@ def score(
         ("_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("log_score", pa.float64()), ("n_backed_off", pa.int64())])
     whole = words_of(docs, text_col)
     scored = dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scores(order, backoff, whole, schema), _SCORES.format(kind=kind.simpleString()))
+        _scores(order, backoff, whole, blocks, schema), _SCORES.format(kind=kind.simpleString()))
     return scored.select(
         F.col("_id").alias(id_col), "n_tokens", "log_score",
         F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"), "n_backed_off")
