@@ -4,7 +4,8 @@ Documents are dealt into blocks by hash. Each block explodes its texts into word
 n-grams and adds them up; the sums meet in count tables partitioned by n-gram hash,
 where equal n-grams of all blocks are joined. The totals go back to the blocks that
 asked and are joined to their n-grams, and scores are summed per document. A block
-sends every n-gram once however often it occurs, so no n-gram is a hot key.
+sends every n-gram once however often it occurs, so no n-gram is a hot key. What
+blocks send is packed: sorted hashes as differences, counts compressed.
 """
 
 from __future__ import annotations
@@ -40,11 +41,14 @@ def _grams_of(texts: pa.Array, order: int) -> list[tuple[np.ndarray, np.ndarray,
 
 def _block_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of all orders, sorted, and their counts."""
-    grams, counts = np.empty(0, U64), np.empty(0, np.int64)
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
     for part in ragged.slices(texts):
-        fresh, times = np.unique(np.concatenate([g for g, _, _ in _grams_of(part, order)]), return_counts=True)
-        grams, counts = _added(grams, counts, fresh, times)
-    return grams, counts
+        tables.append(np.unique(np.concatenate([g for g, _, _ in _grams_of(part, order)]), return_counts=True))
+        while len(tables) > 1 and len(tables[-2][0]) <= 2 * len(tables[-1][0]):  # tables of like size meet
+            tables[-2:] = [_added(*tables[-2], *tables[-1])]
+    while len(tables) > 1:
+        tables[-2:] = [_added(*tables[-2], *tables[-1])]
+    return tables[0] if tables else (np.empty(0, U64), np.empty(0, np.int64))
 
 
 def _requests(order: int, buckets: int) -> object:
@@ -57,8 +61,8 @@ def _requests(order: int, buckets: int) -> object:
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "block": pa.array(np.full(len(full), block, np.int32)), "bucket": pa.array(full.astype(np.int32)),
-            "grams": pa.array([grams[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
-            "counts": pa.array([_packed(counts[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())})
+            "grams": pa.array([_coded(grams[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
+            "counts": pa.array([_pressed(_packed(counts[cuts[b]:cuts[b + 1]])) for b in full], pa.binary())})
 
     return run
 
@@ -92,18 +96,38 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _pressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpressed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _coded(grams: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte: five low bytes as they are, the high ones compressed."""
+    planes = np.diff(grams, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(grams).to_bytes(8, "little") + planes[:5].tobytes() + _pressed(planes[5:].tobytes())
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    at = 8 + 5 * int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(data[8:at] + _unpressed(data[at:]), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=U64)
+
+
 def _totals(table: pa.Table) -> pa.Table:
     """Joins the n-grams of one bucket over all blocks and answers every block with the totals of its own.
 
     Totals come in the order of the block's n-grams, which the block knows.
     """
-    rows = [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
-    counts = [_unpacked(c, len(g)) for g, c in zip(rows, table["counts"].to_pylist())]
+    rows = [_decoded(g) for g in table["grams"].to_pylist()]
+    counts = [_unpacked(_unpressed(c), len(g)) for g, c in zip(rows, table["counts"].to_pylist())]
     known, slot = np.unique(np.concatenate(rows), return_inverse=True)
     total = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
     answer, at = [], 0
     for g in rows:
-        answer.append(_packed(total[slot[at:at + len(g)]]))
+        answer.append(_pressed(_packed(total[slot[at:at + len(g)]])))
         at += len(g)
     return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(answer, pa.binary())})
 
@@ -119,8 +143,10 @@ def _slice_scores(
     left = np.maximum(whole - tokens, 1)[row]
     best, used, shorter = np.zeros(words), np.ones(words, np.int64), np.zeros(words, np.int64)
     for k, (grams, last, rows) in enumerate(found):
-        slot = np.searchsorted(known, grams)
-        pair = np.lexsort((slot, rows))
+        by_hash = np.argsort(grams)
+        slot = np.empty(len(grams), np.int64)
+        slot[by_hash] = np.searchsorted(known, grams[by_hash])
+        pair = by_hash[np.argsort(rows[by_hash], kind="stable")]
         s, r = slot[pair], rows[pair]
         cut = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])))) if len(s) else pair
         times = np.diff(np.append(cut, len(grams)))
@@ -153,7 +179,7 @@ def _scores(order: int, backoff: float, whole: int, buckets: int, schema: pa.Sch
         known, _ = _block_counts(texts, order)
         sizes = np.bincount(_bucket(known, buckets), minlength=buckets)
         parts = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
-        total = np.concatenate([np.empty(0, np.int64), *(_unpacked(t, sizes[b]) for b, t in parts)])
+        total = np.concatenate([np.empty(0, np.int64), *(_unpacked(_unpressed(t), sizes[b]) for b, t in parts)])
         done = [
             _slice_scores(part, known, total, order, backoff, whole)
             for part in ragged.slices(texts)]
@@ -189,7 +215,8 @@ def score(
     blocks = max(1, math.ceil(size / block_bytes))
     own = docs.select(F.col(id_col).alias("_id"), whole_text.alias("_text"))
     dealt = own.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
-    requests = dealt.groupBy("_block").applyInArrow(_requests(order, blocks), _REQUEST)
+    buckets = math.ceil(blocks * max(order, 2) / 2)  # a bucket's n-grams do not grow with the order
+    requests = dealt.groupBy("_block").applyInArrow(_requests(order, buckets), _REQUEST)
     answers = requests.groupBy("bucket").applyInArrow(
         _totals, _TOTALS)
     kind = dealt.schema["_id"].dataType
@@ -197,7 +224,7 @@ def score(
         ("_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("log_score", pa.float64()), ("n_backed_off", pa.int64())])
     whole = words_of(docs, text_col)
     scored = dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scores(order, backoff, whole, blocks, schema), _SCORES.format(kind=kind.simpleString()))
+        _scores(order, backoff, whole, buckets, schema), _SCORES.format(kind=kind.simpleString()))
     return scored.select(
         F.col("_id").alias(id_col), "n_tokens", "log_score",
         F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"), "n_backed_off")

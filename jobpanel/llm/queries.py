@@ -90,8 +90,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document under the model of all others."""
-    return lm.score(table(spark, folder, "documents"))
+    """Each document under the model of all others, by trigrams that back off twice."""
+    return lm.score(table(spark, folder, "documents"), order=3)
 
 
 @query

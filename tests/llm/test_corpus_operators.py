@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobpanel.llm import components, exact_dedup, jaccard_join, lm, mixing, quality, sharding
+from jobpanel.llm import components, exact_dedup, jaccard_join, lm, mixing, quality, queries, sharding
 
 DOCS = "doc_id bigint, text string"
 FULL = "doc_id bigint, text string, lang string, source string"
@@ -174,6 +174,52 @@ def test_scores_repeated_rows_and_empty_table(spark):
     assert lm.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def scores_by_strings(rows, order, backoff=0.4):
+    """`brute.lm_scores` for any order: a word's longest n-gram that the other rows have."""
+    texts = [(i, brute.words(t)) for i, t in rows]
+    grams = lambda w: Counter(tuple(w[k:k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    every = Counter()
+    for _, w in texts:
+        every.update(grams(w))
+    whole, out = sum(len(w) for _, w in texts), {}
+    for i, w in texts:
+        others = every.copy()
+        others.subtract(grams(w))
+        total = backed = 0
+        for k, x in enumerate(w):
+            for n in range(min(order, k + 1), 0, -1):
+                long, context = others[tuple(w[k - n + 1:k + 1])], others[tuple(w[k - n + 1:k])]
+                if n > 1 and long > 0:
+                    total += math.log(long / context)
+                    break
+                if n > 1:
+                    total += math.log(backoff)
+                else:
+                    total += math.log((long if long > 0 else 0.5) / max(whole - len(w), 1))
+            backed += n < min(order, k + 1)
+        out[i] = (len(w), total, backed)
+    return out
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    rng = random.Random(12)
+    lines = ["the cat sat on the mat", "the dog sat on the cat", "the mat sat on the dog"]
+    rows = list(enumerate([*lines * 3, *(prose(rng, 40) for _ in range(30)), "", "lone"]))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = scores_by_strings(rows, 3)
+    out = queries.op9_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        n, s, backed = wanted[r.doc_id]
+        assert (r.n_tokens, r.n_backed_off) == (n, backed) and math.isclose(r.log_score, s, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_coded_hashes_survive():
+    values = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=lm.U64))
+    for v in (values, values[:1], values[:0], np.array([0, (1 << 64) - 1], lm.U64)):
+        assert lm._decoded(lm._coded(v)).tolist() == v.tolist()
+
+
 def test_counts_above_a_byte_survive():
     values = np.array([1, 254, 255, 256, 10**12])
     assert lm._unpacked(lm._packed(values), 5).tolist() == values.tolist()
