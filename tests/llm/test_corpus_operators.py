@@ -112,6 +112,13 @@ def test_join_of_one_large_group(spark, monkeypatch):
     assert out == brute.similar(rows) and max(v[2] for v in out.values()) > 50
 
 
+def test_join_of_groups_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 60)
+    rng = random.Random(8)
+    rows = list(enumerate(near_copies(rng, 16, 2, 120) + near_copies(rng, 16, 3, 120)))
+    assert joined(spark, rows) == brute.similar(rows)
+
+
 def test_join_without_words_or_rows(spark):
     assert joined(spark, [(1, None), (2, ""), (3, "!")]) == {k: (k, k, 0, 1) for k in (1, 2, 3)}
     assert joined(spark, []) == {}
