@@ -32,7 +32,6 @@ DEPTH = 4  # splits after which a bucket is one candidate group
 FANOUT = 2  # paths on from a large bucket
 POOL = 28  # hash functions for splits below the root
 ALIKE = 0.75  # share of a parent's sets from which a large bucket is one group of candidates
-SLACK = 5.0  # standard deviations by which an estimate may miss the threshold
 BLOCK_SETS, BLOCK_TOKENS = 512, 400_000  # most sets and about most tokens of one block of a candidate group
 BROADCAST_SETS = 500_000
 
@@ -43,10 +42,31 @@ def root_paths(threshold: float, recall: float) -> int:
     A large bucket loses a pair for good with the probability q that solves
     q = (1 - s (1 - q)) ** FANOUT; the root misses it when all its paths do.
     """
+    return math.ceil(math.log(1 - recall) / math.log(_root_misses(threshold)))
+
+
+def _root_misses(threshold: float) -> float:
+    """Probability that one path at the root misses a pair at the threshold."""
     lost = 0.0
     for _ in range(DEPTH):
         lost = (1 - threshold * (1 - lost)) ** FANOUT
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - lost)))
+    return 1 - threshold * (1 - lost)
+
+
+def least_equal(threshold: float, recall: float, roots: int, n: int) -> int:
+    """Equal samples of n that a pair in a small bucket must have: paths and this cut together keep `recall`.
+
+    The number of equal samples of a pair at the threshold is binomial; the cut takes
+    what the paths at the root leave of 1 - `recall`.
+    """
+    left = 1 - recall - _root_misses(threshold) ** roots
+    below, k = 0.0, 0
+    while k < n:
+        below += math.comb(n, k) * threshold ** k * (1 - threshold) ** (n - k)
+        if below > left:
+            break
+        k += 1
+    return k
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -151,9 +171,8 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _brute_force(threshold: float, n: int) -> object:
-    """Candidate edges inside small buckets: every set to the first of those it is linked to."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n)
+def _brute_force(threshold: float, n: int, least: int) -> object:
+    """Candidate edges inside small buckets: every set to the first of those it is linked to by `least` equal samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["bucket"], 20_000):
@@ -167,7 +186,7 @@ def _brute_force(threshold: float, n: int) -> object:
                 other = same + shift
                 fits = np.minimum(sizes[same], sizes[other]) >= threshold * np.maximum(sizes[same], sizes[other])
                 same, other = same[fits], other[fits]
-                alike = (samples[same] == samples[other]).mean(axis=1) >= least
+                alike = (samples[same] == samples[other]).sum(axis=1) >= least
                 firsts.append(same[alike])
                 seconds.append(other[alike])
             if not firsts:
@@ -181,7 +200,9 @@ def _brute_force(threshold: float, n: int) -> object:
     return run
 
 
-def candidate_edges(classes: DataFrame, threshold: float, roots: int, n: int) -> DataFrame:
+def candidate_edges(
+    classes: DataFrame, threshold: float, roots: int, n: int, recall: float = RECALL
+) -> DataFrame:
     """Edges (`a`, `b`) that connect all sets which share a path and may reach the threshold.
 
     A large bucket that keeps most of its parent's sets after a split holds sets that
@@ -189,6 +210,7 @@ def candidate_edges(classes: DataFrame, threshold: float, roots: int, n: int) ->
     large at the last depth. Every set of such a group leads to its least one.
     """
     edges = None
+    least_same = least_equal(threshold, recall, roots, n)
     at_root = F.array(*[F.xxhash64(F.lit(i), F.col("mh")[i]) for i in range(roots)])
     members = classes.select("cid", F.explode(at_root).alias("bucket"), F.lit(None).cast("bigint").alias("_parent"))
     for depth in range(DEPTH + 1):
@@ -197,7 +219,7 @@ def candidate_edges(classes: DataFrame, threshold: float, roots: int, n: int) ->
         small = (
             shared.filter(F.col("_sets") <= SMALL).join(classes.select("cid", "n", "mh"), "cid")
             .select("bucket", "cid", "n", "mh").repartition("bucket").sortWithinPartitions("bucket", "cid")
-            .mapInArrow(_brute_force(threshold, n), "a binary, b binary"))
+            .mapInArrow(_brute_force(threshold, n, least_same), "a binary, b binary"))
         edges = small if edges is None else edges.unionByName(small)
         large = shared.filter(F.col("_sets") > SMALL)
         if large.isEmpty():
@@ -289,7 +311,8 @@ def similar_texts(
     other sets with a Jaccard similarity of at least the threshold, copies not
     expanded; `class_id` is the least id among all documents linked directly or
     through others. Every link counted is exact; a pair at the threshold is found
-    with probability `recall`, more similar ones more surely. Null, empty and
+    with probability `recall`, paths and the cut on equal samples together, more
+    similar ones more surely. Null, empty and
     wordless texts are alone: their ids are their own, without links. Rows that
     repeat an id stay and count as copies. Null ids are larger than any other.
     An empty table gives an empty one; other columns are not read.
@@ -304,7 +327,7 @@ def similar_texts(
         rows.filter("n > 0").groupBy("cid").agg(
             F.min("_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
             F.first("mh").alias("mh")))
-    groups = checkpoint(components(candidate_edges(classes, share, roots, n)))
+    groups = checkpoint(components(candidate_edges(classes, share, roots, n, recall)))
     # blocks of a candidate group, by its sets and tokens
     members = groups.select(F.col("node").alias("cid"), F.col("root").alias("group")).join(
         classes.select("cid", "copy_id", "n"), "cid")

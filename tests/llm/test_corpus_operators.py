@@ -139,6 +139,16 @@ def test_root_paths_reach_the_recall():
     assert jaccard_join.root_paths(0.8, 0.9) < jaccard_join.root_paths(0.8, 0.999)
 
 
+def test_paths_and_cut_together_reach_the_recall(spark):
+    least = jaccard_join.least_equal(0.8, 1 - 1e-7, 12, 40)
+    cut = sum(math.comb(40, k) * 0.8 ** k * 0.2 ** (40 - k) for k in range(least))
+    paths = jaccard_join._root_misses(0.8) ** 12
+    assert cut + paths <= 1e-7 < cut + paths + math.comb(40, least) * 0.8 ** least * 0.2 ** (40 - least)
+    rows = [(bytes([k]), 100, list(range(17)) + [1000 + 100 * k + i for i in range(23)]) for k in (1, 2)]
+    classes = spark.createDataFrame(rows, "cid binary, n int, mh array<int>")
+    assert jaccard_join.candidate_edges(classes, 0.8, 12, 40).count()  # 17 of 40 samples are equal
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(60)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(120)] + [(7, 7)]
