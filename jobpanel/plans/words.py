@@ -205,6 +205,17 @@ def window_similarity(spark, folder):
         docs(spark, folder), "id", tokens.neighbours(F.col("tokens")), "year", 2016, 2025))
 
 
+@query("nlp15_adjacent_windows", f"""
+WITH {TOKENS}, s AS (SELECT id, "year", list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || '_' || tokens[i + 1])) AS p FROM toks),
+y AS (SELECT "year" AS first, lead("year") OVER (ORDER BY "year") AS last FROM (SELECT DISTINCT "year" FROM toks)),
+j AS (SELECT first, last, len(list_intersect(a.p, b.p)) AS shared, len(a.p) + len(b.p) AS total FROM y JOIN s a ON a."year" = first JOIN s b ON b."year" = last)
+SELECT first, last, count(*) AS n_pairs, round(avg(shared / (total - shared)), 6) AS avg_similarity, round(max(shared / (total - shared)), 6) AS max_similarity,
+  round(min(shared / (total - shared)), 6) AS min_similarity FROM j GROUP BY first, last""")
+def adjacent_windows(spark, folder):
+    """Every year with the next: all documents take part."""
+    return rounded(tokens.adjacent_window_similarity(docs(spark, folder), "id", tokens.neighbours(F.col("tokens")), "year"))
+
+
 # the flagship query: word entropy and length by language and year
 FLAGSHIP = TERMS + """,
 d AS (SELECT id, CAST(sum(n) AS BIGINT) AS total, count(*) AS v FROM doc_terms GROUP BY id),

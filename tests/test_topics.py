@@ -70,6 +70,20 @@ def test_window_similarity_in_blocks(docs):
     assert (r["max_similarity"], r["min_similarity"]) == pytest.approx((max(sims), min(sims)))
 
 
+def test_every_window_is_compared_with_the_next(spark):
+    rows = DOCS + [(5, 2019, "a b c d c d".split()), (6, 2019, "x y z".split()), (7, None, "a b".split())]
+    df = spark.createDataFrame(rows, "id long, year int, tokens array<string>")
+    sets = {i: set(zip(d, d[1:])) for i, _, d in rows}
+    for block_rows in (1, 5000):
+        out = tokens.adjacent_window_similarity(df, "id", tokens.neighbours(F.col("tokens")), "year", block_rows).collect()
+        got = {(r["first"], r["last"]): r for r in out}
+        assert sorted(got) == [(2016, 2017), (2017, 2019)] and len(out) == 2
+        for (first, last), r in got.items():
+            sims = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, v, _ in rows for j, w, _ in rows if (v, w) == (first, last)]
+            assert r["n_pairs"] == len(sims) and r["avg_similarity"] == pytest.approx(np.mean(sims))
+            assert (r["max_similarity"], r["min_similarity"]) == pytest.approx((max(sims), min(sims)))
+
+
 def test_inference_matches_numpy(docs, spark):
     rng = np.random.default_rng(0)
     vocabulary = sorted({t for _, _, d in DOCS for t in d} - {"q", "r"})
