@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
 from ..session import checkpoint
-from .ranks import exact_quantiles, shuffled, top_per_key
+from .ranks import exact_quantiles, join_on, shuffled, top_per_key
 
 
 def cell_panel(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], min_n: int = 0) -> DataFrame:
-    """n, mean, exact median and population sd of every metric per cell."""
+    """n, mean, exact median and population sd of every metric per cell; null keys are cells of their own."""
     aggs = [F.count(F.lit(1)).alias("n_jobs")]
     for m in metrics:
         aggs += [F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"sd_{m}")]
@@ -21,18 +21,18 @@ def cell_panel(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], min_n
         out = out.filter(F.col("n_jobs") >= min_n)
     out = checkpoint(out)  # one row per cell
     medians = exact_quantiles(df, keys, {f"median_{m}": (m, 0.5) for m in metrics})
-    return out.join(medians, list(keys), "left")
+    return join_on(out, medians, keys, "left")
 
 
 def weighted_stats(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """Weighted mean and sd with the unweighted median per key."""
+    """Weighted mean and sd with the unweighted median per key; the null key is a key."""
     w, x = F.col(weight), F.col(value)
     mean = F.sum(w * x) / F.sum(w)
     square = F.sum(w * x * x) / F.sum(w)
     stats = df.groupBy(key).agg(
         mean.alias("wmean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("wsd"),
         F.count(F.lit(1)).alias("n"))
-    return stats.join(exact_quantiles(df, [key], {"median": (value, 0.5)}), key)
+    return join_on(stats, exact_quantiles(df, [key], {"median": (value, 0.5)}), [key])
 
 
 def top_codes(df: DataFrame, key: str, code: str, weight: str, score: str, n: int = 3) -> DataFrame:
@@ -152,11 +152,11 @@ def adoption(cells: DataFrame, group: Sequence[str], hits: str, n: str) -> DataF
 
 
 def quartile_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """n, mean and interpolated quartiles per key."""
+    """n, mean and interpolated quartiles per key; null keys are keys of their own."""
     base = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_jobs"), F.avg(value).alias("mean")))
     quartiles = exact_quantiles(
-        df, keys, {"q25": (value, 0.25), "q50": (value, 0.5), "q75": (value, 0.75)}, base)
-    return base.withColumnRenamed("n_jobs", "n").join(quartiles, list(keys), "left")
+        df, keys, {"q25": (value, 0.25), "q50": (value, 0.5), "q75": (value, 0.75)})
+    return join_on(base.withColumnRenamed("n_jobs", "n"), quartiles, keys, "left")
 
 
 def breadth_depth(df: DataFrame, keys: Sequence[str], share: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -48,8 +50,15 @@ def with_first(df: DataFrame, keys: Sequence[str], order: str, name: str = "firs
     repeated = (
         df.groupBy(*keys).agg(F.min(order).alias(name), F.count(F.lit(1)).alias("_copies"))
         .filter("_copies > 1").drop("_copies"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return df.alias("l").join(repeated.alias("r"), same, "left").select("l.*", f"r.{name}")
+    return join_on(df, repeated, keys, "left")
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same names where null equals null; the keys come from the left side once."""
+    same = reduce(and_, (F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys))
+    taken = set(keys)
+    return left.alias("l").join(right.alias("r"), same, how).select(
+        "l.*", *[f"r.`{c}`" for c in right.columns if c not in taken])
 
 
 def ranked(

@@ -211,7 +211,7 @@ def industry_years(spark, folder):
         F.count(F.lit(1)).alias("n_jds"), F.avg((F.col("ent") > 0.05).cast("int")).alias("exposure"),
         F.avg("eff").alias("mean_breadth"), F.avg("ent").alias("mean_entropy")).filter("n_jds >= 100")
     medians = ranks.exact_quantiles(rows, ["ind", "year"], {"median_breadth": ("eff", 0.5)})
-    return rounded(base.join(medians, ["ind", "year"], "left"))
+    return rounded(ranks.join_on(base, medians, ["ind", "year"], "left"))
 
 
 @query("agg18_quartile_summary", f"""
