@@ -113,3 +113,53 @@ SELECT doc_id, source, lang, topic, tokens, round(factor, 6) AS factor, round(pr
     u < probability AS sampled
 FROM drawn
 """
+
+CHECKS["op11_fill_in_middle"] = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents),
+numbers AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn),
+parts AS (
+    SELECT *, substring(t, 1, least(a, b)) AS p, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+        substring(t, greatest(a, b) + 1) AS s
+    FROM numbers)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
+
+_ROUND = """
+    near{k} AS (
+        SELECT row, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (
+            SELECT row, c, CAST(sum((x.v - y.v) * (x.v - y.v)) AS BIGINT) AS distance
+            FROM parts x JOIN centre{k} y USING (dim) GROUP BY row, c)
+        GROUP BY row)"""
+_MOVE = """,
+    centre{next} AS (
+        SELECT c, dim, coalesce(m, v) AS v FROM centre{k} LEFT JOIN (
+            SELECT c, dim, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS m
+            FROM near{k} JOIN parts USING (row) GROUP BY c, dim) USING (c, dim)),"""
+
+CHECKS["op13_centroid_clustering"] = """
+WITH kept AS (
+        SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), ints) AS row, vec_id, ints
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+              FROM embeddings WHERE len(embedding) = 64
+                AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)),
+    parts AS (SELECT row, unnest(range(64)) AS dim, unnest(ints) AS v FROM kept),
+    centre0 AS (SELECT row - 1 AS c, dim, v FROM parts WHERE row <= 16),""" + "".join(
+    _ROUND.format(k=k) + _MOVE.format(k=k, next=k + 1) for k in range(3)) + _ROUND.format(k=3) + """,
+    names AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM centre3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN near3 USING (row) JOIN names USING (c)
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, html_text, jaccard_join, lm, mixing, quality, sharding, token_counts
+from . import (
+    centroids, chat, decontam, exact_dedup, html_text, infill, jaccard_join, lm, mixing, packing, quality, sharding,
+    token_counts)
 from .batches import prepare
 from .checks import CHECKS  # noqa: F401
 
@@ -97,3 +99,28 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-middle forms of whole texts and the texts rebuilt from them."""
+    made = infill.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 1024 tokens; the other two limits cannot bind before that of the tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
