@@ -118,7 +118,7 @@ def cluster(
     and moves the centroids; at the end vectors are assigned once more. Repeated rows
     each count, an empty table gives an empty one, other columns are not read. An added
     name that the id has gets an underscore in front. Components too
-    large for 64-bit distances raise.
+    large for 64-bit distances raise; a sum of distances beyond 64 bits is null.
     """
     spark = df.sparkSession
     names = fresh([id_col], "cluster", "distance", "cluster_inertia", "inertia", "centroid")
@@ -132,8 +132,12 @@ def cluster(
     sums = near.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()
     inertia = {r["cluster"]: int(r["s"]) for r in sums}  # one number per centroid
     whole = sum(inertia.values())
+
+    def bounded(x: int) -> int | None:
+        return x if x < 1 << 63 else None
+
     table = spark.createDataFrame(
-        [(c, inertia[c], whole, [int(x) for x in centroids[c]]) for c in inertia],
+        [(c, bounded(inertia[c]), bounded(whole), [int(x) for x in centroids[c]]) for c in inertia],
         "cluster int, cluster_inertia bigint, inertia bigint, centroid array<bigint>")
     own = near.join(F.broadcast(table), "cluster")  # at most k rows
     return own.select(

@@ -205,7 +205,11 @@ def plain_clusters(rows, k, rounds, dims, scale):
     inertia = Counter()
     for _, d, j in found:
         inertia[j] += d
-    return Counter((i, j, d, inertia[j], sum(inertia.values()), tuple(centre[j])) for i, d, j in found)
+
+    def bounded(x):
+        return x if x < 2**63 else None
+
+    return Counter((i, j, d, bounded(inertia[j]), bounded(sum(inertia.values())), tuple(centre[j])) for i, d, j in found)
 
 
 @pytest.mark.parametrize("spread", [1.0, 1e6])
