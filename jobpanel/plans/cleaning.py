@@ -478,7 +478,25 @@ def exact_text(spark, folder):
     return dedup.split_duplicates(rows, dedup.text_key(F.col("text")), "doc_id").select("doc_id", "is_duplicate")
 
 
-@query("dup4_near_duplicates")
+@query("dup4_near_duplicates", f"""
+WITH RECURSIVE {DOCS}, t AS (SELECT id, lang, regexp_replace(coalesce(text, ''), '[^一-龥a-zA-Z0-9]', '', 'g') AS t FROM docs),
+g AS (SELECT id, lang, t, CASE WHEN length(t) >= 3 THEN list_sort(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)))) ELSE [t] END AS g FROM t),
+f AS MATERIALIZED (SELECT *, min(id) OVER (PARTITION BY lang, length(t) < 3, g) AS first FROM g WHERE t <> ''),
+s AS (SELECT id, lang, g, len(g) AS n FROM f WHERE id = first AND length(t) >= 3),
+-- sets that differ share a shingle, so pairs come from their common shingles
+l AS (SELECT id, lang, n, unnest(g) AS x FROM s),
+o AS (SELECT a.id AS head, b.id AS id, any_value(a.n) + any_value(b.n) AS n, count(*) AS common
+  FROM l a JOIN l b ON a.lang = b.lang AND a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.9::DOUBLE * greatest(a.n, b.n) - 0.000001 GROUP BY a.id, b.id),
+e AS (SELECT id, head FROM o WHERE common::DOUBLE / (n - common) >= 0.9::DOUBLE),
+q AS MATERIALIZED (SELECT id, list(head) AS heads, row_number() OVER (ORDER BY id) AS k FROM e GROUP BY id),
+-- row after row: similar if one of its earlier neighbours is not
+w AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone
+  UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.heads, lambda h: NOT list_contains(w.gone, h))) > 0 THEN list_append(w.gone, q.id) ELSE w.gone END
+  FROM w JOIN q ON q.k = w.k + 1),
+d AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM w ORDER BY k DESC LIMIT 1))
+SELECT t.id, CASE WHEN t.t = '' THEN 'empty' WHEN f.id > f.first THEN 'copy' WHEN d.id IS NOT NULL THEN 'similar' ELSE 'kept' END AS status
+FROM t LEFT JOIN f ON f.id = t.id LEFT JOIN d ON d.id = t.id""")
 def near_duplicates(spark, folder):
     return dedup.near_duplicates(views.docs(spark, folder), "id", "text", ["lang"])
 

@@ -49,6 +49,43 @@ def test_near_duplicates_follow_the_greedy_rule(spark, parts):
     assert got[900] == got[901] == got[904] == "empty" and got[903] == "copy"
 
 
+@pytest.mark.parametrize("frequent,words", [(3, 16), (1, 1)])
+def test_frequent_shingles_and_families_change_nothing(spark, monkeypatch, frequent, words):
+    rng = random.Random(7)
+    monkeypatch.setattr(dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(dedup, "PARITY_WORDS", words)
+    family = "".join(rng.choice("abcdefgh") for _ in range(150))
+    rows = _texts(rng)[:120]
+    for i in range(60):  # one large family, which drifts
+        t = list(family)
+        for _ in range(rng.choice([1, 2, 3])):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        if i % 20 == 0:
+            family = "".join(t)
+        rows.append((2000 + i, "u", "".join(t)))
+    df = spark.createDataFrame(rows, "id long, b string, t string").repartition(3)
+    got = {r["id"]: r["status"] == "kept" for r in dedup.near_duplicates(df, "id", "t", ["b"]).collect()}
+    assert got == _greedy(rows, 0.9)
+
+
+def test_alike_sets_meet_in_the_index(spark):
+    """Every pair at the threshold, the least that counts included, shares a bucket."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for k in range(300):
+        n = rng.randint(1, 60)
+        a = set(rng.sample(range(10**6), n))
+        b = set(rng.sample(sorted(a), rng.randint(max(1, int(n * 0.85)), n))) | {-rng.randrange(10**6) for _ in range(rng.randint(0, 3))}
+        rows += [(2 * k, 0, sorted(a), len(a)), (2 * k + 1, 0, sorted(b), len(b))]
+        if a != b and len(a & b) / len(a | b) >= 0.9:
+            pairs.append((2 * k + 1, 2 * k))
+    sets = spark.createDataFrame(rows, "id long, block long, sh array<bigint>, n int")
+    index = dedup._index(sets, 0.9)
+    near = dedup._near(dedup._parities(sets.select("id", "sh")), dedup._met(index, index, 0.9), 0.9)
+    found = {tuple(r) for r in near.collect()}
+    assert pairs and set(pairs) <= found
+
+
 def test_jaccard_is_exact(spark):
     df = spark.createDataFrame([("abcdef", "abcdxy")], "a string, b string")
     x = df.select(dedup.jaccard(dedup.shingles(F.col("a")), dedup.shingles(F.col("b")))).first()[0]
