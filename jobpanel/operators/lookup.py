@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed, titles
 from ..functions.text import alternation, lookup as constant_lookup
 from .ranks import first_per_key, top_per_key
+from .rule_index import keyword_hits
 
 
 def attach(df: DataFrame, table: DataFrame, on: str | Sequence[str], fill: Mapping | None = None) -> DataFrame:
@@ -328,7 +329,7 @@ def dictionary_counts(df: DataFrame, key: str, column: str, terms: DataFrame, te
     """Number of different dictionary terms each text contains; both sides lower-cased."""
     words = terms.select(F.lower(term).alias("_term")).filter(F.length("_term") >= 2).distinct()
     texts = df.select(key, F.lower(F.coalesce(column, F.lit(""))).alias("_t"))
-    found = contains_join(texts, "_t", words, "_term").groupBy(key).agg(
+    found = keyword_hits(texts, key, "_t", words, "_term").groupBy(key).agg(
         F.count(F.lit(1)).alias("skill_count"))
     return df.join(found, key, "left").fillna({"skill_count": 0})
 

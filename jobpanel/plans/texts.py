@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, quality, skills, text, titles, urls
-from ..functions.segment import embedder, segmenter
+from ..functions.segment import MAX_DICTIONARY, embedder, segmenter
 from ..functions.text import alternation
-from ..operators import cleaning, enrich, lookup, panel, ranks, tokens
+from ..operators import cleaning, enrich, lookup, panel, ranks, rule_index, tokens
 from ..session import checkpoint
 from ..sources import views
 from ..sources.views import CAPTURES, DOCS, MATCHES, POSTINGS, SCORES, sql_list, table
@@ -289,15 +289,6 @@ def dictionary_terms(spark, folder):
     return lookup.clean_terms(labels, "p_partkey").select("term", "origin_label", "type")
 
 
-@query("udf1_dictionary_segmentation")
-def dictionary_segmentation(spark, folder):
-    """Tokens of the descriptions with Han runs cut by the longest dictionary match."""
-    cut = segmenter(spark, ["数据分析", "系统开发", "需求分析", "架构设计", "熟练", "使用", "工作经验", "掌握", "报表"])
-    rows = views.postings(spark, folder).withColumn(
-        "raw", cut(text.runs(text.protect_symbol_terms(F.coalesce("description", F.lit(""))))))
-    return rows.select("row_id", F.array_join(text.filter_tokens(F.col("raw")), " ").alias("tokens"))
-
-
 @query("udf4_embedding_hook", """
 SELECT doc_id AS id, list_transform(['a', 'e', 'i', 'o'], lambda c: round((length(text) - length(replace(text, c, ''))) / greatest(1, length(text)), 9)) AS v FROM documents""")
 def embedding_hook(spark, folder):
@@ -529,22 +520,55 @@ DIMENSIONS = {
 }
 
 
-def _dimension_sql(name: str) -> str:
-    keywords, levels = DIMENSIONS[name]
-    level = "CASE " + " ".join(
-        f"WHEN regexp_matches(d, '{alternation(levels[n])}') THEN {n}" for n in (5, 4, 3, 2, 1)) + " ELSE 2 END"
-    factor = _map_case("education", fixed.EDUCATION_FACTORS, "0.0")
-    return (f"CASE WHEN regexp_matches(d, '{alternation(keywords)}') THEN "
-            f"CAST(greatest(1, least(5, round_even({level} + {factor}, 0))) AS INTEGER) ELSE 0 END")
+# the given tables and, up to 19 dimensions, every two-character piece of the descriptions in one by its code points
+DIMENSION_NAMES = [*DIMENSIONS, *[f"d{k}" for k in range(3, 20)]]
+_PIECES = """pieces AS (
+  SELECT DISTINCT keyword, unicode(keyword) AS a, unicode(substring(keyword, 2)) AS b FROM (
+    SELECT substring(d, i, 2) AS keyword FROM (
+      SELECT d, unnest(range(1, length(d))) AS i FROM (SELECT DISTINCT lower(coalesce(description, '')) AS d FROM postings)))
+  WHERE regexp_matches(keyword, '^[一-龥]{2}$'))"""
+
+
+def description_pieces(rows):
+    text_ = F.lower(F.coalesce("description", F.lit("")))
+    return rows.select(text_.alias("d")).distinct().select(
+        F.explode(F.regexp_extract_all("d", F.lit("(?=([一-龥]{2}))"), 1)).alias("keyword")).distinct().select(
+        "keyword", F.ascii("keyword").alias("a"), F.ascii(F.substring("keyword", 2, 1)).alias("b"))
+
+
+def dimension_rules(spark, rows):
+    given = [(name, 0, k) for name, (words, _) in DIMENSIONS.items() for k in words]
+    given += [(name, n, k) for name, (_, levels) in DIMENSIONS.items() for n, words in levels.items() for k in words]
+    own = description_pieces(rows).select(
+        F.concat(F.lit("d"), (3 + (F.col("a") + F.col("b")) % 17).cast("string")).alias("dimension"),
+        (F.col("b") % 6).cast("int").alias("level"), "keyword")
+    return spark.createDataFrame(given, "dimension string, level int, keyword string").unionByName(own)
+
+
+_GIVEN_RULES = ", ".join(
+    f"('{name}', {n}, '{k}')" for name, (words, levels) in DIMENSIONS.items()
+    for n, ks in [(0, words), *levels.items()] for k in ks)
+SKILL_SCORES = POSTINGS + f""",
+p AS (SELECT row_id, education, title, lower(coalesce(description, '')) AS d FROM postings), {_PIECES},
+rules AS (SELECT * FROM (VALUES {_GIVEN_RULES}) v(dimension, level, keyword)
+  UNION ALL SELECT 'd' || (3 + (a + b) % 17), b % 6, keyword FROM pieces),
+levels AS (SELECT row_id, dimension, max(level) AS top FROM p JOIN rules ON contains(d, keyword) GROUP BY row_id, dimension HAVING min(level) = 0),
+l AS (
+  SELECT p.row_id, education, title, skill, CASE WHEN top IS NULL THEN 0 ELSE CAST(greatest(1, least(5, round_even(
+    CASE top WHEN 0 THEN 2 ELSE top END + {_map_case("education", fixed.EDUCATION_FACTORS, "0.0")}, 0))) AS INTEGER) END AS score
+  FROM p CROSS JOIN (SELECT unnest([{sql_list(DIMENSION_NAMES)}]) AS skill) n LEFT JOIN levels v ON v.row_id = p.row_id AND v.dimension = n.skill)"""
+
+
+def scored_postings(spark, folder):
+    rows = checkpoint(views.postings(spark, folder).select("row_id", "education", "title", "description"))
+    return rule_index.skill_scores(rows, "row_id", "description", "education", dimension_rules(spark, rows), DIMENSION_NAMES)
 
 
 @query("cls10_skill_scores", f"""
-WITH {POSTINGS}, p AS (SELECT row_id, education, lower(coalesce(description, '')) AS d FROM postings)
-SELECT row_id, {", ".join(f"{_dimension_sql(n)} AS {n}" for n in DIMENSIONS)} FROM p""")
+WITH {SKILL_SCORES} SELECT row_id, {", ".join(f"max(CASE WHEN skill = '{n}' THEN score END) AS {n}" for n in DIMENSION_NAMES)} FROM l GROUP BY row_id""")
 def skill_scores(spark, folder):
-    return views.postings(spark, folder).select("row_id", *[
-        skills.skill_score(F.col("description"), F.col("education"), keywords, levels).alias(name)
-        for name, (keywords, levels) in DIMENSIONS.items()])
+    """All 19 dimensions."""
+    return scored_postings(spark, folder).select("row_id", *DIMENSION_NAMES)
 
 
 CATEGORIES = [
@@ -554,37 +578,65 @@ CATEGORIES = [
 ]
 
 
-def _tag_sql(c) -> str:
-    name, keywords, levels = c
-    level = "CASE " + " ".join(
-        f"WHEN regexp_matches(d, '{alternation([w.lower() for w in ws])}') THEN '{lv}'" for lv, ws in levels) + " ELSE '未指定' END"
-    found = f"list_filter([{sql_list(keywords)}], lambda k: contains(d, lower(k)))"
-    return f"{{'name': '{name}', 'level': {level}, 'found': {found}}}"
+LEVEL_LABELS = ["初级", "中级", "高级"]
+CATEGORY_NAMES = [*[c[0] for c in CATEGORIES], *[f"c{k}" for k in range(4, 11)]]
+
+
+def category_rules(spark, rows):
+    """The given categories, then seven of the pieces of the descriptions."""
+    given, n = [], 0
+    for place, (name, words, levels) in enumerate(CATEGORIES):
+        for level, ks in [(0, words), *[(LEVEL_LABELS.index(lv) + 1, ks) for lv, ks in levels]]:
+            for k in ks:
+                given.append((place, name, level, n, k))
+                n += 1
+    place = 3 + (F.col("a") * 3 + F.col("b")) % 7
+    own = description_pieces(rows).select(
+        place.cast("int").alias("place"), F.concat(F.lit("c"), (place + 1).cast("string")).alias("category"),
+        (F.col("b") % 4).cast("int").alias("level"), (1000 + F.col("a")).cast("int").alias("priority"), "keyword")
+    return spark.createDataFrame(given, "place int, category string, level int, priority int, keyword string").unionByName(own)
+
+
+def _given_categories() -> str:
+    out, n = [], 0
+    for place, (name, words, levels) in enumerate(CATEGORIES):
+        for level, ks in [(0, words), *[(LEVEL_LABELS.index(lv) + 1, ks) for lv, ks in levels]]:
+            for k in ks:
+                out.append(f"({place}, '{name}', {level}, {n}, '{k}')")
+                n += 1
+    return ", ".join(out)
 
 
 @query("cls11_skill_tags", f"""
-WITH {POSTINGS}, p AS (SELECT row_id, trim(education) AS education, experience, lower(coalesce(description, '')) AS d FROM postings),
-t AS (SELECT *, list_filter([{", ".join(_tag_sql(c) for c in CATEGORIES)}], lambda x: len(x.found) > 0) AS tags FROM p),
+WITH {POSTINGS}, p AS (SELECT row_id, trim(education) AS education, experience, lower(coalesce(description, '')) AS d FROM postings), {_PIECES},
+rules AS (SELECT * FROM (VALUES {_given_categories()}) v(place, category, level, priority, keyword)
+  UNION ALL SELECT 3 + (a * 3 + b) % 7, 'c' || (4 + (a * 3 + b) % 7), b % 4, 1000 + a, keyword FROM pieces),
+h AS (
+  SELECT row_id, place, category, coalesce(list(keyword ORDER BY priority, keyword) FILTER (level = 0), []) AS found, min(level) FILTER (level > 0) AS lv
+  FROM p JOIN rules ON contains(d, lower(keyword)) GROUP BY row_id, place, category),
+g AS (
+  SELECT row_id, list({{'name': category, 'level': CASE lv WHEN 1 THEN '初级' WHEN 2 THEN '中级' WHEN 3 THEN '高级' ELSE '未指定' END, 'found': found}} ORDER BY place) AS tags
+  FROM h WHERE len(found) > 0 GROUP BY row_id),
 s AS (
-  SELECT *, coalesce(list_avg(list_transform(tags, lambda x: CASE x.level WHEN '初级' THEN 1.0 WHEN '中级' THEN 2.0 WHEN '高级' THEN 3.0 ELSE 0.0 END)), 0.0) AS lv FROM t),
+  SELECT p.*, tags, coalesce(list_avg(list_transform(tags, lambda x: CASE x.level WHEN '初级' THEN 1.0 WHEN '中级' THEN 2.0 WHEN '高级' THEN 3.0 ELSE 0.0 END)), 0.0) AS lv
+  FROM p LEFT JOIN g ON g.row_id = p.row_id),
 v AS (
   SELECT *, {_map_case("education", fixed.EDUCATION_LEVELS, "0")} * 0.3::DOUBLE + {_map_case("experience", fixed.EXPERIENCE_LEVELS, "0")} * 0.3::DOUBLE + lv::DOUBLE * 0.4::DOUBLE AS value FROM s)
-SELECT row_id, array_to_string(list_transform(tags, lambda x: x.name || '(' || x.level || ')'), '; ') AS tags,
-  array_to_string(list_slice(flatten(list_transform(list_slice(tags, 1, 3), lambda x: list_slice(x.found, 1, 2))), 1, 5), ', ') AS top_keywords,
+SELECT row_id, coalesce(array_to_string(list_transform(tags, lambda x: x.name || '(' || x.level || ')'), '; '), '') AS tags,
+  coalesce(array_to_string(list_slice(flatten(list_transform(list_slice(tags, 1, 3), lambda x: list_slice(x.found, 1, 2))), 1, 5), ', '), '') AS top_keywords,
   CASE WHEN value < 1.5::DOUBLE THEN '初级' WHEN value < 2.5::DOUBLE THEN '中级' WHEN value < 3.5::DOUBLE THEN '高级' ELSE '专家' END AS overall FROM v""")
 def skill_tags(spark, folder):
-    rows = views.postings(spark, folder).withColumn("t", skills.skill_tags(F.col("description"), CATEGORIES))
+    """All ten categories."""
+    rows = checkpoint(views.postings(spark, folder).select("row_id", "education", "experience", "description"))
+    rows = rule_index.skill_tags(rows, "row_id", "description", category_rules(spark, rows), LEVEL_LABELS)
     return rows.select(
-        "row_id", F.array_join(F.transform("t", lambda x: F.concat(x["category"], F.lit("("), x["level"], F.lit(")"))), "; ").alias("tags"),
-        F.array_join(skills.top_keywords(F.col("t")), ", ").alias("top_keywords"),
-        skills.overall_level(F.col("t"), F.trim("education"), F.col("experience")).alias("overall"))
+        "row_id", F.array_join(F.transform("tags", lambda x: F.concat(x["category"], F.lit("("), x["level"], F.lit(")"))), "; ").alias("tags"),
+        F.array_join(skills.top_keywords(F.col("tags")), ", ").alias("top_keywords"),
+        skills.overall_level(F.col("tags"), F.trim("education"), F.col("experience")).alias("overall"))
 
 
 @query("cls12_score_report", f"""
-WITH {POSTINGS}, p AS (SELECT row_id, education, title, lower(coalesce(description, '')) AS d FROM postings),
-s AS (SELECT row_id, education, title, {", ".join(f"{_dimension_sql(n)} AS {n}" for n in DIMENSIONS)} FROM p),
-l AS (SELECT * FROM s UNPIVOT (score FOR skill IN (communication, software)))
-SELECT skill, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN score = 0 THEN 100.0 ELSE 0.0 END), 6) AS zero_pct,
+WITH {SKILL_SCORES} SELECT skill, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN score = 0 THEN 100.0 ELSE 0.0 END), 6) AS zero_pct,
   round(avg(CASE WHEN score > 0 THEN score END), 6) AS nonzero_mean, {", ".join(f"count(*) FILTER (score = {i}) AS n{i}" for i in range(6))}
 FROM l GROUP BY skill""")
 def score_report(spark, folder):
@@ -597,24 +649,20 @@ def score_report(spark, folder):
 
 
 def long_scores(rows, keep):
-    return rows.unpivot(keep, list(DIMENSIONS), "skill", "score")
+    return rows.unpivot(keep, DIMENSION_NAMES, "skill", "score")
 
 
 @query("cls12_scores_by_education", f"""
-WITH {POSTINGS}, p AS (SELECT row_id, education, title, lower(coalesce(description, '')) AS d FROM postings),
-s AS (SELECT row_id, education, title, {", ".join(f"{_dimension_sql(n)} AS {n}" for n in DIMENSIONS)} FROM p),
-l AS (SELECT * FROM s UNPIVOT (score FOR skill IN (communication, software))),
-t AS (SELECT title, skill, avg(score) AS m FROM l GROUP BY title, skill HAVING avg(score) > 0)
+WITH {SKILL_SCORES}, t AS (SELECT title, skill, avg(score) AS m FROM l GROUP BY title, skill HAVING avg(score) > 0)
 SELECT 'education' AS kind, education AS key, '' AS skill, round(avg(score), 6) AS mean_score FROM l GROUP BY education
 UNION ALL SELECT 'title', title, skill, round(m, 6) FROM t
   QUALIFY row_number() OVER (PARTITION BY title ORDER BY round(m, 9) DESC, skill) <= 1""")
 def scores_by_education(spark, folder):
-    rows = views.postings(spark, folder).select("education", "title", *[
-        skills.skill_score(F.col("description"), F.col("education"), keywords, levels).alias(name)
-        for name, (keywords, levels) in DIMENSIONS.items()])
-    long = long_scores(rows, ["education", "title"])
-    a = long.groupBy(F.col("education").alias("key")).agg(F.round(F.avg("score"), 6).alias("mean_score"))
-    b = long.groupBy(F.col("title").alias("key"), "skill").agg(F.avg("score").alias("m")).filter("m > 0")
+    long = checkpoint(long_scores(scored_postings(spark, folder).select("education", "title", *DIMENSION_NAMES), ["education", "title"]).groupBy(
+        "education", "title", "skill").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n")))
+    mean = F.sum("s") / F.sum("n")
+    a = long.groupBy(F.col("education").alias("key")).agg(F.round(mean, 6).alias("mean_score"))
+    b = long.groupBy(F.col("title").alias("key"), "skill").agg(mean.alias("m")).filter("m > 0")
     b = ranks.top_per_key(b, ["key"], [F.desc(F.round("m", 9)), "skill"], 1)
     return a.select(F.lit("education").alias("kind"), "key", F.lit("").alias("skill"), "mean_score").unionByName(
         b.select(F.lit("title").alias("kind"), "key", "skill", F.round("m", 6).alias("mean_score")))
@@ -663,17 +711,73 @@ def topic_category(spark, folder):
     return ranks.share_of(counts).withColumn("share", F.round("share", 6))
 
 
+_TERM_SIZES = range(2, 7)
+_TERMS = """term_pieces AS (
+  SELECT DISTINCT substring(d, i, n) AS term FROM (
+    SELECT d, unnest(range(1, length(d))) AS i FROM (SELECT DISTINCT lower(coalesce(description, '')) AS d FROM postings)),
+    (SELECT unnest(range(2, 7)) AS n) WHERE i + n - 1 <= length(d) AND i % 3 = 1),
+words AS (SELECT term FROM term_pieces UNION SELECT lower(p_name) FROM part UNION SELECT lower(p_type) FROM part)"""
+
+
+def dictionary(spark, folder, rows):
+    """Pieces of two to six characters of the descriptions, one place in three, and all part names and types."""
+    texts = rows.select(F.lower(F.coalesce("description", F.lit(""))).alias("d")).distinct()
+    grams = [F.filter(F.regexp_extract_all("d", F.lit(f"(?s)(?=(.{{{n}}}))"), 1), lambda x, i: i % 3 == 0) for n in _TERM_SIZES]
+    part = table(spark, folder, "part")
+    own = texts.select(F.explode(F.flatten(F.array(*grams))).alias("term"))
+    return own.union(part.select(F.lower("p_name"))).union(part.select(F.lower("p_type"))).distinct()
+
+
 @query("cls17_dictionary_counts", f"""
-WITH {POSTINGS}, words AS (
-  SELECT DISTINCT lower(term) AS w FROM (SELECT unnest(['Python', 'SQL', 'Office', '数据分析', '架构设计', '系统开发', '会计证书', '3D', '沟通', '客户沟通']) AS term))
-SELECT row_id, count(w) AS skill_count FROM postings LEFT JOIN words ON contains(lower(coalesce(description, '')), w) GROUP BY row_id""")
+WITH {POSTINGS}, {_TERMS},
+p AS (SELECT row_id, lower(coalesce(description, '')) AS d FROM postings),
+-- every term is a piece of two to six characters or longer than any description holds
+t AS (SELECT DISTINCT d, substring(d, i, n) AS term FROM (SELECT DISTINCT d, unnest(range(1, length(d))) AS i FROM p), (SELECT unnest(range(2, 7)) AS n) WHERE i + n - 1 <= length(d)),
+f AS (SELECT d, count(*) AS n FROM t WHERE term IN (SELECT term FROM words) GROUP BY d)
+SELECT row_id, coalesce(n, 0) AS skill_count FROM p LEFT JOIN f ON f.d = p.d""")
 def dictionary_counts(spark, folder):
-    words = [("Python",), ("SQL",), ("Office",), ("数据分析",), ("架构设计",), ("系统开发",), ("会计证书",), ("3D",), ("沟通",), ("客户沟通",)]
-    terms = spark.createDataFrame(words, "term string")
-    return lookup.dictionary_counts(views.postings(spark, folder), "row_id", "description", terms, "term").select(
+    rows = checkpoint(views.postings(spark, folder).select("row_id", "description"))
+    return lookup.dictionary_counts(rows, "row_id", "description", dictionary(spark, folder, rows), "term").select(
         "row_id", "skill_count")
 
 
+_SEGMENTED = f"""
+WITH RECURSIVE {POSTINGS}, {_TERMS},
+han AS (SELECT term FROM words WHERE regexp_matches(term, '^[一-龥]+$') AND length(term) >= 2),
+p AS (SELECT row_id, regexp_extract_all(lower(coalesce(description, '')), '[a-z]+|[一-龥]+') AS runs FROM postings),
+r AS (SELECT DISTINCT run FROM (SELECT unnest(runs) AS run FROM p) WHERE regexp_matches(run, '[一-龥]')),
+l AS MATERIALIZED (
+  SELECT run, pos, coalesce(max(n) FILTER (term IS NOT NULL), 1) AS n FROM (
+    SELECT run, pos, n, substring(run, pos, n) AS piece FROM (SELECT run, unnest(range(1, length(run) + 1)) AS pos FROM r), (SELECT unnest(range(1, 7)) AS n)
+    WHERE pos + n - 1 <= length(run)) LEFT JOIN han ON term = piece GROUP BY run, pos),
+w AS (
+  SELECT run, CAST(1 AS BIGINT) AS pos FROM r
+  UNION ALL SELECT l.run, l.pos + l.n FROM w JOIN l ON l.run = w.run AND l.pos = w.pos WHERE l.pos + l.n <= length(l.run)),
+s AS (SELECT w.run, list(substring(w.run, w.pos, l.n) ORDER BY w.pos) AS words FROM w JOIN l ON l.run = w.run AND l.pos = w.pos GROUP BY w.run),
+k AS (SELECT row_id, place, run FROM (SELECT row_id, unnest(runs) AS run, unnest(range(len(runs))) AS place FROM p))
+SELECT p.row_id, coalesce(string_agg(array_to_string(coalesce(s.words, [k.run]), ' '), ' ' ORDER BY place), '') AS tokens
+FROM p LEFT JOIN k ON k.row_id = p.row_id LEFT JOIN s ON s.run = k.run GROUP BY p.row_id"""
+
+
+@query("udf1_dictionary_segmentation", _SEGMENTED)
+def dictionary_segmentation(spark, folder):
+    """Tokens of the descriptions with Han runs cut by the longest match in a dictionary of any size."""
+    rows = checkpoint(views.postings(spark, folder).select("row_id", "description"))
+    terms = dictionary(spark, folder, rows).filter(F.col("term").rlike("^[一-龥]+$"))
+    found = rows.withColumn("runs", text.runs(F.lower(F.coalesce("description", F.lit("")))))
+    return rule_index.segment_runs(found, "row_id", "runs", terms).select("row_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("udf1_segmentation_function", _SEGMENTED)
+def segmentation_function(spark, folder):
+    """The same cut by the Arrow function, whose workers hold the dictionary."""
+    rows = checkpoint(views.postings(spark, folder).select("row_id", "description"))
+    terms = dictionary(spark, folder, rows).filter(F.col("term").rlike("^[一-龥]+$"))
+    cut = segmenter(spark, [r[0] for r in terms.limit(MAX_DICTIONARY + 1).collect()])
+    found = cut(text.runs(F.lower(F.coalesce("description", F.lit("")))))
+    return rows.select("row_id", F.array_join(found, " ").alias("tokens"))
+
+
 VERBS = ["管理", "负责", "工作", "开发", "a", "沟通"]
 NOUNS = ["团队", "经验", "系统", "能力", "b2", "项目"]
 
