@@ -24,7 +24,8 @@ def posting_key() -> Column:
     return F.md5(F.concat_ws("|", *[cell(p) for p in parts]))
 
 
-def _first_reason() -> Column:
+def first_reason() -> Column:
+    """Which of the rules on single rows rejects a posting first; null if none does."""
     return F.when(quality.is_fake(), "fake").when(quality.is_irrelevant(), "irrelevant")
 
 
@@ -35,7 +36,7 @@ def reject_reasons(df: DataFrame, order: str = "row_id") -> DataFrame:
     run once, into a narrow table; only the few repeated keys are joined back to it.
     `order` names each row.
     """
-    narrow = checkpoint(df.select(order, _first_reason().alias("_reason"), posting_key().alias("_key")))
+    narrow = checkpoint(df.select(order, first_reason().alias("_reason"), posting_key().alias("_key")))
     late = _repeated(narrow, order)
     reason = F.coalesce(F.col("_reason"), F.when(F.col("_late"), "duplicate"), F.lit("valid"))
     return narrow.join(late, order, "left").select(order, reason.alias("reject_reason"))
@@ -50,11 +51,14 @@ def _repeated(narrow: DataFrame, order: str) -> DataFrame:
 
 
 def with_reject_reason(df: DataFrame, order: str = "row_id") -> DataFrame:
-    """`df` with `reject_reason`, see `reject_reasons`; only the ids of duplicates are joined to the rows."""
-    narrow = checkpoint(df.select(order, _first_reason().alias("_reason"), posting_key().alias("_key")))
-    late = _repeated(narrow, order)
-    reason = F.coalesce(_first_reason(), F.when(F.col("_late"), "duplicate"), F.lit("valid"))
-    return df.join(late, order, "left").withColumn("reject_reason", reason).drop("_late")
+    """`df` with `reject_reason`, see `reject_reasons`.
+
+    The rules run once, into the written rows; only the ids of duplicates are joined to them.
+    """
+    judged = checkpoint(df.withColumns({"_reason": first_reason(), "_key": posting_key()}))
+    late = _repeated(judged.select(order, "_reason", "_key"), order)
+    reason = F.coalesce(F.col("_reason"), F.when(F.col("_late"), "duplicate"), F.lit("valid"))
+    return judged.join(late, order, "left").withColumn("reject_reason", reason).drop("_reason", "_key", "_late")
 
 
 def reject_profile(df: DataFrame) -> DataFrame:

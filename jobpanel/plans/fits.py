@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import models, topics
 from ..session import checkpoint
 from ..sources import views
-from ..sources.views import POSTINGS, table
+from ..sources.views import table
 from ..streaming import incremental
-from .cleaning import JUDGED
+from .cleaning import JUDGED, REPOSTS, reposts
 from .panels import rounded
 from .registry import query
 
@@ -110,17 +110,24 @@ def metric_by_period(spark, folder):
 # --- incremental jobs -----------------------------------------------------------------------------
 
 @query("str1_incremental_cleaning", f"""
-WITH {POSTINGS}, {JUDGED.format(source="postings")}
-SELECT CASE WHEN len(reasons) > 0 THEN 'fake' WHEN irrelevant THEN 'irrelevant' ELSE 'valid' END AS reject_reason, count(*) AS n FROM judged GROUP BY 1""")
+WITH {REPOSTS}, {JUDGED.format(source="reposts")},
+k AS (SELECT row_id, CASE WHEN len(reasons) > 0 THEN 'fake' WHEN irrelevant THEN 'irrelevant' END AS reason, CASE WHEN row_id % 3 = 0 THEN 0 ELSE 1 END AS batch,
+  md5(concat_ws('|', coalesce(company, 'nan'), coalesce(title, 'nan'), coalesce(city, 'nan'),
+    substr(coalesce(description, 'nan'), 1, 100), coalesce(publish_date, 'nan'))) AS k FROM judged),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, reason IS NULL ORDER BY batch, row_id) AS place FROM k)
+SELECT batch, CASE WHEN reason IS NOT NULL THEN reason WHEN place > 1 THEN 'duplicate' ELSE 'valid' END AS reject_reason,
+  count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM f GROUP BY ALL""")
 def incremental_cleaning(spark, folder):
-    """Posting files that arrive in two steps, cleaned with one checkpoint."""
+    """Posting files that arrive in two steps, some reposts before their originals, cleaned by all three rules with one checkpoint."""
     path, out, state = (views.scratch(spark) for _ in range(3))
-    rows = views.postings(spark, folder)
+    rows = reposts(spark, folder)
+    batch = F.when(F.col("row_id") % 3 == 0, 0).otherwise(1)
     for part in (0, 1):
-        rows.filter(F.col("row_id") % 2 == part).write.mode("append").parquet(path)
+        rows.filter(batch == part).write.mode("append").parquet(path)
         stream = incremental.arriving(spark, path, rows.schema)
         incremental.clean_arrivals(stream, out, state).awaitTermination()
-    return spark.read.parquet(out).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    return incremental.read_cleaned(spark, out).groupBy(batch.alias("batch"), "reject_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"))
 
 
 @query("str2_repost_dedup", "SELECT user_id, event_type, 1 AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")

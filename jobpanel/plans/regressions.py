@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import skills
-from ..operators import econ, panel
+from ..operators import absorb, econ, panel
 from ..operators.econ import Term, covariate, fixed_effect, result_frame
 from ..session import checkpoint
 from ..sources import views
@@ -250,6 +250,31 @@ def individual_binary(spark, folder):
     return small(spark, econ.individual_did(_rows(spark, folder), "ent", CUT, binary_above=0.5))
 
 
+_ABSORBED = 25  # rounds of the check, more than the demeaning needs
+
+
+@query("reg13_absorbed_effects", f"""
+WITH RECURSIVE {PANEL},
+z AS MATERIALIZED (SELECT row_number() OVER () AS row, company, title, ln(CAST(salary AS DOUBLE)) AS y, CAST(ent AS DOUBLE) AS x FROM panel),
+r AS (
+  SELECT 0 AS k, row, company, title, y, x FROM z
+  UNION ALL SELECT k + 1, row, company, title, y - avg(y) OVER (PARTITION BY title), x - avg(x) OVER (PARTITION BY title) FROM (
+    SELECT k, row, company, title, y - avg(y) OVER (PARTITION BY company) AS y, x - avg(x) OVER (PARTITION BY company) AS x FROM r WHERE k < {_ABSORBED})),
+f AS MATERIALIZED (SELECT * FROM r WHERE k = {_ABSORBED}),
+b AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx, count(*) AS n,
+  count(DISTINCT company) + count(DISTINCT title) AS k, count(DISTINCT company) AS g FROM f),
+u AS (SELECT company, sum(x * (y - beta * x)) AS u FROM f, b GROUP BY company)
+SELECT 'absorbed' AS spec, 'ent' AS term, round(any_value(beta), 6) AS beta,
+  round(sqrt(sum(u * u)) / any_value(sxx) * sqrt(any_value(g) / (any_value(g) - 1.0::DOUBLE) * (any_value(n) - 1) / (any_value(n) - any_value(k))), 6) AS se,
+  any_value(n) AS n FROM u, b""")
+def absorbed_effects(spark, folder):
+    """Postings with effects of every company and title, clustered by company."""
+    rows = views.panel(spark, folder).withColumn("log_salary", F.log("salary"))
+    fit = absorb.absorbed_wls(rows, "log_salary", ["ent"], ["company", "title"], cov="cluster", cluster="company")
+    out = result_frame(spark, [{**fit["ent"], "spec": "absorbed"}])
+    return out.select("spec", "term", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), "n")
+
+
 @query("reg14_linear_probability")
 def linear_probability(spark, folder):
     rows = _rows(spark, folder).withColumn("analytic", F.col("topic").isin(1, 4, 6).cast("int"))

@@ -66,6 +66,42 @@ def test_partial_batches_equal_the_batch_result(spark, tmp_path):
     assert got == want
 
 
+def test_duplicates_are_known_after_a_restart(spark, tmp_path, monkeypatch):
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "row_id long, company string, title string, city string, description string, publish_date string, salary_min string, salary_max string, category string, publish_year string"
+
+    def posting(i, text):
+        return (i, "公司", "工程师", "北京", f"负责系统开发与测试工作，第{text}组", "2020-01-01", "5000", "8000", "全职", "2020")
+
+    def arrive(ids):
+        spark.createDataFrame([posting(i, t) for i, t in ids], schema).write.mode("append").parquet(path)
+        incremental.clean_arrivals(incremental.arriving(spark, path, spark.createDataFrame([], schema).schema), out, state).awaitTermination()
+
+    def found():
+        return {r["row_id"]: r["reject_reason"] for r in incremental.read_cleaned(spark, out).collect()}
+
+    arrive([(5, "甲"), (6, "甲"), (7, "乙")])
+    assert found() == {5: "valid", 6: "duplicate", 7: "valid"}
+    # a batch that fails after its keys were written is run again and does not take itself for a copy
+    real, calls = incremental.checkpoint, []
+
+    def failing(df):
+        calls.append(1)
+        if len(calls) == 3:
+            real(df).write.mode("overwrite").parquet(f"{state}/first_rows/batch=1")
+            raise RuntimeError("executor lost")
+        return real(df)
+
+    monkeypatch.setattr(incremental, "checkpoint", failing)
+    with pytest.raises(Exception):
+        arrive([(1, "甲"), (2, "丙"), (8, "丙")])
+    monkeypatch.setattr(incremental, "checkpoint", real)
+    arrive([(9, "丁")])
+    rows = found()
+    assert {k: rows[k] for k in (1, 2, 5, 6, 7, 8, 9)} == {
+        1: "duplicate", 2: "valid", 5: "valid", 6: "duplicate", 7: "valid", 8: "duplicate", 9: "valid"}
+
+
 def test_a_costly_column_is_computed_once(spark):
     df = spark.createDataFrame([("任职要求：熟悉Java与SQL等多种数据库技术并能独立完成开发工作",)], "d string")
     plan = cleaning.extract_requirements(df, "d")._jdf.queryExecution().optimizedPlan().toString()
