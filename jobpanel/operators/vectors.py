@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vec
+from ..session import checkpoint
 from .blocks import compare_blocks
-from .ranks import top_per_key
+from .ranks import shuffled, top_per_key
 
 MAX_MODEL_CELLS = 20_000_000  # numbers in a reference matrix that goes to every task
 
@@ -28,47 +30,146 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[ranked]
 
 
+def _top(l_ids: np.ndarray, lm: np.ndarray, r_ids: np.ndarray, rm: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best right rows of every left row."""
+    sims = lm @ rm.T
+    if exclude_self:
+        sims[l_ids[:, None] == r_ids[None, :]] = -2.0
+    top = _best(sims, r_ids, k)
+    out = pd.DataFrame({
+        "id": np.repeat(l_ids, top.shape[1]), "neighbour": r_ids[top].ravel(),
+        "sim": np.take_along_axis(sims, top, axis=1).ravel()})
+    return out[out["sim"] > -1.5]
+
+
+_FOUND = "id bigint, neighbour bigint, sim double"
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 4000, exclude_self: bool = False) -> DataFrame:
     """The `k` most similar right vectors per left vector: id, neighbour, sim, rank.
 
     Both sides hold (id, v). A right side within the checked size goes to every
-    task as one matrix; a larger one is compared in blocks. Only `k` rows per
-    left row and block leave a task.
+    task as one matrix; a larger one is searched by cells, see `pruned_nearest`.
+    Only `k` rows per left row and block leave a task.
     """
     right = right.select("id", "v")
     sizes = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    schema = "id bigint, neighbour bigint, sim double"
-
-    def table(l_ids: np.ndarray, lm: np.ndarray, r_ids: np.ndarray, rm: np.ndarray) -> pd.DataFrame:
-        sims = lm @ rm.T
-        if exclude_self:
-            sims[l_ids[:, None] == r_ids[None, :]] = -2.0
-        top = _best(sims, r_ids, k)
-        out = pd.DataFrame({
-            "id": np.repeat(l_ids, top.shape[1]), "neighbour": r_ids[top].ravel(),
-            "sim": np.take_along_axis(sims, top, axis=1).ravel()})
-        return out[out["sim"] > -1.5]
-
-    if sizes["n"] and sizes["n"] * sizes["d"] <= MAX_MODEL_CELLS:
-        rows = right.toPandas()
-        shared = left.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _unit(rows["v"])))
-
-        def match(batches):
-            r_ids, rm = shared.value
-            for batch in batches:
-                for at in range(0, len(batch), block_rows):
-                    part = batch.iloc[at:at + block_rows]
-                    yield table(part["id"].to_numpy(), _unit(part["v"]), r_ids, rm)
+    if sizes["n"] and sizes["n"] * sizes["d"] > MAX_MODEL_CELLS:
+        return pruned_nearest(left, right, k, block_rows, exclude_self)[0]
+    rows = right.toPandas()
+    shared = left.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _unit(rows["v"]) if len(rows) else None))
 
-        found = left.select("id", "v").mapInPandas(match, schema)
-    else:
-        def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            return table(l["id"].to_numpy(), _unit(l["v"]), r["id"].to_numpy(), _unit(r["v"]))
+    def match(batches):
+        r_ids, rm = shared.value
+        for batch in batches:
+            for at in range(0, len(batch) if len(r_ids) else 0, block_rows):
+                part = batch.iloc[at:at + block_rows]
+                yield _top(part["id"].to_numpy(), _unit(part["v"]), r_ids, rm, k, exclude_self)
 
-        found = compare_blocks(left.select("id", "v"), right, compare, schema, block_rows)
+    found = left.select("id", "v").mapInPandas(match, _FOUND)
     return top_per_key(found, ["id"], [F.desc("sim"), "neighbour"], k, rank="rank")
 
 
+def _angles(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ centres.T, -1.0, 1.0))
+
+
+MARGIN = 1e-6  # angle by which rounding may move a bound
+
+
+def pruned_nearest(
+    left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 4000, exclude_self: bool = False,
+    cells: int | None = None, seed: int = 42,
+) -> tuple[DataFrame, int]:
+    """`nearest` by cells, and the number of pairs of rows that were compared.
+
+    Right vectors belong to the nearest of some centres, drawn from them; a cell knows
+    its widest angle. A left vector first visits its nearest cells until they hold enough
+    rows, which gives a similarity its answers must reach, and then only those cells that
+    can reach it by the triangle inequality of angles. The answer is exact; how many
+    cells are left out depends on how far the data fall into clusters. Vectors of length
+    zero are in a cell of their own, with similarity zero to all. Cells are cut into blocks on
+    both sides by what meets there, so no task holds a large one.
+    """
+    left, right = checkpoint(left.select("id", "v")), checkpoint(right.select("id", "v"))
+    m = right.count()
+    count = cells or max(1, min(2048, math.isqrt(m)))  # bounds what goes to the tasks
+    drawn = right.filter(vec.norm(F.col("v")) > 0).orderBy(shuffled("id", seed=seed), "id").limit(count).toPandas()
+    centres = _unit(drawn["v"]) if len(drawn) else np.zeros((0, 1))
+    count, wanted = len(centres), k + int(exclude_self)
+
+    def deal(batches):
+        for batch in batches:
+            if len(batch):
+                u = _unit(batch["v"])
+                near, wide = np.full(len(u), count), np.zeros(len(u))
+                own = np.linalg.norm(u, axis=1) > 0
+                if count:
+                    angle = _angles(u[own], centres)
+                    near[own], wide[own] = angle.argmin(axis=1), angle.min(axis=1)
+                yield pd.DataFrame({"cell": near, "angle": wide, "id": batch["id"], "v": batch["v"]})
+
+    vectors = left.schema["v"].dataType.simpleString()
+    placed = checkpoint(right.mapInPandas(deal, f"cell int, angle double, id bigint, v {right.schema['v'].dataType.simpleString()}"))
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a")).collect()  # one row per cell
+    size, radius = np.zeros(count + 1, np.int64), np.zeros(count + 1)
+    for r in stats:
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["a"]
+
+    def visits(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best similarity each cell can reach, and whether the cell is among the first visited."""
+        angle = np.column_stack([_angles(u, centres), np.full(len(u), np.pi / 2)]) if count else np.full((len(u), 1), np.pi / 2)
+        reach = np.cos(np.maximum(angle - radius - MARGIN, 0.0))
+        flat = np.linalg.norm(u, axis=1) == 0
+        reach[:, count], reach[flat] = 0.0, 0.0
+        order = np.argsort(angle, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        first = np.zeros(angle.shape, bool)
+        np.put_along_axis(first, order, before < wanted, axis=1)
+        return reach, first & (size > 0)
+
+    def pick(second: bool):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, len(batch), 1000):
+                    part = batch.iloc[at:at + 1000]
+                    reach, first = visits(_unit(part["v"]))
+                    chosen = first
+                    if second:
+                        chosen = (reach >= part["bound"].to_numpy()[:, None] - MARGIN) & ~first & (size > 0)
+                    i, c = np.nonzero(chosen)
+                    yield pd.DataFrame({"cell": c, "id": part["id"].to_numpy()[i], "v": part["v"].to_numpy()[i]})
+
+        return run
+
+    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame(columns=["id", "neighbour", "sim"])
+        return _top(l["id"].to_numpy(), _unit(l["v"]), r["id"].to_numpy(), _unit(r["v"]), k, exclude_self)
+
+    def met(visitors: DataFrame) -> tuple[DataFrame, int]:
+        asked = {r["cell"]: r["n"] for r in visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        deals = [(c, max(1, math.ceil(n / block_rows)), max(1, math.ceil(int(size[c]) / block_rows))) for c, n in asked.items()]
+        table = F.broadcast(left.sparkSession.createDataFrame(deals, "cell int, nl int, nr int"))  # a row per cell
+
+        def block(rows: DataFrame, own: str, n: str, other: str, n_other: str) -> DataFrame:
+            return (rows.join(table, "cell").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+                    .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("cell", "_l", "_r", "id", "v"))
+
+        a = block(visitors, "_l", "nl", "_r", "nr").groupBy("cell", "_l", "_r")
+        b = block(placed.select("cell", "id", "v"), "_r", "nr", "_l", "nl").groupBy("cell", "_l", "_r")
+        return checkpoint(a.cogroup(b).applyInPandas(compare, _FOUND)), sum(n * int(size[c]) for c, n in asked.items())
+
+    home = checkpoint(left.mapInPandas(pick(False), f"cell int, id bigint, v {vectors}"))
+    found, compared = met(home)
+    reached = top_per_key(found, ["id"], [F.desc("sim"), "neighbour"], k, rank="rank").filter(F.col("rank") == k)
+    bounded = left.join(reached.select("id", F.col("sim").alias("bound")).distinct(), "id", "left").fillna({"bound": -1.0})
+    rest = checkpoint(bounded.mapInPandas(pick(True), f"cell int, id bigint, v {vectors}"))
+    more, compared_then = met(rest)
+    both = found.unionByName(more)
+    return top_per_key(both, ["id"], [F.desc("sim"), "neighbour"], k, rank="rank"), compared + compared_then
+
+
 def above_threshold(left: DataFrame, labels: DataFrame, threshold: float = 0.5, block_rows: int = 4000) -> DataFrame:
     """Labels more similar than the threshold, compared in blocks of both sides."""
 

@@ -154,6 +154,38 @@ def test_similarity_moments(spark):
         assert (r["mean_similarity"], r["std_similarity"]) == pytest.approx((s.mean(), s.std()))
 
 
+@pytest.mark.parametrize("k,exclude_self,block_rows", [(1, False, 4000), (4, True, 50)])
+def test_pruned_search_finds_the_same_neighbours(spark, k, exclude_self, block_rows):
+    from jobpanel.operators import vectors
+
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(25, 12))
+    v = middles[rng.integers(0, 25, 1500)] + 0.08 * rng.normal(size=(1500, 12))
+    v[3] = 0.0
+    v[40:90] = v[40]  # ties
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    right = spark.createDataFrame(rows, "id long, v array<double>")
+    left = spark.createDataFrame(rows[::7] + [(3, rows[3][1]), (40, rows[40][1])], "id long, v array<double>").distinct()
+    got, compared = vectors.pruned_nearest(left, right, k, block_rows, exclude_self)
+    want = vectors.nearest(left, right, k, exclude_self=exclude_self)
+    a = {(r["id"], r["rank"]): (r["neighbour"], r["sim"]) for r in got.collect()}
+    b = {(r["id"], r["rank"]): (r["neighbour"], r["sim"]) for r in want.collect()}
+    assert set(a) == set(b) and all(a[x][1] == pytest.approx(b[x][1], abs=1e-12) for x in a)
+    assert sum(a[x][0] == b[x][0] for x in a) >= len(a) - 60  # copies differ in the last digit of their products
+    assert compared < 0.35 * left.count() * right.count()
+
+
+def test_pruned_search_of_few_rows(spark):
+    from jobpanel.operators import vectors
+
+    right = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<double>")
+    left = spark.createDataFrame([(5, [0.0, 1.0]), (6, [0.0, 0.0]), (7, [-1.0, 0.0])], "id long, v array<double>")
+    got, _ = vectors.pruned_nearest(left, right, 5)
+    assert {(r["id"], r["rank"], r["neighbour"]) for r in got.collect()} == {(5, 1, 1), (5, 2, 2), (6, 1, 1), (6, 2, 2), (7, 1, 2), (7, 2, 1)}
+    assert vectors.pruned_nearest(left, right.limit(0), 2)[0].count() == 0
+    assert vectors.nearest(left, right.limit(0), 2).count() == 0
+
+
 def test_merge_topics_respects_size_and_order(spark):
     base = spark.createDataFrame([("w", t) for t in range(8)], "window string, topic int")
     pairs = spark.createDataFrame(
