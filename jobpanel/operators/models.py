@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
@@ -14,7 +16,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, vec
-from .ranks import shuffled, top_per_key
+from ..session import checkpoint
+from .ranks import join_on, ranked, shuffled, top_per_key
 
 
 def fit_topics(
@@ -78,21 +81,66 @@ def assign_by_dot(df: DataFrame, centers: Sequence[Sequence[float]]) -> DataFram
     return df.withColumn("cluster", best.cast("int"))
 
 
-def sub_clusters(df: DataFrame, parent: str, per_cluster: int = 20, seed: int = 42) -> DataFrame:
-    """K-means inside every parent cluster with enough members; label parent_sub."""
-    sizes = df.groupBy(parent).count().collect()
-    out = None
-    for row in sorted(sizes):
-        part = df.filter(F.col(parent) == row[parent])
-        k = max(1, row["count"] // per_cluster)
-        if k > 1:
-            part, _ = kmeans(part, k, seed)
-            part = part.withColumnRenamed("cluster", "sub_cluster").withColumn(
-                "sub_cluster", F.col("sub_cluster").cast("int"))
-        else:
-            part = part.withColumn("sub_cluster", F.lit(0))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("cluster_label", F.concat_ws("_", F.col(parent), F.col("sub_cluster")))
+def sub_clusters(
+    df: DataFrame, parent: str, per_cluster: int = 20, seed: int = 42, iterations: int = 20, tolerance: float = 1e-4,
+    block_rows: int = 4000,
+) -> DataFrame:
+    """K-means inside every parent cluster with enough members; columns `sub_cluster` and `cluster_label` (parent_sub).
+
+    A parent of n rows has max(1, n // per_cluster) sub-clusters, which start at its
+    rows first by a hash of their vector. All parents are fitted together: a round
+    assigns every row to the nearest centre of its parent and averages by (parent,
+    sub-cluster), one job however many parents there are. Rows of a parent are dealt
+    into blocks, so a large one is many tasks; a task holds the centres of one parent.
+    Rounds end when no centre moves by more than `tolerance`.
+    """
+    rows = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+    n = F.col("_n")
+    sizes = checkpoint(rows.groupBy(parent).agg(F.count(F.lit(1)).alias("_n")).select(
+        parent, F.greatest(F.floor(n / per_cluster), F.lit(1)).alias("_k"), F.ceil(n / block_rows).cast("int").alias("_blocks")))
+    block = F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int")
+    dealt = checkpoint(join_on(rows.select(parent, "_row", "v"), sizes, [parent]).select(parent, block.alias("_block"), "_row", "v"))
+    placed = ranked(rows.select(parent, "_row", "v").withColumn("_at", shuffled(F.col("v").cast("string"), seed=seed)), ["_at", "_row"], [parent], "_place")
+    centres = join_on(placed, sizes, [parent]).filter(F.col("_place") <= F.col("_k")).select(
+        parent, (F.col("_place") - 1).cast("int").alias("sub"), F.transform("v", lambda x: x.cast("double")).alias("c"))
+    centres = checkpoint(centres)
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    kind = df.schema[parent].dataType.simpleString()
+
+    def near(r: pd.DataFrame, c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, m = np.stack(r["v"].to_numpy()).astype(float), np.stack(c["c"].to_numpy())
+        order = np.argsort(c["sub"].to_numpy())
+        m = m[order]
+        return x, ((m * m).sum(axis=1)[None, :] - 2.0 * (x @ m.T)).argmin(axis=1)
+
+    def sums(key: tuple, r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        x, at = near(r, c)
+        own = np.unique(at)
+        total = np.zeros((len(c), x.shape[1]))
+        np.add.at(total, at, x)
+        return pd.DataFrame({
+            "_p": [key[0]] * len(own), "sub": own.astype(np.int32), "n": np.bincount(at)[own], "s": list(total[own])})
+
+    def assigned(key: tuple, r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_row": r["_row"], "sub_cluster": near(r, c)[1].astype(np.int32)})
+
+    def meet(function, schema: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+        other = join_on(centres, sizes, [parent]).select(F.col(parent).alias(parent), every, "sub", "c")
+        return dealt.groupBy(parent, "_block").cogroup(other.groupBy(parent, "_block")).applyInPandas(function, schema)
+
+    for _ in range(iterations):
+        parts = meet(sums, f"_p {kind}, sub int, n bigint, s array<double>").withColumnRenamed("_p", parent)
+        means = parts.groupBy(parent, "sub").agg(F.array(*[
+            F.sum(F.get("s", F.lit(i))) / F.sum("n") for i in range(dim)]).alias("m"))
+        moved = join_on(centres, means, [parent, "sub"], "left").select(
+            parent, "sub", F.coalesce("m", "c").alias("c"), vec.squared_distance(F.coalesce("m", "c"), F.col("c")).alias("d"))
+        centres = checkpoint(moved)
+        if (centres.agg(F.max("d")).first()[0] or 0.0) <= tolerance * tolerance:
+            break
+    found = meet(assigned, "_row bigint, sub_cluster int")
+    return rows.join(found, "_row").select(
+        *df.columns, "sub_cluster").withColumn("cluster_label", F.concat_ws("_", F.col(parent), F.col("sub_cluster")))
 
 
 def gaussian_mixture(df: DataFrame, k: int, seed: int = 42, dims: int | None = None) -> DataFrame:

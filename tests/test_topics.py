@@ -186,6 +186,31 @@ def test_pruned_search_of_few_rows(spark):
     assert vectors.nearest(left, right.limit(0), 2).count() == 0
 
 
+def test_sub_clusters_of_all_parents_at_once(spark):
+    from jobpanel.operators import models
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(260):
+        parent = [None, "a", "b", "b", "b"][i % 5] if i < 255 else "few"
+        rows.append((i, parent, [float(x) for x in rng.normal(size=3) + 20 * (i % 2)]))
+    df = spark.createDataFrame(rows, "id long, parent string, v array<double>").repartition(3)
+    out = models.sub_clusters(df, "parent", 25, block_rows=40).collect()
+    assert len(out) == 260 and set(out[0].asDict()) == {"id", "parent", "v", "sub_cluster", "cluster_label"}
+    groups = {}
+    for r in out:
+        groups.setdefault(r["parent"], []).append(r)
+    for parent, members in groups.items():
+        k = max(1, len(members) // 25)
+        assert {r["sub_cluster"] for r in members} <= set(range(k))
+        x, at = np.array([r["v"] for r in members]), np.array([r["sub_cluster"] for r in members])
+        centres = {c: x[at == c].mean(axis=0) for c in set(at)}
+        for v, c in zip(x, at):  # a fixed point: nobody is nearer to another centre
+            assert ((v - centres[c]) ** 2).sum() <= min(((v - m) ** 2).sum() for m in centres.values()) + 1e-6
+    again = {r["id"]: r["cluster_label"] for r in models.sub_clusters(df, "parent", 25, block_rows=4000).collect()}
+    assert again == {r["id"]: r["cluster_label"] for r in out}
+
+
 def test_merge_topics_respects_size_and_order(spark):
     base = spark.createDataFrame([("w", t) for t in range(8)], "window string, topic int")
     pairs = spark.createDataFrame(
