@@ -220,6 +220,31 @@ def test_parts_inside_the_article_that_do_not_belong():
     assert html_text.main_text(page(NAV + inner)) == WANTED
 
 
+SIX = [f"Paragraph {k} of plain words, with a comma and an end. " * 8 for k in range(6)]
+LONG_BODY = "".join(f"<p>{p}</p>" for p in SIX)
+WHOLE = "\n".join(p.strip() for p in SIX)
+COMMENTS = "<section class='comments'>" + "<p>I do agree with it, in all. </p>" * 60 + "</section>"
+
+
+@pytest.mark.parametrize("body,wanted", [
+    (f"<div class='layout with-sidebar'>{LONG_BODY}</div>", WHOLE),
+    (f"<div class='post no-comments'>{LONG_BODY}</div>", WHOLE),
+    (f"<form id='aspnetForm'>{LONG_BODY}</form>", WHOLE),
+    (f"<div id='social-studies-course'>{LONG_BODY}</div>", WHOLE),
+    (f"<div>{LONG_BODY}<ul>{'<li>One of some items, forty characters.</li>' * 6}</ul></div>", WHOLE + "\nOne of some items, forty characters." * 6),
+    (f"<div><p>A short lead.</p></div><div>{LONG_BODY}</div>", "A short lead.\n" + WHOLE),
+    (f"<article>{LONG_BODY}</article><article><p>A short one.</p></article>", WHOLE + "\nA short one."),
+    (f"<div class='menu'><a href='x'>One</a></div><div>{LONG_BODY}</div>{COMMENTS}", WHOLE),
+    (f"<article>{LONG_BODY}</article>{COMMENTS}{COMMENTS}{COMMENTS}", WHOLE),
+    (f"<div class='with-ad wrap'><article>{LONG_BODY}</article><div class='ad'>Buy this.</div></div>", WHOLE),
+    ("<nav>x</nav><div class='ad'>" + "An advert that is longer than all. " * 9 + "</div><article><p>Short, but it is all.</p></article>", "Short, but it is all."),
+    (f"<div><ul>{'<li><a href=x>A link to elsewhere</a></li>' * 9}</ul></div><div>{LONG_BODY}</div>", WHOLE),
+])
+def test_marks_count_unless_they_hold_the_text(body, wanted):
+    assert html_text.main_text(page(body)) == wanted
+    assert html_text.main_text(page(f"<div class='footer-links'><a href='y'>Imprint</a></div>{body}")) == wanted
+
+
 def test_markup_details():
     body = (
         "<article><p><b>Bold title<br><p>Text &eacute;&#233;&#xe9; &lt;b&gt; &amp;amp;\n\t next&nbsp;word "
