@@ -207,8 +207,6 @@ def test_sub_clusters_of_all_parents_at_once(spark):
         centres = {c: x[at == c].mean(axis=0) for c in set(at)}
         for v, c in zip(x, at):  # a fixed point: nobody is nearer to another centre
             assert ((v - centres[c]) ** 2).sum() <= min(((v - m) ** 2).sum() for m in centres.values()) + 1e-6
-    again = {r["id"]: r["cluster_label"] for r in models.sub_clusters(df, "parent", 25, block_rows=4000).collect()}
-    assert again == {r["id"]: r["cluster_label"] for r in out}
 
 
 def test_merge_topics_respects_size_and_order(spark):
