@@ -91,6 +91,11 @@ MIXED = """
         SELECT source, lang, topic, tokens,
             CASE WHEN tokens > 0 THEN share * sum(tokens) OVER () / tokens ELSE 1 END AS factor
         FROM raked WHERE round = 40),
+    misses AS (
+        SELECT max(greatest(abs(ms - ts), abs(ml - tl), abs(mt - tt))) AS missed FROM (
+            SELECT ts, tl, tt, sum(share) OVER (PARTITION BY source) AS ms, sum(share) OVER (PARTITION BY lang) AS ml,
+                sum(share) OVER (PARTITION BY topic) AS mt
+            FROM raked WHERE round = 40)),
     ordered AS (
         SELECT *, sum(tokens) OVER () AS whole,
             coalesce(sum(tokens) OVER down, 0) AS taken, sum(tokens * factor) OVER up AS rest
@@ -110,8 +115,8 @@ MIXED = """
 
 CHECKS["op7_mixing"] = "WITH RECURSIVE" + MIXED.format(docs="documents") + """
 SELECT doc_id, source, lang, topic, tokens, round(factor, 6) AS factor, round(probability, 6) AS probability,
-    u < probability AS sampled
-FROM drawn
+    u < probability AS sampled, round(missed, 6) AS missed
+FROM drawn, misses
 """
 
 CHECKS["op11_fill_in_middle"] = """

@@ -82,7 +82,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("factor", 6).alias("factor"),
-        F.round("probability", 6).alias("probability"), "sampled")
+        F.round("probability", 6).alias("probability"), "sampled", F.round("missed", 6).alias("missed"))
 
 
 @query

@@ -320,6 +320,35 @@ def test_probabilities_stop_at_one(spark):
     assert math.isclose(sum(r.tokens * r.probability for r in out), 0.9 * whole, rel_tol=1e-9)
 
 
+def test_contradicting_targets_show_their_miss(spark):
+    """Source a alone holds languages x and y, b alone z: tempered shares cannot all be met."""
+    rows = [(k, "w " * 10, "xyz"[k % 3], "aab"[k % 3]) for k in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, FULL)).collect()
+    share = Counter()
+    for r in out:
+        share[r.source] += r.tokens * r.factor / 3000
+    wanted = math.sqrt(2) / (math.sqrt(2) + 1)
+    assert {r.missed for r in out} == {out[0].missed} and out[0].missed > 0.05
+    assert math.isclose(out[0].missed, abs(share["a"] - wanted), rel_tol=1e-6)
+    met = mixing.mix(spark.createDataFrame(mixable(random.Random(13), 500), FULL)).collect()
+    assert max(r.missed for r in met) <= mixing.CLOSE
+
+
+def test_topics_by_column_and_rules_and_given_targets(spark):
+    rows = [(k, ("cat dog" if k % 4 else "sky") + " w" * (k % 7), "en" if k % 3 else "de", "s") for k in range(400)]
+    df = spark.createDataFrame(rows, FULL)
+    by_rule = mixing.mix(df, topic_rules=[("sky", "^sky"), ("pets", "cat|dog")]).collect()
+    assert {r.doc_id: r.topic for r in by_rule} == {k: "pets" if k % 4 else "sky" for k in range(400)}
+    by_column = mixing.mix(df.withColumn("subject", F.when(F.col("doc_id") % 4 == 0, "sky")), topic="subject").collect()
+    assert {(r.doc_id % 4 == 0, r.topic) for r in by_column} == {(True, "sky"), (False, None)}
+    wanted = spark.createDataFrame([("en", 0.25), ("de", 0.75)], "level string, target double")
+    out = mixing.mix(df, share=0.1, targets={"lang": wanted}).collect()
+    whole = sum(r.tokens for r in out)
+    assert math.isclose(sum(r.tokens * r.factor for r in out if r.lang == "de") / whole, 0.75, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets={"place": wanted})
+
+
 def test_mixing_odd_tables(spark):
     rows = [(1, None, None, None), (2, "", "en", "a"), (2, "", "en", "a"), (None, "word", "en", "b")]
     df = spark.createDataFrame([(*r, "t", 0.5) for r in rows], FULL + ", topic string, factor double")
