@@ -7,7 +7,7 @@ them up, verifies the hits word by word and marks the words they cover.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,33 +19,60 @@ from .columns import fresh, packed
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000  # benchmark words in one broadcast block
+BLOCK_BYTES = 32 << 20  # and the bytes of those words, a blank behind each
 
 _HITS = "struct<n_words: bigint, n_hit: bigint, spans: array<bigint>, items: array<string>>"
 
 
 class Windows:
-    """Windows of one block of benchmark items, ready for lookup."""
+    """Windows of one block of benchmark items, ready for lookup, in flat arrays.
+
+    Per window length: sorted distinct hashes, the range of contents of each hash (more
+    than one only where different windows collide), a window that shows the content,
+    and the range of items that hold it.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, list[list[tuple[tuple[bytes, ...], list[str]]]]]] = {}
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}
-        for name, text in items:
-            column = pa.array([text], pa.large_string())
-            buffer, offsets = ragged.text_bytes(column)
-            starts, ends = ragged.word_spans(buffer, offsets)
-            if not len(starts):
-                continue
-            size = min(window, len(starts))
-            words = spelled(buffer, starts, ends)
-            hashes, first, _ = ragged.grams(
-                ragged.word_hashes(buffer, starts, ends), np.array([0, len(starts)]), size)
-            for h, at in zip(hashes.tolist(), first.tolist()):
-                chain = found.setdefault(size, {}).setdefault(h, {})
-                chain.setdefault(tuple(words[at:at + size]), set()).add(name)
-        for size, table in found.items():
-            keys = np.array(sorted(table), dtype=ragged.U64)
-            chains = [[(words, sorted(names)) for words, names in table[int(k)].items()] for k in keys]
-            self.by_length[size] = (keys, chains)
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([number[name] for name, _ in items], dtype=np.int64)
+        self.buffer, offsets = ragged.text_bytes(pa.array([text for _, text in items], pa.large_string()))
+        self.starts, self.ends = ragged.word_spans(self.buffer, offsets)
+        where = np.searchsorted(self.starts, offsets)
+        hashes, sizes = ragged.word_hashes(self.buffer, self.starts, self.ends), np.minimum(np.diff(where), window)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            words = np.concatenate([np.arange(where[r], where[r + 1]) for r in rows])
+            bounds = np.concatenate(([0], np.cumsum(np.diff(where)[rows])))
+            keys, first, row = ragged.grams(hashes[words], bounds, size)
+            self.by_length[size] = self._table(keys, words[first], owner[rows[row]], size)
+
+    def spelled(self, at: int, size: int) -> list[bytes]:
+        return spelled(self.buffer, self.starts[at:at + size], self.ends[at:at + size])
+
+    def _table(self, keys: np.ndarray, at: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((item, keys))
+        keys, at, item = keys[order], at[order], item[order]
+        content, heads = np.zeros(len(keys), np.int64), []  # number of the content within its hash
+        for i in np.flatnonzero(keys[1:] == keys[:-1]).tolist():
+            if not heads or keys[heads[0][0]] != keys[i + 1]:
+                heads = [(i, self.spelled(int(at[i]), size))]
+            words = self.spelled(int(at[i + 1]), size)
+            known = [k for k, (_, other) in enumerate(heads) if other == words]
+            if not known:
+                known = [len(heads)]
+                heads.append((i + 1, words))
+            content[i + 1] = known[0]
+        order = np.lexsort((item, content, keys))
+        keys, content, at, item = keys[order], content[order], at[order], item[order]
+        new_key = np.append(True, keys[1:] != keys[:-1])
+        new_content = new_key | np.append(True, content[1:] != content[:-1])
+        once = new_content | np.append(True, item[1:] != item[:-1])
+        contents, items = np.cumsum(new_content) - 1, np.cumsum(once) - 1
+        return (
+            keys[new_key], np.append(contents[new_key], contents[-1] + 1), at[new_content],
+            np.append(items[new_content], items[-1] + 1), item[once])
 
     def hits(self, column: pa.Array) -> Iterable[tuple[int, int, int, list[str]]]:
         """(row, first word, end word, items) of every verified window, by row."""
@@ -53,17 +80,18 @@ class Windows:
         starts, ends = ragged.word_spans(buffer, offsets)
         hashes, where = ragged.word_hashes(buffer, starts, ends), np.searchsorted(starts, offsets)
         out = []
-        for size, (keys, chains) in self.by_length.items():
+        for size, (keys, contents, shown, holders, item) in self.by_length.items():
             grams, first, rows = ragged.grams(hashes, where, size)
             if not len(grams):
                 continue
             slot = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
             for g in np.flatnonzero(keys[slot] == grams).tolist():
                 at, row = int(first[g]), int(rows[g])
-                words = tuple(spelled(buffer, starts[at:at + size], ends[at:at + size]))
-                for known, names in chains[int(slot[g])]:
-                    if known == words:
+                words = spelled(buffer, starts[at:at + size], ends[at:at + size])
+                for c in range(int(contents[slot[g]]), int(contents[slot[g] + 1])):
+                    if self.spelled(int(shown[c]), size) == words:
                         begin = at - int(where[row])
+                        names = [self.names[k] for k in item[holders[c]:holders[c + 1]]]
                         out.append((row, begin, begin + size, names))
         return sorted(out, key=lambda x: x[:3]), np.diff(where)
 
@@ -117,22 +145,53 @@ def _scan(windows: Windows) -> object:
     return scan
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterable[list[tuple[str, str]]]:
-    """Benchmark items in blocks of at most `limit` words, or of one longer item.
+def _pieces(window: int, limit: int, limit_bytes: int) -> object:
+    """Items as runs of their words, lower-cased, one blank behind each, within both limits.
+
+    Neighbouring runs of an item share `window` - 1 words, so every window lies in a run
+    whole and no other arises. A run holds one window at least, whatever its bytes.
+    """
 
-    Rows arrive partition by partition, so the driver holds one partition and one
-    block at a time. Repeated items and texts are harmless.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch["name"].to_pylist(), batch["text"]):
+                buffer, offsets = ragged.text_bytes(pa.array([value.as_py()], pa.large_string()))
+                starts, ends = ragged.word_spans(buffer, offsets)
+                upto = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+                begin, end = 0, 0
+                while end < len(starts):
+                    end = min(begin + limit, int(np.searchsorted(upto, upto[begin] + limit_bytes, side="right")) - 1)
+                    end = min(max(end, begin + window), len(starts))
+                    words = b" ".join(spelled(buffer, starts[begin:end], ends[begin:end])).decode()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), pa.array([words]), pa.array([end - begin], pa.int64()),
+                         pa.array([int(upto[end] - upto[begin])], pa.int64())], ["name", "text", "words", "bytes"])
+                    begin = end - window + 1
+
+    return run
+
+
+def blocks(
+    benchmark: DataFrame, item: str, text: str, limit: int, limit_bytes: int = BLOCK_BYTES, window: int = WINDOW,
+) -> Iterable[list[tuple[str, str]]]:
+    """Benchmark items in blocks of at most `limit` words and `limit_bytes` bytes.
+
+    Words are counted by the operator's own rule, whatever parts them; longer items are
+    cut into runs that overlap. Only a single window can pass the limits. Rows arrive
+    partition by partition, so the driver holds one partition and one block at a time.
+    Repeated items and texts are harmless.
     """
-    block, size = [], 0
+    block, n_words, n_bytes = [], 0, 0
     rows = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(text).alias("text"))
-    for row in rows.filter("text is not null").toLocalIterator():
-        words = row["text"].count(" ") + 1
-        if block and size + words > limit:
+    runs = rows.filter("text is not null").mapInArrow(
+        _pieces(window, limit, limit_bytes), "name string, text string, words bigint, bytes bigint")
+    for row in runs.toLocalIterator():
+        if block and (n_words + row["words"] > limit or n_bytes + row["bytes"] > limit_bytes):
             yield block
-            block, size = [], 0
+            block, n_words, n_bytes = [], 0, 0
         block.append((row["name"], row["text"]))
-        size += words
+        n_words, n_bytes = n_words + row["words"], n_bytes + row["bytes"]
     if block:
         yield block
 
@@ -145,6 +204,7 @@ def mark(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """`docs` with `n_words`, `hit_spans` (flat list of half-open word intervals), `n_hit`,
     `hit_items` and `contaminated`; columns of those names are replaced.
@@ -154,13 +214,14 @@ def mark(
     document is contaminated when at least one word and a twentieth of its words
     are hit. Null or wordless texts have no words and no hits; a null, empty or
     wordless item has no windows; a null item id is spelled as empty text. Equal
-    ids count as one item. An empty benchmark marks nothing. Benchmarks of more
-    than one block are scanned block after block, so the broadcast stays bounded.
+    ids count as one item. An empty benchmark marks nothing. Benchmarks of more than
+    `block_words` words or `block_bytes` bytes of them are scanned block after block,
+    long items in overlapping runs, so the broadcast stays bounded.
     """
     marks, = fresh(docs.columns, "_marks")
     out = docs.withColumn(marks, F.lit(None).cast(_HITS))
     done = False
-    for block in blocks(benchmark, item, item_text, block_words):
+    for block in blocks(benchmark, item, item_text, block_words, block_bytes, window):
         if done:
             out = checkpoint(out)
         scan = _scan(Windows(block, window))

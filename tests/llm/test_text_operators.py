@@ -169,6 +169,55 @@ def test_marks_equal_plain_search(spark, block):
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+@pytest.mark.parametrize("words_limit,bytes_limit", [(20, 1 << 20), (1000, 64), (13, 1)])
+def test_blocks_stay_within_their_limits(spark, words_limit, bytes_limit):
+    """Whatever parts the words; long items in runs that hold every window once more."""
+    items = [
+        (1, "\n".join(f"u{i}" for i in range(100))), (2, "...".join(f"V{i}" for i in range(47))), (3, "a\tb"), (4, " "),
+        (5, " " * 3000 + "far apart" + "\n" * 3000)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    found, windows = [], set()
+    for block in decontam.blocks(bench, "item_id", "text", words_limit, bytes_limit):
+        n = sum(len(words(t)) for _, t in block)
+        n_bytes = sum(len(t.encode()) + 1 for _, t in block)
+        assert len(block) == 1 and n <= 13 or n <= words_limit and n_bytes <= bytes_limit
+        for name, text in block:
+            w = words(text)
+            size = min(13, len(w))
+            windows |= {(name, tuple(w[i:i + size])) for i in range(len(w) - size + 1)}
+            found.append(name)
+    wanted = set()
+    for name, text in items:
+        w = words(text)
+        size = min(13, len(w))
+        if size:
+            wanted |= {(str(name), tuple(w[i:i + size])) for i in range(len(w) - size + 1)}
+    assert windows == wanted and "4" not in found
+    docs = [(0, items[0][1]), (1, "x " + " ".join(f"v{i}" for i in range(30, 47))), (2, "far apart"), (3, "clean")]
+    for r in marked(spark, docs, items, block_words=words_limit, block_bytes=bytes_limit).collect():
+        assert (r.n_words, r.n_hit, r.hit_items) == plain_marks(docs[r.doc_id][1], items)
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    real = decontam.ragged.grams
+
+    def colliding(hashes, offsets, n):
+        grams, at, row = real(hashes, offsets, n)
+        return grams % decontam.ragged.U64(3), at, row
+
+    monkeypatch.setattr(decontam.ragged, "grams", colliding)
+    rng = random.Random(4)
+    items = [(str(k % 11), " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))) for k in range(40)]
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    hits, sizes = decontam.Windows(items, 4).hits(pa.array(texts))
+    covered, named = [set() for _ in texts], [set() for _ in texts]
+    for row, begin, end, names in hits:
+        covered[row] |= set(range(begin, end))
+        named[row] |= set(names)
+    for k, t in enumerate(texts):
+        assert (int(sizes[k]), len(covered[k]), sorted(named[k])) == plain_marks(t, items, 4)
+
+
 def test_marks_without_benchmark_or_documents(spark):
     assert [r.n_hit for r in marked(spark, [(1, "a b")], [(None, None)]).collect()] == [0]
     bench = spark.createDataFrame([], "item_id bigint, text string")
