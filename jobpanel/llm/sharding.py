@@ -26,6 +26,7 @@ HEAVY = 0.02  # share of a shard from which a group of copies is placed by itsel
 TOLERANCE = 0.001  # share of a shard by which a splitter may miss its target
 SLICE_ROWS = 50_000  # rows numbered by one task
 
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -164,17 +165,25 @@ def shard(
 ) -> DataFrame:
     """`docs` with `size`, `text_crc32`, `law`, `shard`, `slot`, `grown_shard`; columns of those names are replaced.
 
+    A column whose name differs from one of these in case only, which Spark cannot hold
+    beside it, keeps its values under its name with an underscore in front (`Size`: `_Size`).
     A document weighs its UTF-8 bytes plus 16; null text weighs 16 and counts as
     empty. The law is `bytes`: sizes of shards are nearly equal, and equal texts
     share a shard. `slot` numbers the rows of a shard from 0 without gaps; rows that
-    repeat id and text take neighbouring slots. Null ids come first in their slice.
-    An empty table gives an empty one; with fewer groups than shards some shards are
+    repeat id and text take neighbouring slots. Slices go by id and text together, so
+    rows with null or repeated ids are split by their texts; null ids come first in a
+    slice. Rows equal in both are one slice, sorted outside of memory. An empty table gives an empty one; with fewer groups than shards some shards are
     empty. `grown_shard` belongs to another law and is null.
     """
+    for c in docs.columns:
+        if c not in ADDED and c.lower() in ADDED:
+            other, = fresh([*docs.columns, *ADDED], c)
+            id_col, text_col = (other if name == c else name for name in (id_col, text_col))
+            docs = docs.withColumnRenamed(c, other)
     whole = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(whole).cast("bigint") + ROW_BYTES
     rows = checkpoint(docs.select(
-        F.xxhash64(whole).alias("_key"), size.alias("_size"), F.xxhash64(F.col(id_col)).alias("_place")))
+        F.xxhash64(whole).alias("_key"), size.alias("_size"), F.xxhash64(F.col(id_col), whole).alias("_place")))
     shard_of = plan_shards(rows, n_shards, tolerance, heavy)
     slices = max(1, math.ceil(rows.count() / n_shards / SLICE_ROWS))
     cell = F.pmod(F.col("_place"), F.lit(slices)).cast("int")
@@ -184,10 +193,9 @@ def shard(
     before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = checkpoint(cells.select(
         "shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    key, place, part, at, own = fresh([*docs.columns, *added], "_key", "_place", "_part", "_at", "_own")
+    key, place, part, at, own = fresh([*docs.columns, *ADDED], "_key", "_place", "_part", "_at", "_own")
     full = docs.withColumns({
-        own: F.col(id_col), key: F.xxhash64(whole), place: F.xxhash64(F.col(id_col)), "size": size,
+        own: F.col(id_col), key: F.xxhash64(whole), place: F.xxhash64(F.col(id_col), whole), "size": size,
         "text_crc32": F.crc32(whole.cast("binary"))})
     full = full.withColumns({
         "shard": shard_of(F.col(key)), part: F.pmod(F.col(place), F.lit(slices)).cast("int")})
@@ -197,4 +205,4 @@ def shard(
     same = (F.col("f.shard") == F.col("s.shard")) & (F.col(f"f.{part}") == F.col("s._slice"))
     return numbered.alias("f").join(first, same).select("f.*", (F.col(f"f.{at}") + F.col("s._start")).alias(own + "_slot")).withColumns({
         "law": F.lit("bytes"), "slot": F.col(own + "_slot"), "grown_shard": F.lit(None).cast("int"),
-    }).select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)
+    }).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], *ADDED)

@@ -286,6 +286,46 @@ def test_shards_of_few_or_no_rows(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS), 40).count() == 0
 
 
+def test_columns_that_clash_by_case_keep_their_values(spark, tmp_path):
+    rows = [(k, f"text {k}", 100 + k, f"s{k}", f"l{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "DOC_ID bigint, Text_CRC32 string, `Size` int, slot string, `_Size` string")
+    out = sharding.shard(df, 4, id_col="DOC_ID", text_col="Text_CRC32")
+    out.write.parquet(f"{tmp_path}/out")
+    assert out.columns == ["DOC_ID", "_Text_CRC32", "__Size", "_Size", *sharding.ADDED]
+    for r in out.collect():
+        k = r.DOC_ID
+        assert (r["_Text_CRC32"], r["__Size"], r["_Size"]) == (f"text {k}", 100 + k, f"l{k}")
+        assert (r["size"], r.text_crc32) == (len(f"text {k}") + 16, zlib.crc32(f"text {k}".encode()))
+
+
+def test_null_and_repeated_ids_are_sliced_by_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 10)
+    rows = [(None, f"null id {k}") for k in range(600)] + [(7, f"one id {k}") for k in range(300)] + [(None, None)] * 20
+    out = sharding.shard(spark.createDataFrame(rows, DOCS), 4)
+    check_shards(rows, out.collect(), 4)
+    slices = math.ceil(len(rows) / 4 / 10)
+    places = {hash_ % slices for hash_, in spark.createDataFrame(rows, DOCS).filter("doc_id IS NULL AND text IS NOT NULL").select(
+        F.xxhash64("doc_id", "text")).collect()}
+    assert len(places) > slices / 2
+    same = [r.slot for r in out.filter("text IS NULL").collect()]
+    assert max(same) - min(same) == 19
+
+
+@pytest.mark.parametrize("slack", [0, 37])
+def test_splitters_against_sorted_sums(spark, slack):
+    rng = random.Random(21)
+    keys = [rng.choice([rng.randint(-(1 << 63), (1 << 63) - 1), rng.randint(-9, 9)]) for _ in range(400)]
+    rows = [(k, rng.choice([16, 17, 40, 900])) for k in keys + keys[:60]]
+    total = sum(s for _, s in rows)
+    targets = [round(total * j / 7) for j in range(1, 7)]
+    found = sharding.find_splitters(spark.createDataFrame(rows, "_key bigint, _size bigint"), targets, slack)
+    options = [sum(s for k, s in rows if k < cut) for cut in sorted(set(keys))] + [total]
+    assert found == sorted(found)
+    for target, cut in zip(targets, found):
+        miss = abs(sum(s for k, s in rows if k < cut) - target)
+        assert miss <= max(slack, min(abs(o - target) for o in options))
+
+
 # --- mixing ----------------------------------------------------------------------
 
 def mixable(rng, n):
