@@ -322,24 +322,29 @@ def similar_texts(
     roots = root_paths(share, recall)
     n = roots + POOL
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = checkpoint(own.select("_id", _signatures(shingle, n)(F.col("_text")).alias("s")).select("_id", "s.*"))
+    spelling = F.xxhash64("_text")
+    rows = checkpoint(own.select(
+        "_id", spelling.alias("_spelled"), _signatures(shingle, n)(F.col("_text")).alias("s")).select("_id", "_spelled", "s.*"))
     classes = checkpoint(
         rows.filter("n > 0").groupBy("cid").agg(
-            F.min("_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
-            F.first("mh").alias("mh")))
+            F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_spelled")).alias("least"),
+            F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
+        .select("cid", F.col("least._id").alias("copy_id"), F.col("least._spelled").alias("spelled"), "n_copies", "n", "mh"))
     groups = checkpoint(components(candidate_edges(classes, share, roots, n, recall)))
     # blocks of a candidate group, by its sets and tokens
     members = groups.select(F.col("node").alias("cid"), F.col("root").alias("group")).join(
-        classes.select("cid", "copy_id", "n"), "cid")
+        classes.select("cid", "copy_id", "spelled", "n"), "cid")
     parts = members.groupBy("group").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)))
         .cast("int").alias("k"), F.count(F.lit(1)).alias("m"))
     parts = parts.select("group", F.least("k", F.col("m").cast("int")).alias("k"))
     wanted = checkpoint(members.join(parts, "group").select(
-        "cid", "copy_id", "group", "k", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int").alias("block")))
-    texts = own.alias("d").join(
-        broadcast_if_small(wanted, BROADCAST_SETS).alias("w"), F.col("d._id").eqNullSafe(F.col("w.copy_id")))
+        "cid", "copy_id", "spelled", "group", "k", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int").alias("block")))
+    # the text of a set is that of its least row, known by id and spelling: ids alone may repeat or be null
+    same = (F.col("d._spelled") == F.col("w.spelled")) & F.col("d._id").eqNullSafe(F.col("w.copy_id"))
+    texts = own.withColumn("_spelled", spelling).alias("d").join(
+        broadcast_if_small(wanted, BROADCAST_SETS).alias("w"), same)
     sets = (
         texts.select("w.*", _sets(shingle)(F.col("d._text")).alias("s"))
         .filter("s.cid = cid").select("cid", "group", "k", "block", F.col("s.tokens").alias("tokens")))

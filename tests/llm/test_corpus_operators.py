@@ -242,6 +242,18 @@ def test_counts_above_a_byte_survive():
     assert lm._unpacked(lm._packed(values), 5).tolist() == values.tolist()
 
 
+def test_links_of_rows_with_null_or_one_id(spark):
+    """Sets are found again by id and spelling, so ids that are null or repeat join nothing else."""
+    rng = random.Random(31)
+    bases = [prose(rng, 60) for _ in range(30)]
+    texts = [t for b in bases for t in (b, b + " tail", b.upper())]
+    for i in (None, 5):
+        out = jaccard_join.similar_texts(spark.createDataFrame([(i, t) for t in texts], DOCS)).collect()
+        assert len(out) == len(texts)
+        assert {(r.class_id, r.copy_id, r.n_links) for r in out} == {(i, i, 1)}
+        assert sorted(r.n_copies for r in out) == [1] * 30 + [2] * 60
+
+
 # --- shards ----------------------------------------------------------------------
 
 def check_shards(rows, out, n):
