@@ -89,6 +89,26 @@ def test_greedy_merge():
     assert segment.merge_pairs(list("aaaa"), {("a", "a")}) == ["a_a", "a_a"]
 
 
+def test_joined_runs_equal_the_rule_row_by_row():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    phrases = {("a", "b"), ("b", "c"), ("c", "c"), ("a", "a"), ("\u0001", "b"), ("b_", "a")}
+    words = ["a", "b", "c", "\u0001", "b_", "数据", ""]
+    rows = [None, [], ["a"], ["a", "b"], ["b", "c"], ["a"] * 7, ["a", None, "b"], [None, None], ["c"] * 4001]
+    rows += [[rng.choice(words) for _ in range(rng.randrange(40))] for _ in range(300)]
+    held = [None if r is None else sorted({p for p in zip(r, r[1:]) if p in phrases}) or None for r in rows]
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+    structs = [None if h is None else [{"a": a, "b": b} for a, b in h] for h in held]
+    batch = pa.array(rows, pa.list_(pa.string())), pa.array(structs, kind)
+    want = [None if r is None else segment.merge_pairs(r, phrases) for r in rows]
+    assert segment.joined_runs(*batch).to_pylist() == want
+    cut = [x.slice(3, 50) for x in batch]  # batches that begin inside their buffers
+    assert segment.joined_runs(*cut).to_pylist() == want[3:53]
+    assert segment.joined_runs(*[x.slice(0, 2) for x in batch]).to_pylist() == want[:2]
+    assert segment.joined_runs(*[x.slice(0, 0) for x in batch]).to_pylist() == []
+
+
 @pytest.mark.parametrize("raw,want", [
     ("Java工程师（急聘）", "Java工程师"), ("高薪诚聘会计5000元/", "会计"), ("销售+五险一金", "销售"),
     ("司机/包吃住", "司机"), ("·客服，", "客服")])
