@@ -89,6 +89,16 @@ def test_greedy_merge():
     assert segment.merge_pairs(list("aaaa"), {("a", "a")}) == ["a_a", "a_a"]
 
 
+def test_distinct_pairs_stay_apart(spark):
+    from jobpanel.operators import tokens
+
+    rows = [["a", "b", "a", "b"], ["1:a", "b", "1:", "ab"], ["", "", "a", "", ""], ["数据", "分析", "数据"], ["a", None, "b", "c"], ["a"], []]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, t array<string>")
+    got = {r["id"]: [tuple(p) for p in r["p"]] for r in df.select("id", tokens.distinct_pairs(tokens.neighbours(F.col("t"))).alias("p")).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == list(dict.fromkeys(p for p in zip(r, r[1:]) if None not in p))
+
+
 def test_joined_runs_equal_the_rule_row_by_row():
     import pyarrow as pa
 
