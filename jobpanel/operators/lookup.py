@@ -15,6 +15,8 @@ from ..functions.text import alternation, lookup as constant_lookup
 from .ranks import first_per_key, top_per_key
 from .rule_index import keyword_hits
 
+FEW_KEYWORDS = 64
+
 
 def attach(df: DataFrame, table: DataFrame, on: str | Sequence[str], fill: Mapping | None = None) -> DataFrame:
     """Left lookup join; `fill` gives defaults for rows without a match."""
@@ -48,9 +50,12 @@ def fill_from(df: DataFrame, updates: DataFrame, on: str, columns: Sequence[str]
 def contains_join(df: DataFrame, column: str, keywords: DataFrame, keyword: str) -> DataFrame:
     """Rows of `df` with every keyword their text contains, once per row and keyword.
 
-    A text meets only the keywords that share one of its distinct two-character
-    openings (keywords of one character, its characters), and each is verified.
+    Up to `FEW_KEYWORDS` go to every task, and each text is compared with all of them where
+    it lies. With more, a text meets only the keywords that share one of its distinct
+    two-character openings (keywords of one character, its characters), and each is verified.
     """
+    if keywords.limit(FEW_KEYWORDS + 1).count() <= FEW_KEYWORDS:
+        return df.join(F.broadcast(keywords), (F.length(keyword) > 0) & F.contains(F.col(column), F.col(keyword)))
     t = F.coalesce(F.col(column), F.lit(""))
     openings = F.array_distinct(F.concat(
         F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), 1), F.regexp_extract_all(t, F.lit("(?s)(.)"), 1)))

@@ -171,3 +171,18 @@ def test_rule_tables_and_null_values(spark):
     out = {r["id"]: r for r in lookup.classify_titles(titles, rules, exposure).collect()}
     assert (out[1]["ai_mean_score"], out[1]["isco_match_method"]) == (0.5, "keyword")
     assert all((out[i]["ai_exposure_gradient"], out[i]["ai_mean_score"], out[i]["isco_match_method"]) == ("unknown", 0.25, "unknown") for i in (2, 3))
+
+
+def test_contains_join_with_few_keywords_moves_no_text(spark):
+    texts = spark.createDataFrame([(1, "数据分析"), (1, "数据分析"), (None, "会计"), (3, None), (4, "")], "id int, t string")
+    words = spark.createDataFrame([("数据", 1), ("数", 2), ("会计", 3), ("", 4), (None, 5)], "w string, c int")
+    out = lookup.contains_join(texts, "t", words, "w")
+    assert sorted((r["id"] or 0, r["c"]) for r in out.collect()) == [(0, 3), (1, 1), (1, 1), (1, 2), (1, 2)]
+    assert "hashpartitioning" not in out._jdf.queryExecution().toString()
+
+
+def test_contains_join_with_many_keywords(spark):
+    words = spark.createDataFrame([(f"k{i}.", i) for i in range(200)] + [("z", 900)], "w string, c int")
+    texts = spark.createDataFrame([(1, "k7.k177."), (2, "k1"), (3, "z")], "id int, t string")
+    got = sorted((r["id"], r["c"]) for r in lookup.contains_join(texts, "t", words, "w").collect())
+    assert got == [(1, 7), (1, 177), (3, 900)]
