@@ -84,3 +84,29 @@ def test_a_large_dictionary(spark):
     df = spark.createDataFrame([(1, ["丠" * 3 + first])], "id long, runs array<string>")
     tokens = rule_index.segment_runs(df, "id", "runs", terms).first()["tokens"]
     assert "".join(tokens) == "丠" * 3 + first and tokens[-1] == first
+
+
+def test_terms_of_one_opening_stay_in_the_task(spark):
+    terms = spark.createDataFrame(pd.DataFrame({"term": [f"12{i}" for i in range(30_000)] + ["编号", "a" * 40]}))
+    texts = [(1, "编号1229999"), (2, "x12" + "a" * 41), (None, "编号"), (4, None), (5, "😀编号😀120")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    out = lookup.dictionary_counts(df, "id", "t", terms, "term")
+    assert {r["id"]: r["skill_count"] for r in out.collect()} == {1: 6, 2: 1, None: 0, 4: 0, 5: 2}
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_paths_agree_on_repeated_keys(spark, data, monkeypatch):
+    df, _, rules, _ = data
+    twice = df.union(df.limit(30)).union(df.limit(9).select((F.col("id") + 1).alias("id"), "t"))
+    scored = rules.select((F.col("code") % 3).cast("string").alias("dimension"), (F.col("code") % 4).alias("level"), "keyword")
+    tagged = rules.select((F.col("code") % 2).alias("place"), F.lit("c").alias("category"), (F.col("code") % 3).alias("level"), (-F.col("code")).alias("priority"), "keyword")
+
+    def found(rows):
+        rows = rows.withColumn("edu", F.lit("博士"))
+        return [sorted(map(repr, x.collect())) for x in (
+            rule_index.keyword_hits(rows, "id", "t", rules), lookup.dictionary_counts(rows, "id", "t", rules, "keyword"),
+            rule_index.skill_scores(rows, "id", "t", "edu", scored, ["0", "1", "2"]), rule_index.skill_tags(rows, "id", "t", tagged, ["x"]))]
+
+    near = found(twice), found(df)
+    monkeypatch.setattr(rule_index, "MAX_CHARACTERS", 0)
+    assert near == (found(twice), found(df))
