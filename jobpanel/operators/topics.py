@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, vec
+from ..session import small_batches
 from .ranks import top_per_key
 
 
@@ -20,6 +21,7 @@ _SLICE_TOKENS = 50_000
 
 def _mean_logs(model: DataFrame, k: int):
     """Arrow function from tokens to the number of known ones and their mean log-probability per topic."""
+    small_batches(model.sparkSession)
     rows = model.toArrow()
     terms = rows["term"].combine_chunks()
     logs = np.array(rows["logp"].combine_chunks().flatten()).reshape(len(rows), k)
