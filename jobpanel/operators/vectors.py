@@ -14,6 +14,7 @@ from ..session import checkpoint
 from .blocks import compare_blocks
 from .ranks import shuffled, top_per_key
 
+TILE_ROWS = 2000  # rows of each side whose similarities are held at once
 MAX_MODEL_CELLS = 20_000_000  # numbers in a reference matrix that goes to every task
 
 
@@ -23,22 +24,28 @@ def _unit(values: pd.Series) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest similarities per row; ties go to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ranked = np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]
-    return order[ranked]
-
-
 def _top(l_ids: np.ndarray, lm: np.ndarray, r_ids: np.ndarray, rm: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k best right rows of every left row."""
-    sims = lm @ rm.T
-    if exclude_self:
-        sims[l_ids[:, None] == r_ids[None, :]] = -2.0
-    top = _best(sims, r_ids, k)
-    out = pd.DataFrame({
-        "id": np.repeat(l_ids, top.shape[1]), "neighbour": r_ids[top].ravel(),
-        "sim": np.take_along_axis(sims, top, axis=1).ravel()})
+    """The k best right rows of every left row, in tiles of both sides."""
+    parts = []
+    for at in range(0, len(l_ids), TILE_ROWS):
+        own, best = l_ids[at:at + TILE_ROWS], None
+        for to in range(0, len(r_ids), TILE_ROWS):
+            ids = np.broadcast_to(r_ids[to:to + TILE_ROWS], (len(own), len(r_ids[to:to + TILE_ROWS])))
+            sims = lm[at:at + TILE_ROWS] @ rm[to:to + TILE_ROWS].T
+            if exclude_self:
+                sims[own[:, None] == ids] = -2.0
+            if k < ids.shape[1]:  # all rows that tie with the k-th may count
+                least = np.partition(sims, -k, axis=1)[:, -k, None]
+                width = int((sims >= least).sum(axis=1).max())
+                kept = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < ids.shape[1] else np.arange(width)[None, :]
+                ids, sims = np.take_along_axis(ids, kept, axis=1), np.take_along_axis(sims, kept, axis=1)
+            if best is not None:
+                ids, sims = np.hstack([best[0], ids]), np.hstack([best[1], sims])
+            order = np.lexsort((ids, -sims), axis=1)[:, :k]
+            best = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        if best is not None:
+            parts.append(pd.DataFrame({"id": np.repeat(own, best[0].shape[1]), "neighbour": best[0].ravel(), "sim": best[1].ravel()}))
+    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": l_ids[:0], "neighbour": r_ids[:0], "sim": np.zeros(0)})
     return out[out["sim"] > -1.5]
 
 

@@ -292,3 +292,36 @@ def test_inference_in_rows_equals_the_join(spark, monkeypatch):
     assert set(in_rows) == set(joined) == set(range(50))
     for i, r in in_rows.items():
         assert r["theta"] == pytest.approx(joined[i]["theta"]) and r["n_known"] == joined[i]["n_known"]
+
+
+def test_tiles_give_the_same_neighbours(monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (90, 4)) / 4  # many ties, sums exact in any order
+    ids = rng.permutation(90)
+    for k, own in ((1, False), (5, True), (200, False)):
+        sims = m @ m.T
+        if own:
+            np.fill_diagonal(sims, -2.0)
+        want = [(int(ids[i]), int(ids[j]), sims[i, j]) for i in range(90) for j in np.lexsort((ids, -sims[i]))[:k] if sims[i, j] > -1.5]
+        for rows in (1, 7, 89, 2000):
+            monkeypatch.setattr(vectors, "TILE_ROWS", rows)
+            out = vectors._top(ids, m, ids, m, k, own)
+            assert [*zip(out["id"].tolist(), out["neighbour"].tolist(), out["sim"].tolist())] == want
+
+
+def test_documents_travel_to_few_blocks():
+    assert tokens._blocks(180_000, 180_000 * 20, tokens.BLOCK_ROWS) == 8
+    assert tokens._blocks(10, 60_000_000, tokens.BLOCK_ROWS) == 10 and tokens._blocks(0, 0, 5) == 1
+
+
+def test_model_scores_few_documents_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "10000")
+        model = spark.createDataFrame([("a", [0.5, 0.5]), ("b", [0.9, 0.1])], "term string, p array<double>")
+        df = spark.createDataFrame([(i, ["a", "b"] * 3) for i in range(2500)], "id long, tokens array<string>")
+        assert topics.infer(df, "id", model, [0.5, 0.5]).count() == 2500
+        assert int(spark.conf.get(setting)) <= 1000
+    finally:
+        spark.conf.set(setting, before)
