@@ -325,3 +325,16 @@ def test_model_scores_few_documents_at_a_time(spark):
         assert int(spark.conf.get(setting)) <= 1000
     finally:
         spark.conf.set(setting, before)
+
+
+def test_few_phrases_are_joined_in_place(spark, monkeypatch):
+    rows = [(1, "a b a b c".split()), (1, ["b", "c", "a", "b"]), (None, ["a", "b"]), (4, None), (5, []), (6, ["a", None, "b"]), (7, ["x"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "a"), (None, "b")], "a string, b string")
+    near = tokens.merge_phrases(df, phrases)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, ["a_b", "a_b", "c"]), (1, ["b_c", "a_b"]), (None, ["a_b"]), (4, None), (5, []), (6, ["a", None, "b"]), (7, ["x"])]
+    assert sorted(map(tuple, near.collect()), key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(tokens, "MAX_PHRASES", 0)
+    far = tokens.merge_phrases(df, phrases)
+    assert sorted(map(tuple, far.collect()), key=repr) == sorted(want, key=repr)
