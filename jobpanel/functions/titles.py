@@ -112,8 +112,8 @@ def is_strong_enumerated_title(c: Column) -> Column:
 
 def unique_ignoring_case(items: Column) -> Column:
     """Distinct strings, the first spelling kept in place."""
-    return let(F.transform(items, F.lower), lambda keys: F.filter(
-        items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1))
+    return let(items, lambda found: let(F.transform(found, F.lower), lambda keys: F.filter(
+        found, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)))
 
 
 def split_outside_brackets(c: Column) -> Column:
@@ -138,9 +138,11 @@ def split_outside_brackets(c: Column) -> Column:
         start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["out"])
 
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    marked = F.when(c.rlike(f"[{fixed.TITLE_SEPARATORS}]"), let(chars, mark)).otherwise(c)
-    return F.filter(F.transform(F.split(marked, _MARK), candidate), lambda p: p != "")
+    def marked(s: Column) -> Column:
+        chars = F.filter(F.split(s, ""), lambda x: x != "")
+        return F.when(s.rlike(f"[{fixed.TITLE_SEPARATORS}]"), let(chars, mark)).otherwise(s)
+
+    return F.filter(F.transform(F.split(let(c, marked), _MARK), candidate), lambda p: p != "")
 
 
 def split_titles(c: Column) -> Column:
@@ -172,12 +174,15 @@ def single_title(parts: Column) -> Column:
 
     A leading grade such as 高级 is joined to the title it modifies.
     """
-    first = F.get(parts, F.lit(0))
-    merged = strict_candidate(F.concat(first, F.get(parts, F.lit(1))))
-    graded = (F.size(parts) == 2) & first.isin(*fixed.TITLE_MODIFIERS)
-    return F.when(F.size(parts) >= 2, let(
-        F.filter(parts, is_strict_title),
-        lambda real: F.when(F.size(real) == 1, F.when(graded, merged).otherwise(F.get(real, F.lit(0))))))
+    def choose(p: Column) -> Column:
+        first = F.get(p, F.lit(0))
+        merged = strict_candidate(F.concat(first, F.get(p, F.lit(1))))
+        graded = (F.size(p) == 2) & first.isin(*fixed.TITLE_MODIFIERS)
+        return F.when(F.size(p) >= 2, let(
+            F.filter(p, is_strict_title),
+            lambda real: F.when(F.size(real) == 1, F.when(graded, merged).otherwise(F.get(real, F.lit(0))))))
+
+    return let(parts, choose)
 
 
 def _lines(c: Column, clean) -> Column:
