@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, quality, text
-from ..session import checkpoint
+from ..session import checkpoint, small_batches
 from .ranks import keep_where
 
 KEY_CHARS = 100
@@ -124,9 +124,10 @@ def require_text(df: DataFrame, source: str, year: str, target: str) -> DataFram
 
 def extract_requirements(df: DataFrame, source: str, target: str = "cleaned_requirements") -> DataFrame:
     """Cleaned requirement text of every posting that has enough of it."""
-    return keep_where(
-        df, target, text.remove_noise(text.requirement_section(F.col(source))),
-        lambda t: F.length(t) >= fixed.MIN_REQUIREMENT_CHARS)
+    small_batches(df.sparkSession)
+    found = keep_where(df, "_section", text.requirement_section(F.col(source)), lambda t: F.length(t) > 0)
+    cleaned = found.withColumn(target, text.remove_noise(F.col("_section"), apart=True)).drop("_section")
+    return keep_where(cleaned, target, F.col(target), lambda t: F.length(t) >= fixed.MIN_REQUIREMENT_CHARS)
 
 
 def with_skill_text(

@@ -312,3 +312,19 @@ def test_complete_items(spark):
     got = [[(i["title"], i["city"]) for i in r["x"]] for r in rows]
     assert got == [[("Java工程师", "北京"), ("测试工程师", "北京")], [("会计", "上海"), ("出纳员", "上海")],
                    [("Java工程师", ""), ("测试工程师", "")]]
+
+
+def test_literals_of_noise_patterns_hold_for_every_match():
+    assert text._needles(r"(?:免费)?(?:工作餐|午餐)[^。]*") == ["工作餐", "午餐"]
+    assert text._needles(r"[【\[]?\s*要求\s*[:：]") == ["要求"]
+    assert text._needles(r"甲|乙") == [] and text._needles(r"\d+") == []
+
+
+def test_costly_parts_of_title_expressions_are_evaluated_once():
+    def parts(c):
+        return F.split(c, "MARK")
+
+    for f in (titles.unique_ignoring_case, titles.single_title):
+        assert str(f(parts(F.col("c")))).count("MARK") == 1
+    assert str(titles.split_outside_brackets(F.concat(F.col("c"), F.lit("MARK")))).count("MARK") == 1
+    assert str(text._unless_empty(F.concat(F.col("c"), F.lit("MARK")))).count("MARK") == 1
