@@ -209,6 +209,17 @@ def test_sub_clusters_of_all_parents_at_once(spark):
             assert ((v - centres[c]) ** 2).sum() <= min(((v - m) ** 2).sum() for m in centres.values()) + 1e-6
 
 
+def test_rounds_do_not_hand_on_the_product_of_their_sizes(spark):
+    from jobpanel.session import checkpoint_round
+
+    setting = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before, now = spark.conf.get(setting), spark.range(50).withColumn("x", F.col("id") % 5)
+    for _ in range(6):  # a plain checkpoint plans the sixth join with a size of hundreds of digits
+        now = checkpoint_round(now.select("id", "x").join(now.select("id", F.lit(1).alias("y")), "id").select("id", "x"))
+    assert int(now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10_000_000
+    assert now.count() == 50 and spark.conf.get(setting) == before
+
+
 def test_merge_topics_respects_size_and_order(spark):
     base = spark.createDataFrame([("w", t) for t in range(8)], "window string, topic int")
     pairs = spark.createDataFrame(
