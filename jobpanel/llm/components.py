@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint_round
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,18 +30,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     group. Self-loops and repeated edges are harmless; nodes are not null.
     """
     tidy = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = checkpoint(tidy)
+    now = checkpoint_round(tidy)
     for _ in range(rounds):
         if _settled(now):
             break
         low = _least(now)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = checkpoint(large.filter("a <> b"))  # every edge now leads to a smaller node
+        large = checkpoint_round(large.filter("a <> b"))  # every edge now leads to a smaller node
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select("b", "low").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = low.select("a", F.col("low").alias("b"))
-        now = checkpoint(small.unionByName(own).distinct())
+        now = checkpoint_round(small.unionByName(own).distinct())
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

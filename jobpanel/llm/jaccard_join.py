@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranks import broadcast_if_small
-from ..session import checkpoint
+from ..session import checkpoint, checkpoint_round
 from . import ragged
 from .components import components
 
@@ -215,7 +215,7 @@ def candidate_edges(
     members = classes.select("cid", F.explode(at_root).alias("bucket"), F.lit(None).cast("bigint").alias("_parent"))
     for depth in range(DEPTH + 1):
         sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_sets")).filter("_sets > 1")
-        shared = checkpoint(members.join(sizes, "bucket"))
+        shared = checkpoint_round(members.join(sizes, "bucket"))
         small = (
             shared.filter(F.col("_sets") <= SMALL).join(classes.select("cid", "n", "mh"), "cid")
             .select("bucket", "cid", "n", "mh").repartition("bucket").sortWithinPartitions("bucket", "cid")
@@ -235,7 +235,7 @@ def candidate_edges(
         for k in range(FANOUT):
             at = F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(POOL)).cast("int") + roots
             paths.append(F.xxhash64("bucket", at, F.get("mh", at)))
-        members = checkpoint(
+        members = checkpoint_round(
             large.filter(~alike).join(classes.select("cid", "mh"), "cid").select(
                 "cid", F.explode(F.array_distinct(F.array(*paths))).alias("bucket"), F.col("_sets").alias("_parent")))
     return edges
@@ -352,7 +352,7 @@ def similar_texts(
         "*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
         "group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "cid", "block", "k", "tokens")
-    found = checkpoint(
+    found = checkpoint_round(
         cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
         .mapInArrow(_verify(up, down), "cid binary, links bigint, root binary, whole boolean"))
     links = found.groupBy("cid").agg(F.sum("links").alias("n_links"))

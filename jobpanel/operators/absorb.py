@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, checkpoint_round
 from .econ import Fit
 from .ranks import join_on
 
@@ -60,13 +60,13 @@ def _demeaned(cells: DataFrame, effects: Sequence[str], n: int, tolerance: float
     spread = cells.agg(*[
         F.sqrt(F.sum(F.col(f"p{i}_{i}") + w * F.col(f"m{i}") * F.col(f"m{i}")) / F.sum(w)).alias(f"s{i}") for i in range(n)]).first()
     scale = [float(s or 0.0) or 1.0 for s in spread]
-    levels = [checkpoint(cells.select(e).distinct().select(e, *[F.lit(0.0).alias(f"a{i}") for i in range(n)])) for e in effects]
+    levels = [checkpoint_round(cells.select(e).distinct().select(e, *[F.lit(0.0).alias(f"a{i}") for i in range(n)])) for e in effects]
     for rounds in range(1, MAX_ROUNDS + 1):
         for k, effect in enumerate(effects):
             means = _residuals(cells, levels, effects, n).groupBy(effect).agg(*[
                 (F.sum(w * F.col(f"r{i}")) / F.sum(w)).alias(f"d{i}") for i in range(n)])
             old = levels[k].select(effect, *[f"a{i}" for i in range(n)])
-            levels[k] = checkpoint(join_on(old, means, [effect]).withColumns({
+            levels[k] = checkpoint_round(join_on(old, means, [effect]).withColumns({
                 f"a{i}": F.col(f"a{i}") + F.col(f"d{i}") for i in range(n)}))
         if len(effects) == 1:
             break
