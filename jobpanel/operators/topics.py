@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, vec
-from ..session import small_batches
+from ..session import checkpoint, small_batches
 from .ranks import top_per_key
 
 
@@ -129,12 +129,14 @@ def topic_labels(words: DataFrame, n: int = 5) -> DataFrame:
 def u_mass(df: DataFrame, key: str, words: DataFrame, tokens: str = "tokens") -> DataFrame:
     """U_Mass coherence per topic from document co-occurrence counts.
 
-    Only pairs of top words of one topic are formed, at most n(n-1)/2 per topic.
+    Only pairs of top words of one topic are formed, at most n(n-1)/2 per topic. Other
+    words leave a document where it lies.
     """
     eps = fixed.INFERENCE_EPS
-    top = words.select("topic", "rank", "term")
-    present = df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).join(
-        top.select("term").distinct(), "term")
+    top = checkpoint(words.select("topic", "rank", "term"))
+    terms = sorted({r["term"] for r in top.collect() if r["term"] is not None})  # topics x top words
+    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    present = df.select(key, F.explode(F.array_intersect(tokens, wanted)).alias("term"))
     single = present.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
     ranked = present.join(top, "term").groupBy(key, "topic").agg(
         F.sort_array(F.collect_list("rank")).alias("r"))

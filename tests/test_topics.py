@@ -349,3 +349,58 @@ def test_few_phrases_are_joined_in_place(spark, monkeypatch):
     monkeypatch.setattr(tokens, "MAX_PHRASES", 0)
     far = tokens.merge_phrases(df, phrases)
     assert sorted(map(tuple, far.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_likelihood_equals_that_of_mllib_and_tokens_are_not_held(spark, monkeypatch):
+    from pyspark.ml.clustering import LDAModel
+    from pyspark.ml.feature import CountVectorizer
+
+    from jobpanel.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [([f"w{t}" for t in rng.integers(0, 30, rng.integers(1, 60)) + 30 * (i % 2)],) for i in range(80)] + [([],), (["rare"],)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(2).persist()
+    theirs, asked, held = LDAModel.logLikelihood, [], []
+
+    def refused(self, bows):
+        asked.append(bows)
+        raise AssertionError("takes the exponential of the whole table for every document")
+
+    def bound(model, bows, own=models._log_likelihood):
+        out = own(model, bows)
+        held.append((out, theirs(model, bows), bows.count()))
+        return out
+
+    fit = CountVectorizer._fit
+
+    def limits(self, docs):
+        held.append((self.getMinDF(), self.getMaxDF()))
+        return fit(self, docs)
+
+    monkeypatch.setattr(LDAModel, "logLikelihood", refused)
+    monkeypatch.setattr(LDAModel, "logPerplexity", refused)
+    monkeypatch.setattr(models, "_log_likelihood", bound)
+    monkeypatch.setattr(CountVectorizer, "_fit", limits)
+    words, alpha, figures = models.fit_topics(df, 3, min_df=2, max_df=0.9)
+    df.unpersist()
+    assert not asked and alpha == [1 / 3] * 3 and words.count() == 60
+    assert held[0] == (2.0, pytest.approx(0.9 * 82))  # as numbers: a share makes MLlib hold all tokens
+    (got, n), want, rows_seen = held[1]
+    assert rows_seen == 82 and n == sum(len(r[0]) for r in rows) - 1
+    assert got == pytest.approx(want, rel=2e-3)
+    assert figures == {"log_likelihood": got, "log_perplexity": pytest.approx(-got / n)}
+
+
+def test_u_mass_reads_top_words_only_with_repeated_and_null_keys(spark):
+    rows = [(1, "a b a".split()), (1, "b c".split()), (None, "a c".split()), (2, None), (3, ["x", None])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    words = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (0, 3, "c")], "topic int, rank int, term string")
+    got = topics.u_mass(df, "id", words)
+    eps = topics.fixed.INFERENCE_EPS
+
+    def part(both, single):
+        return math.log((both / 5 + eps) / (single / 5))
+
+    # key 1 is one group of two rows: a, b and b, c are pairs of ranks 1, 2, 2, 3
+    assert got.first()["u_mass"] == pytest.approx((part(2, 2) + part(2, 2) + part(2, 2)) / 3)
+    assert topics.u_mass(df, "id", words.limit(0)).count() == 0
