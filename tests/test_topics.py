@@ -404,3 +404,80 @@ def test_u_mass_reads_top_words_only_with_repeated_and_null_keys(spark):
     # key 1 is one group of two rows: a, b and b, c are pairs of ranks 1, 2, 2, 3
     assert got.first()["u_mass"] == pytest.approx((part(2, 2) + part(2, 2) + part(2, 2)) / 3)
     assert topics.u_mass(df, "id", words.limit(0)).count() == 0
+
+
+def _odd_documents(seed: int, repeated: bool) -> list[tuple]:
+    rng = np.random.default_rng(seed)
+    names = [f"a{i}" for i in range(12)] + [None]
+    ids = [None, 1, 2, 3]
+    return [(ids[rng.integers(0, 4)] if repeated and i % 2 else 10 + i,
+             None if i % 9 == 0 else [names[j] for j in rng.integers(0, 13, rng.integers(0, 30))]) for i in range(60)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_words_are_counted_in_rows_whatever_the_keys(spark, repeated):
+    rows = _odd_documents(3, repeated)
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    want = Counter((i, w) for i, doc in rows for w in doc or [])
+    out = tokens.document_terms(df, "id")
+    assert sorted(map(str, ((r["id"], r["term"], r["n"]) for r in out.collect()))) == sorted(
+        str((i, w, n)) for (i, w), n in want.items())
+    if not repeated:
+        assert "Exchange" not in _plan(out)
+    terms = spark.createDataFrame([("a1",), ("a7",), ("zz",)], "term string")
+    kept = {(r["id"], r["term"]): r["n"] for r in tokens.bag_of_words(df, "id", terms).collect()}
+    assert kept == {k: n for k, n in want.items() if k[1] in ("a1", "a7")}
+
+
+@pytest.mark.parametrize("repeated, chunk, cell", [(False, 4_000_000, 8_000_000), (True, 4_000_000, 8_000_000), (False, 40, 20)])
+def test_products_are_summed_in_cells(spark, monkeypatch, repeated, chunk, cell):
+    rows = _odd_documents(4, repeated)
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    lexicon = [(f"a{i}", ("vn", "n", "x")[i % 3]) for i in range(12)] + [("a1", "v"), ("a0", "v"), ("zz", "n"), ("a2", None)]
+    bags = {}
+    for i, doc in rows:
+        bags.setdefault(i, Counter()).update(doc or [])
+    want = Counter()
+    for bag in bags.values():
+        for v, p in lexicon:
+            for o, q in lexicon:
+                if (p or "x")[0] == "v" and (q or "x")[0] == "n" and bag[v] * bag[o]:
+                    want[v, o] += bag[v] * bag[o]
+    monkeypatch.setattr(tokens, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(tokens, "CELL_WORDS", cell)
+    out = tokens.verb_noun_products(df, "id", spark.createDataFrame(lexicon, "word string, pos string"))
+    assert "keys=[verb" not in _plan(out) and "Aggregate" not in _plan(out)  # no product is shuffled
+    got = out.collect()
+    assert {(r["verb"], r["noun"]): r["n"] for r in got} == want and len(got) == len(want)
+    keys, values = np.array([5, 2, 5, 2 ** 61]), np.array([3, 1, 4, 2 ** 20])
+    assert [x.tolist() for x in tokens._summed(keys, values)] == [[2, 5, 2 ** 61], [1, 7, 2 ** 20]]
+    assert [x.tolist() for x in tokens._summed(keys[:3], values[:3])] == [[2, 5], [1, 7]]
+
+
+@pytest.mark.parametrize("step", [1, 16, 1000])
+def test_products_of_a_cell_in_small_steps(monkeypatch, step):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(step)
+    rows, want = [], Counter()
+    for chunk in (5, 1 << 33):
+        bags = {True: {}, False: {}}
+        for word in range(9):
+            docs = np.flatnonzero(rng.random(12) < (0.9 if word < 2 else 0.3))
+            times = rng.integers(1, 4, len(docs)) if word % 2 else np.ones(len(docs), int)
+            rows.append({"verb": word < 5, "word": f"w{word}", "chunk": chunk, "docs": docs.tolist(), "times": times.tolist() if word % 2 else []})
+            bags[word < 5][word] = dict(zip(docs, times))
+        for v, a in bags[True].items():
+            for o, b in bags[False].items():
+                for doc in a.keys() & b.keys():
+                    want[f"w{v}", f"w{o}"] += int(a[doc] * b[doc])
+    kinds = pa.schema([("verb", pa.bool_()), ("word", pa.string()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int16())), ("times", pa.list_(pa.int32()))])
+    monkeypatch.setattr(tokens, "_PRODUCTS", step)
+    got = [r for b in tokens._products(pa.Table.from_pylist(rows, kinds)) for r in b.to_pylist()]
+    assert {(r["verb"], r["noun"]): r["n"] for r in got} == want and len(got) == len(want)
+    only = pa.Table.from_pylist([r for r in rows if r["verb"]], kinds)
+    assert not [r for b in tokens._products(only) for r in b.to_pylist()]
