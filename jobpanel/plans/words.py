@@ -27,8 +27,8 @@ def docs(spark, folder):
     return stored(views.token_docs(spark, folder).select("id", "lang", "year", "tokens"))
 
 
-def phrases(rows):
-    return tokens.phrases_by_pmi(rows, min_count=MIN_COUNT, min_pmi=MIN_PMI)
+def phrases(rows, **limit):
+    return tokens.phrases_by_pmi(rows, min_count=MIN_COUNT, min_pmi=MIN_PMI, **limit)
 
 
 @query("nlp1_pair_counts", f"WITH {TERMS} SELECT a, b, n FROM pairs")
@@ -89,7 +89,7 @@ o AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY id ORDER BY pos), false)
 SELECT id, md5(string_agg(CASE WHEN joins THEN t || '_' || u ELSE t END, ' ' ORDER BY pos)) AS digest, count(*) AS n FROM o WHERE NOT eaten GROUP BY id""")
 def merge_phrases(spark, folder):
     rows = docs(spark, folder)
-    out = tokens.merge_phrases(rows, phrases(rows))
+    out = tokens.merge_phrases(rows, phrases(rows, limit=None))  # every phrase joins, however many there are
     return out.select("id", F.md5(F.array_join("tokens", " ")).alias("digest"), F.size("tokens").cast("bigint").alias("n"))
 
 

@@ -351,6 +351,20 @@ def test_few_phrases_are_joined_in_place(spark, monkeypatch):
     assert sorted(map(tuple, far.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_all_phrases_join_documents_beyond_the_limit_of_the_phrase_list(spark, monkeypatch):
+    from jobpanel.plans import words
+
+    rows = [(i, "a b u c d v e f w".split()) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    defaults = tokens.phrases_by_pmi.__defaults__
+    monkeypatch.setattr(tokens.phrases_by_pmi, "__defaults__", (*defaults[:-1], 1))
+    assert words.phrases(df).count() == 1
+    monkeypatch.setattr(words, "docs", lambda *_: df)
+    every = sorted(tuple(r) for r in tokens.phrases_by_pmi(df, min_count=10, min_pmi=1.0, limit=None).select("a", "b").collect())
+    assert len(every) == 8
+    assert {r["n"] for r in words.merge_phrases(spark, "").collect()} == {5}
+
+
 def test_likelihood_equals_that_of_mllib_and_tokens_are_not_held(spark, monkeypatch):
     from pyspark.ml.clustering import LDAModel
     from pyspark.ml.feature import CountVectorizer
