@@ -85,6 +85,30 @@ def test_alike_sets_meet_in_the_index(spark):
     assert pairs and set(pairs) <= found
 
 
+def test_shingle_hashes_are_sorted_and_as_many_as_the_shingles(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab一龥é😀") for _ in range(n)) for n in (0, 1, 2, 3, 4, 50, 3000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    got = {r["id"]: r["h"] for r in df.select("id", dedup.shingle_hashes(F.col("t")).alias("h")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sorted(set(got[i])) and len(got[i]) == len({t[k:k + 3] for k in range(len(t) - 2)} if t else [])
+    assert not any(got[i] for i in (0, 1, 2, 7))
+
+
+def test_stored_tables_leave_no_shuffle_files_and_can_go(spark):
+    import os
+
+    from jobpanel.session import discard, stored
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().mkString("\n").count("shuffle_")
+    out = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files.getAllFiles().mkString("\n").count("shuffle_") <= before and out.count() == 7
+    (folder,) = {os.path.dirname(f).removeprefix("file:") for f in out.inputFiles()}
+    discard(out)
+    assert not os.path.exists(folder.replace("//", "/"))
+
+
 def test_jaccard_is_exact(spark):
     df = spark.createDataFrame([("abcdef", "abcdxy")], "a string, b string")
     x = df.select(dedup.jaccard(dedup.shingles(F.col("a")), dedup.shingles(F.col("b")))).first()[0]
