@@ -28,6 +28,21 @@ def test_phrases_by_pmi(docs):
     assert got == pytest.approx(want)
 
 
+def test_pairs_counted_in_shares_are_all_pairs(spark, monkeypatch):
+    rows = [*((i, d) for i, _, d in DOCS), (1, ["a", "b", "a"]), (7, None), (8, []), (None, ["x"]), (9, ["a", None, "b"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    want = sorted(map(tuple, tokens.pair_counts(df).collect()), key=repr)
+    plain = sorted(map(tuple, tokens.collocations(df, "tokens", 1, 0.1).collect()))
+    for pairs_at_once in (10**9, 10, 1):
+        monkeypatch.setattr(tokens, "SHARE_PAIRS", pairs_at_once)
+        found, n = tokens.frequent_pair_counts(df, "tokens", 1)
+        assert sorted(map(tuple, found.collect()), key=repr) == want and n == len(want)
+        few, n = tokens.frequent_pair_counts(df, "tokens", 3)
+        assert sorted(map(tuple, few.collect()), key=repr) == [r for r in want if r[2] >= 3] and n == len(want)
+        assert sorted(map(tuple, tokens.held_phrases_by_count(df, min_count=3).collect()), key=repr) == [r for r in want if r[2] >= 3]
+        assert sorted(map(tuple, tokens.collocations(df, "tokens", 1, 0.1).collect())) == plain
+
+
 def test_merge_phrases(docs, spark):
     chosen = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     got = {r["id"]: r["tokens"] for r in tokens.merge_phrases(docs, chosen).collect()}
