@@ -16,12 +16,13 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpoint, checkpoint_round
+from ..session import discard, stored
 from .econ import Fit
 from .ranks import join_on
 
 TOLERANCE = 1e-8  # largest level mean left, in standard deviations of its column
 MAX_ROUNDS = 1000
+EXPLAINED = 1e-12  # share of a covariate's variance that may be left when the effects explain it
 
 
 def _pairs(n: int) -> list[tuple[int, int]]:
@@ -31,14 +32,18 @@ def _pairs(n: int) -> list[tuple[int, int]]:
 def _cells(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Per cell: rows, weight, means `m` and products of deviations inside the cell `p`."""
     w = F.col("w")
-    sums = rows.groupBy(*keys).agg(
+    sums = stored(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"),
-        *[(F.sum(w * F.col(f"z{i}")) / F.sum(w)).alias(f"m{i}") for i in range(n)])
-    # products of deviations: the means are subtracted before anything is squared
-    own = join_on(rows, sums.select(*keys, *[f"m{i}" for i in range(n)]), keys)
+        *[(F.sum(w * F.col(f"z{i}")) / F.sum(w)).alias(f"m{i}") for i in range(n)]))
+    # products of deviations: the means are subtracted before anything is squared; one row alone has none
+    several = sums.filter("n > 1").select(*keys, *[f"m{i}" for i in range(n)])
     dev = [F.col(f"z{i}") - F.col(f"m{i}") for i in range(n)]
-    inside = own.groupBy(*keys).agg(*[F.sum(w * dev[i] * dev[j]).alias(f"p{i}_{j}") for i, j in _pairs(n)])
-    return checkpoint(join_on(sums, inside, keys))
+    inside = stored(join_on(rows, several, keys).groupBy(*keys).agg(*[
+        F.sum(w * dev[i] * dev[j]).alias(f"p{i}_{j}") for i, j in _pairs(n)]))
+    products = {f"p{i}_{j}": F.when(F.col("n") > 1, F.col(f"p{i}_{j}")).otherwise(0.0) for i, j in _pairs(n)}
+    out = stored(join_on(sums, inside, keys, "left").withColumns(products))
+    discard(sums, inside)
+    return out
 
 
 def _residuals(cells: DataFrame, levels: Sequence[DataFrame], effects: Sequence[str], n: int) -> DataFrame:
@@ -60,14 +65,16 @@ def _demeaned(cells: DataFrame, effects: Sequence[str], n: int, tolerance: float
     spread = cells.agg(*[
         F.sqrt(F.sum(F.col(f"p{i}_{i}") + w * F.col(f"m{i}") * F.col(f"m{i}")) / F.sum(w)).alias(f"s{i}") for i in range(n)]).first()
     scale = [float(s or 0.0) or 1.0 for s in spread]
-    levels = [checkpoint_round(cells.select(e).distinct().select(e, *[F.lit(0.0).alias(f"a{i}") for i in range(n)])) for e in effects]
+    levels = [stored(cells.select(e).distinct().select(e, *[F.lit(0.0).alias(f"a{i}") for i in range(n)])) for e in effects]
     for rounds in range(1, MAX_ROUNDS + 1):
         for k, effect in enumerate(effects):
             means = _residuals(cells, levels, effects, n).groupBy(effect).agg(*[
                 (F.sum(w * F.col(f"r{i}")) / F.sum(w)).alias(f"d{i}") for i in range(n)])
             old = levels[k].select(effect, *[f"a{i}" for i in range(n)])
-            levels[k] = checkpoint_round(join_on(old, means, [effect]).withColumns({
+            given = stored(join_on(old, means, [effect]).withColumns({
                 f"a{i}": F.col(f"a{i}") + F.col(f"d{i}") for i in range(n)}))
+            discard(levels[k])
+            levels[k] = given
         if len(effects) == 1:
             break
         change = F.greatest(*[F.abs(f"d{i}") / scale[i] for i in range(n)], F.lit(0.0))
@@ -76,7 +83,9 @@ def _demeaned(cells: DataFrame, effects: Sequence[str], n: int, tolerance: float
             break
     else:
         raise RuntimeError(f"level means of {left:.1e} standard deviations are left after {MAX_ROUNDS} rounds")
-    return checkpoint(_residuals(cells, levels, effects, n)), rounds
+    out = stored(_residuals(cells, levels, effects, n))
+    discard(cells, *levels)
+    return out, rounds
 
 
 def absorbed_wls(
@@ -99,11 +108,13 @@ def absorbed_wls(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     groups = [F.col(e).cast("string").alias(f"g{i}") for i, e in enumerate(effects)]
     by = [F.col(cluster).cast("string").alias("c")] if cluster else []
-    rows = checkpoint(
+    rows = stored(
         df.select(*z, w.alias("w"), *groups, *by).dropna(subset=[f"z{i}" for i in range(m)]).filter("w > 0"))
     keys = [f"g{i}" for i in range(len(effects))]
     levels = [rows.select(k).distinct().count() for k in keys]
     cells, rounds = _demeaned(_cells(rows, [*keys, *(["c"] if cluster else [])], m), keys, m, tolerance)
+    if cov != "hc1":
+        discard(rows)
 
     def product(i: int, j: int) -> Column:
         i, j = min(i, j), max(i, j)
@@ -112,10 +123,16 @@ def absorbed_wls(
     total = cells.agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("m0")) / F.sum("w")).alias("mean"),
         *[F.sum(product(i, j)).alias(f"x{i}_{j}") for i, j in _pairs(m)],
+        *[F.sum(F.col("w") * F.col(f"m{i}")).alias(f"s{i}") for i in range(1, m)],
+        *[F.sum(F.col(f"p{i}_{i}") + F.col("w") * F.col(f"m{i}") * F.col(f"m{i}")).alias(f"t{i}") for i in range(1, m)],
         F.sum(F.col("p0_0") + F.col("w") * F.col("m0") * F.col("m0")).alias("yy")).first()
     gram = np.zeros((m, m))
     for i, j in _pairs(m):
         gram[i, j] = gram[j, i] = float(total[f"x{i}_{j}"] or 0.0)
+    for i in range(1, m):  # what the effects explain but for the rounding of their means counts as explained
+        whole = float(total[f"t{i}"] or 0.0) - float(total[f"s{i}"] or 0.0) ** 2 / float(total["w"] or 1.0)
+        if gram[i, i] <= EXPLAINED * whole:
+            gram[i, :] = gram[:, i] = 0.0
     size = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
     lam, vec = np.linalg.eigh(gram[1:, 1:] / np.outer(size[1:], size[1:])) if names else (np.empty(0), np.empty((0, 0)))
     good = lam > 1e-11

@@ -52,6 +52,21 @@ def test_fifty_thousand_levels(spark):
     assert got["x"]["beta"] == pytest.approx(3, abs=0.004) and got.rank == 50_000 + 6 + 1
 
 
+def test_tables_of_finished_rounds_are_deleted(spark):
+    import os
+
+    from jobpanel.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:").replace("//", "/")
+
+    def held():
+        return {f for f in os.listdir(folder) if f.startswith("jobpanel-")}
+
+    before = held()
+    got = absorb.absorbed_wls(spark.createDataFrame(_data(3, 200)), "y", ["x"], ["a", "b"], cov="cluster", cluster="a")
+    assert got.extra["rounds"] > 2 and len(held() - before) <= 1
+
+
 def test_effects_that_do_not_converge_raise(spark, monkeypatch):
     monkeypatch.setattr(absorb, "MAX_ROUNDS", 1)
     with pytest.raises(RuntimeError, match="are left"):
