@@ -99,6 +99,27 @@ def test_every_window_is_compared_with_the_next(spark):
             assert (r["max_similarity"], r["min_similarity"]) == pytest.approx((max(sims), min(sims)))
 
 
+def test_sets_of_adjacent_windows_are_not_shuffled(spark):
+    import os
+
+    rng = np.random.default_rng(5)
+    rows = [(i // 2, str(i % 3), [str(t) for t in rng.integers(0, 40, 0 if i == 5 else 300)]) for i in range(180)]
+    df = spark.createDataFrame(rows, "id long, w string, tokens array<string>")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = held()
+    out = {r["first"]: r for r in tokens.adjacent_window_similarity(df, "id", tokens.neighbours(F.col("tokens")), "w", 20).collect()}
+    assert sum(os.path.getsize(f) for f in held() - before if os.path.exists(f)) < 50_000
+    sets = {k: [set(zip(d, d[1:])) for _, w, d in rows if w == k] for k in "012"}
+    for a, b in ("01", "12"):
+        sims = [len(x & y) / max(len(x | y), 1) for x in sets[a] for y in sets[b]]
+        assert out[a]["n_pairs"] == 3600 and out[a]["last"] == b
+        assert tuple(out[a])[3:] == pytest.approx((np.mean(sims), max(sims), min(sims)))
+
+
 def test_inference_matches_numpy(docs, spark):
     rng = np.random.default_rng(0)
     vocabulary = sorted({t for _, _, d in DOCS for t in d} - {"q", "r"})
