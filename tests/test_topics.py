@@ -508,6 +508,23 @@ def test_products_are_summed_in_cells(spark, monkeypatch, repeated, chunk, cell)
     assert [x.tolist() for x in tokens._summed(keys[:3], values[:3])] == [[2, 5], [1, 7]]
 
 
+def test_blocks_of_products_meet_without_a_shuffle_of_their_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [f"{'vn'[int(t) % 2]}{t}" for t in rng.integers(0, 60, 40)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    lexicon = spark.createDataFrame([(f"{'vn'[t % 2]}{t}", "vn"[t % 2]) for t in range(60)], "word string, pos string")
+    monkeypatch.setattr(tokens, "CELL_WORDS", 150)
+    out = tokens.verb_noun_products(df, "id", lexicon)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "word" not in plan.split("CartesianProduct")[1].replace("words", "")
+    want = Counter()
+    for _, d in rows:
+        n = Counter(d)
+        want.update({(a, b): n[a] * n[b] for a in n for b in n if a[0] == "v" and b[0] == "n"})
+    got = [((r["verb"], r["noun"]), r["n"]) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 @pytest.mark.parametrize("step", [1, 16, 1000])
 def test_products_of_a_cell_in_small_steps(monkeypatch, step):
     import pyarrow as pa
