@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 FILE_ROWS = 5_000_000
 
@@ -30,10 +30,12 @@ def write_table_and_csv(df: DataFrame, path: str, light: Sequence[str]) -> None:
 
 
 def write_with_record(df: DataFrame, path: str, counters: Mapping[str, Column]) -> dict:
-    """Parquet write whose row counters are collected on the way."""
-    seen = Observation("run")
-    observed = df.observe(
-        seen, F.count(F.lit(1)).alias("rows_out"),
-        *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counters.items()])
-    observed.write.mode("overwrite").parquet(path)
-    return dict(seen.get)
+    """Parquet write with row counters, taken from the rows as they were written.
+
+    An Observation would save that read, but once it is used, models of MLlib can no
+    longer be sent to tasks of the session.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).agg(
+        F.count(F.lit(1)).alias("rows_out"),
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counters.items()]).first().asDict()
